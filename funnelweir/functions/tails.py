@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
@@ -105,3 +107,7 @@ def student_t975(df: pd.Series) -> pd.Series:
 def two_sided_p(z: Column) -> Column:
     """Two-sided normal p; for result tables of bounded size only."""
     return normal_p(z.cast("double"))
+
+
+# task code travels with the job; executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Mapping, Sequence
 
@@ -71,6 +72,12 @@ def histogram_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     )
 
 
+SUPPORT_SCHEMA = (
+    "treatment string, support_n long, residual_sd double, residual_iqr double, residual_width double, "
+    "effective_bins long, min_bin_count long, max_bin_share double, support_flag string, estimable boolean"
+)
+
+
 def support(
     df: DataFrame,
     columns: Sequence[str],
@@ -84,47 +91,39 @@ def support(
     ids = [*by, "name"]
     clean = df.select(*by, *[safe_double(c).alias(c) for c in columns])
     long = melt(clean, columns, by).filter(F.col("value").isNotNull())
-    spread = long.groupBy(*ids).agg(
-        F.count("*").alias("support_n"), F.coalesce(F.stddev("value"), F.lit(0.0)).alias("residual_sd")
-    )
-    q = exact_quantiles(clean, columns, [0.25, 0.75, 0.01, 0.99], by, few_groups=True)
-    width = q.select(
-        *ids, (F.col("p1") - F.col("p0")).alias("residual_iqr"), (F.col("p3") - F.col("p2")).alias("residual_width")
-    )
-    names = small_frame(df.sparkSession, [(c,) for c in columns], "name string")
-    levels = clean.select(*by).distinct() if by else None
-    wanted = levels.crossJoin(F.broadcast(names)) if by else names
-    joined = wanted
-    for part in (spread, width, histogram_stats(clean, columns, by)):
-        joined = _left_null_safe(joined, part, ids)
-    n = F.coalesce(F.col("support_n"), F.lit(0))
-    reasons = [
-        F.when(n < min_n, "small_n"),
-        F.when(F.col("residual_sd") < min_sd, "low_residual_sd"),
-        F.when(F.col("residual_iqr") < min_iqr, "low_residual_iqr"),
-        F.when(F.col("effective_bins") < min_bins, "sparse_effective_bins"),
-    ]
-    listed = F.array_join(F.filter(F.array(*reasons), lambda r: r.isNotNull()), "|")
-    flag = F.when(n == 0, "empty_treatment_residual").when(listed == "", "ok").otherwise(listed)
-    return joined.select(
-        *by,
-        F.col("name").alias("treatment"),
-        n.alias("support_n"),
-        "residual_sd",
-        "residual_iqr",
-        "residual_width",
-        F.coalesce("effective_bins", F.lit(0)).alias("effective_bins"),
-        F.coalesce("min_bin_count", F.lit(0)).alias("min_bin_count"),
-        "max_bin_share",
-        flag.alias("support_flag"),
-        (flag == "ok").alias("estimable"),
-    )
-
-
-def _left_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    conditions = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return left.alias("l").join(right.alias("r"), conditions, "left").select("l.*", *extra)
+    spread = long.groupBy(*ids).agg(F.count("*").alias("n"), F.stddev("value").alias("sd"))
+    # every part holds one row per level and column
+    parts: dict[tuple, dict] = {}
+    for table in (
+        spread,
+        exact_quantiles(clean, columns, [0.25, 0.75, 0.01, 0.99], by, few_groups=True),
+        histogram_stats(clean, columns, by),
+    ):
+        for r in table.collect():
+            parts.setdefault(tuple(r[c] for c in ids), {}).update(r.asDict())
+    levels = [tuple(r) for r in clean.select(*by).distinct().collect()] if by else [()]
+    nan = float("nan")
+    rows = []
+    for level in levels:
+        for c in columns:
+            s = parts.get((*level, c))
+            if s is None:
+                rows.append((*level, c, 0, nan, nan, nan, 0, 0, nan, "empty_treatment_residual", False))
+                continue
+            sd, iqr, width = s["sd"] or 0.0, s["p1"] - s["p0"], s["p3"] - s["p2"]
+            checks = {
+                "small_n": s["n"] < min_n,
+                "low_residual_sd": sd < min_sd,
+                "low_residual_iqr": iqr < min_iqr,
+                "sparse_effective_bins": s["effective_bins"] < min_bins,
+            }
+            reasons = "|".join(name for name, failed in checks.items() if failed)
+            rows.append(
+                (*level, c, s["n"], sd, iqr, width, s["effective_bins"], s["min_bin_count"], s["max_bin_share"],
+                 reasons or "ok", not reasons)
+            )
+    kinds = "".join(f"{n} {t}, " for n, t in clean.select(*by).dtypes) if by else ""
+    return small_frame(df.sparkSession, rows, kinds + SUPPORT_SCHEMA)
 
 
 def support_table(df: DataFrame, columns: Sequence[str], by: str | None = None, **limits) -> dict[tuple[str, str], dict]:
@@ -141,6 +140,16 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: safe_double(c) for c in dict.fromkeys(columns)})
 
 
+@contextlib.contextmanager
+def held(df: DataFrame, numbers: Sequence[str], keys: Sequence[str]):
+    """The needed columns, cached while several passes read them; results leave as small tables."""
+    frame = numeric_columns(df.select(*dict.fromkeys([*keys, *numbers])), numbers).persist()
+    try:
+        yield frame
+    finally:
+        frame.unpersist()
+
+
 EFFECT_SCHEMA = (
     "h_level string, stage string, component string, treatment string, coefficient double, std_error double, "
     "ci_lower double, ci_upper double, z double, p_value double, n long, covariance string, "
@@ -222,8 +231,9 @@ def family(
     errors: str = "cluster",
 ) -> DataFrame:
     """Gate, joint regression and one row per (level, outcome, treatment), skipped ones included."""
-    gates = support_table(df, treatments, by, **(limits or {}))
-    fits = family_fits(df, outcomes, treatments, gates, by, user, item, errors)
+    with held(df, [*outcomes, *treatments], [c for c in (by, user, item) if c]) as frame:
+        gates = support_table(frame, treatments, by, **(limits or {}))
+        fits = family_fits(frame, outcomes, treatments, gates, by, user, item, errors)
     rows = []
     for level in sorted({lv for lv, _ in gates}):
         for y in outcomes:
@@ -286,10 +296,12 @@ def moderation(
     with an availability column and its slopes are compared among the levels
     that have it. ``observed_only`` builds levels from the data instead of 0..3.
     """
+    df = numeric_columns(df.select(*[c for c in (user, item) if c], level, *outcomes, *treatments), [*outcomes, *treatments])
+    df = df.persist()
     gates = support_table(df, treatments, **(limits or {}))
     passed = [t for t in treatments if gates[(ALL, t)]["estimable"]]
     semantic = semantic if semantic in passed else None
-    clean = numeric_columns(df, [*outcomes, *treatments])
+    clean = df
     h = F.coalesce(safe_double(level), F.lit(0.0)).cast("int") if not observed_only else safe_double(level).cast("int")
     clean = clean.withColumn("_h", h)
     if observed_only:
@@ -338,6 +350,7 @@ def moderation(
     for fit in fits:
         fit.report(plans[fit.name][3])
     cluster_errors(wide, fits, user, item)
+    df.unpersist()
     rows = []
     for fit in fits:
         t, y, reference, tests = plans[fit.name]
@@ -375,8 +388,9 @@ def stage_contrasts(
             name = f"_diff_{late}_{early}"
             wide = wide.withColumn(name, safe_double(stage_outcomes[late]) - safe_double(stage_outcomes[early]))
             outcomes[f"{late}-{early}"], kinds[f"{late}-{early}"] = name, "stage_difference"
-    gates = support_table(df, treatments, **(limits or {}))
-    fits = family_fits(wide, list(outcomes.values()), treatments, gates, None, user, item)
+    with held(wide, [*outcomes.values(), *treatments], [c for c in (user, item) if c]) as frame:
+        gates = support_table(frame, treatments, **(limits or {}))
+        fits = family_fits(frame, list(outcomes.values()), treatments, gates, None, user, item)
     rows = []
     for label, y in outcomes.items():
         fit = fits.get((ALL, y))

@@ -7,7 +7,7 @@ on matrices of at most a few dozen columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -255,43 +255,61 @@ def _chunks(fits: Sequence[Fit]):
         yield chunk
 
 
-def _cluster_terms(df: DataFrame, fits: Sequence[Fit], keys: Sequence[str]) -> list[tuple[np.ndarray, int]]:
-    """Sum over clusters of influence outer products, and the number of clusters, per fit."""
+def _cluster_terms(
+    df: DataFrame, fits: Sequence[Fit], groupings: Mapping[str, Sequence[str]]
+) -> dict[tuple[str, int], tuple[np.ndarray, int]]:
+    """Per grouping and fit: influence outer products summed over clusters, and the number of clusters.
+
+    Rows are read once. Sums by (user, item) pair come first; user and item
+    sums are taken from them, and all groupings leave in one job.
+    """
+    keys = list(dict.fromkeys(k for ks in groupings.values() for k in ks))
     scored = df.select(*keys, *[c for i, fit in enumerate(fits) for c in _influence(i, fit)])
     names = [c for c in scored.columns if c not in keys]
-    sums = scored.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
-    sums = sums.withColumns({f"_s{i}_g": (F.col(f"_s{i}_n") > 0).cast("double") for i in range(len(fits))})
+    totals = [F.sum(c).alias(c) for c in names]
+    finest = scored.groupBy(*keys).agg(*totals)
+    merged = None
+    for label, by in groupings.items():
+        part = finest if list(by) == keys else finest.groupBy(*by).agg(*totals)
+        part = part.select(F.lit(label).alias("_label"), *names)
+        merged = part if merged is None else merged.unionByName(part)
+    merged = merged.withColumns({f"_s{i}_g": (F.col(f"_s{i}_n") > 0).cast("double") for i in range(len(fits))})
     problems = [
         Problem(str(i), (f"_s{i}_g", *[f"_s{i}_{j}" for j in range(len(fit.names))]), intercept=False)
         for i, fit in enumerate(fits)
     ]
-    found = moments(sums, problems)
-    matrices = [found[(ALL, str(i))].matrix for i in range(len(fits))]
-    return [(m[1:, 1:], int(round(m[0, 0]))) for m in matrices]
+    found = moments(merged, problems, "_label")
+    out = {}
+    for label in groupings:
+        for i in range(len(fits)):
+            m = found[(label, str(i))].matrix
+            out[(label, i)] = (m[1:, 1:], int(round(m[0, 0])))
+    return out
 
 
 def cluster_errors(df: DataFrame, fits: Sequence[Fit], user: str, item: str | None) -> Sequence[Fit]:
     """Fill clustered covariances: user + item - pair, each with its small-sample factor.
 
     Influences are linear in the scores, so only the reported combinations are
-    summed per cluster; all fits of a chunk share three grouped aggregates.
+    summed per cluster.
     """
+    groupings = {"user": [user]}
+    if item:
+        groupings.update(item=[item], pair=[user, item])
     for part in _chunks(fits):
-        groupings = [("user", [user], 1.0)]
-        if item:
-            groupings += [("item", [item], 1.0), ("pair", [user, item], -1.0)]
-        terms = {label: _cluster_terms(df, part, keys) for label, keys, _ in groupings}
+        terms = _cluster_terms(df, part, groupings)
         for i, fit in enumerate(part):
             k, m = len(fit.design), len(fit.names)
 
             def corrected(label):
-                matrix, groups = terms[label][i]
+                matrix, groups = terms[(label, i)]
                 if groups < 2 or fit.n <= k:
                     return np.full((m, m), np.nan)
                 return groups / (groups - 1.0) * (fit.n - 1.0) / (fit.n - k) * matrix
 
-            fit.clusters = {label: terms[label][i][1] for label, _, _ in groupings}
-            total = sum(sign * corrected(label) for label, _, sign in groupings)
+            fit.clusters = {label: terms[(label, i)][1] for label in groupings}
+            if item:
+                total = corrected("user") + corrected("item") - corrected("pair")
             if item and np.isfinite(total).all():
                 fit.covariance, fit.kind = total, "two_way_cluster_user_item"
             else:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from funnelweir.session import cut
 
 _POSITION_BITS = 33
+# a frame up to this size may be ordered inside single tasks
+SMALL_ROWS = 50_000
 
 
 def _sorted_with_partition(df: DataFrame, order: Sequence) -> DataFrame:
@@ -49,8 +51,14 @@ def prefix_sums(
 ) -> DataFrame:
     """Exclusive running sums per key: ``sums`` maps output to input column.
 
-    ``(keys, order)`` must be unique. A key may own any share of the rows.
+    ``(keys, order)`` must be unique. A key may own any share of the rows. A
+    frame of at most ``SMALL_ROWS`` rows is one bounded window instead of a
+    range sort.
     """
+    df = cut(df)
+    if df.count() <= SMALL_ROWS:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in sums.items()})
     rows = _sorted_with_partition(df, [*keys, *order]).drop("_pos")
     groups = ["_pid", *keys]
     local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +99,7 @@ def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name="n
 
 
 # a group with at most this many distinct values fits one percentile buffer
-MAX_BUFFERED_VALUES = 100_000
+MAX_BUFFERED_VALUES = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -121,10 +129,12 @@ def _null_safe(left: str, right: str, columns: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
-def _quantiles_by_rank(long: DataFrame, ids: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def _quantiles_by_rank(
+    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int = MAX_BUFFERED_VALUES
+) -> DataFrame:
     counts = value_counts(long, "value", ids)
     sizes = counts.groupBy(*ids).agg(F.count("*").alias("_d"))
-    if (sizes.agg(F.max("_d")).first()[0] or 0) <= MAX_BUFFERED_VALUES:
+    if (sizes.agg(F.max("_d")).first()[0] or 0) <= buffer_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         picked = counts.groupBy(*ids).agg(F.percentile("value", wanted, F.col("_cnt")).alias("_q"))
         return picked.select(*ids, *[F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))])
@@ -134,19 +144,27 @@ def _quantiles_by_rank(long: DataFrame, ids: Sequence[str], probs: Sequence[floa
     return _interpolated(both, ids, probs, None)
 
 
-def _quantiles_by_bracket(long: DataFrame, ids: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Two scans: a sketch brackets every quantile, then only values inside brackets are sorted."""
+def _quantiles_by_bracket(
+    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int
+) -> DataFrame:
+    """Exact quantiles of few groups: a sketch first, then only values near the wanted ranks."""
     slack = 2.0 / SKETCH_ACCURACY
     bounds = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = long.groupBy(*ids).agg(
         F.count("*").alias("_n"), F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("_b")
     )
-    brackets = [
-        F.struct(F.lit(i).alias("_p"), F.col("_b")[2 * i].alias("_low"), F.col("_b")[2 * i + 1].alias("_high"))
-        for i in range(len(probs))
+    # a few numbers per group; the caller vouches for few groups
+    found = sketch.collect()
+    if max((r["_n"] for r in found), default=0) <= buffer_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        picked = long.groupBy(*ids).agg(F.percentile("value", wanted).alias("_q"))
+        return picked.select(*ids, *[F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))])
+    rows = [
+        (*[r[c] for c in ids], r["_n"], i, r["_b"][2 * i], r["_b"][2 * i + 1]) for r in found for i in range(len(probs))
     ]
-    # one row per (group, probability); the caller vouches for few groups
-    limits = sketch.select(*ids, "_n", F.inline(F.array(*brackets)))
+    id_types = [f"{n} {t}" for n, t in sketch.select(*ids).dtypes]
+    schema = ", ".join([*id_types, "_n long, _p int, _low double, _high double"])
+    limits = long.sparkSession.createDataFrame(rows, schema)
     near = (
         long.alias("l")
         .join(F.broadcast(limits).alias("r"), _null_safe("l", "r", ids))
@@ -171,27 +189,27 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     few_groups: bool | None = None,
+    buffer_rows: int = MAX_BUFFERED_VALUES,
 ) -> DataFrame:
     """Linear-interpolation quantiles, exact at any size: by, name, p0, p1, ...
 
-    With few groups (the default without ``by``) a sketch first brackets each
-    quantile, so only a sliver of the rows is sorted; the result is checked and
+    With few groups (the default without ``by``) a sketch sizes the groups.
+    Groups up to ``buffer_rows`` use the ``percentile`` aggregate; beyond, the
+    sketch brackets each quantile, so only a sliver of the rows is sorted, and
     a missed bracket falls back to ranking value counts. With many groups value
-    counts go to the ``percentile`` aggregate while its buffer is bounded, and
-    to prefix sums beyond.
+    counts go to ``percentile`` while its buffer is bounded, and to prefix sums
+    beyond.
     """
     ids = [*by, "name"]
     long = melt(df, columns, by).filter(F.col("value").isNotNull())
     if few_groups is None:
         few_groups = not by
     if few_groups:
-        found = cut(_quantiles_by_bracket(long, ids, probs))
-        incomplete = F.lit(False)
-        for i in range(len(probs)):
-            incomplete = incomplete | F.col(f"p{i}").isNull()
-        if found.filter(incomplete).isEmpty():
-            return found
-    return _quantiles_by_rank(long, ids, probs)
+        found = _quantiles_by_bracket(long, ids, probs, buffer_rows)
+        rows = found.collect()
+        if all(r[f"p{i}"] is not None for r in rows for i in range(len(probs))):
+            return long.sparkSession.createDataFrame(rows, found.schema)
+    return _quantiles_by_rank(long, ids, probs, buffer_rows)
 
 
 def quantile_scalars(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "features"]
+MODULES = ["cleaning", "features", "inference"]
 
 
 def load_all() -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from funnelweir.functions import scalars as S
 from funnelweir.operators import describe as D
 from funnelweir.operators import history as H
 from funnelweir.operators import ordering as O
@@ -753,14 +752,6 @@ def pair_lines(spark, d):
     ),
 )
 def exact_quantiles(spark, d):
-    q = O.exact_quantiles(B.table(spark, d, "lineitem"), ["l_extendedprice"], [0.01, 0.25, 0.5, 0.99], ["l_returnflag"], few_groups=True)
+    q = O.exact_quantiles(B.table(spark, d, "lineitem"), ["l_extendedprice"], [0.01, 0.25, 0.5, 0.99], ["l_returnflag"], few_groups=True, buffer_rows=0)
     return q.select("l_returnflag", F.col("p0").alias("p01"), F.col("p1").alias("p25"), F.col("p2").alias("p50"), F.col("p3").alias("p99"))
 
-
-@query(
-    "numeric_join_key_audit",
-    W(["items"], "SELECT COUNT(*) AS items, COUNT(DISTINCT item_id) AS distinct_items FROM items"),
-)
-def numeric_join_key_audit(spark, d):
-    items = S.normalize_ids(B.items(spark, d), ["user_id"])
-    return items.agg(F.count("*").alias("items"), F.countDistinct("item_id").alias("distinct_items"))
