@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def normal_two_sided(z: float) -> float:
@@ -89,17 +90,17 @@ def student_quantile(p: float, df: int) -> float:
     return _bisect(lambda t: student_cdf(t, df), p, -1e6, 1e6)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_upper_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else 1.0 - normal_cdf(v)).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_t975(df: pd.Series) -> pd.Series:
     return df.map(lambda v: None if pd.isna(v) or v < 1 else student_quantile(0.975, int(v))).astype("float64")
 

@@ -164,7 +164,8 @@ def weighted_balance(
     p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col(probability)))
     work = df.withColumns({c: safe_double(c) for c in columns}).withColumn("_w", F.when(F.col(flag), 1.0 / p))
     cap = exact_quantiles(work, ["_w"], [trim]).first()["p0"]
-    work = work.withColumn("_w", F.least(F.col("_w"), F.lit(float(cap))))
+    # rows outside the certified sample have no weight; least() alone would give them the cap
+    work = work.withColumn("_w", F.when(F.col("_w").isNotNull(), F.least(F.col("_w"), F.lit(float(cap)))))
     mean = work.agg(F.avg("_w")).first()[0]
     work = work.withColumn("_w", F.col("_w") / F.lit(float(mean)))
     long = melt(work, columns, [flag, "_w"], "column_name").filter(F.col("value").isNotNull())

@@ -281,7 +281,7 @@ def selected_contrasts(tests: DataFrame, omnibus_p: str = "p_holm") -> DataFrame
     keys = ["stage", "treatment"]
     joint = tests.filter((F.col("test") == "omnibus") & (F.col(omnibus_p) < 0.05)).select(*keys)
     single = tests.filter(F.col("test") != "omnibus")
-    level = F.regexp_extract("test", r"^H(\d+)-", 1).cast("int")
+    level = F.regexp_extract("test", r"^H(\d+)-", 1).try_cast("int")
     best = single.withColumn("_l", level).groupBy(*keys).agg(F.max_by(F.struct(*single.columns), "_l").alias("_r"))
     return best.join(joint, keys, "left_semi").select("_r.*")
 

@@ -19,7 +19,7 @@ from funnelweir.operators.ordering import exact_quantiles, prefix_sums
 
 # fixed values: boosted-learner settings
 BOOSTED = {"maxIter": 250, "stepSize": 0.04, "maxDepth": 6, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"}
-RIDGE_PENALTY = 1e-8
+RIDGE_PENALTY = 1e-12
 
 
 def _features(df: DataFrame, x: Sequence[str]) -> DataFrame:

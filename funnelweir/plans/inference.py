@@ -715,9 +715,10 @@ tot AS (SELECT COUNT(*) AS n, CEIL(COUNT(*) / 200000.0)::BIGINT AS blocks, SUM(r
 blk AS MATERIALIZED (SELECT h % blocks AS blk, ROW_NUMBER() OVER (PARTITION BY h % blocks ORDER BY h) - 1 AS pos, res_T_con_soc AS x, res_y_purchase AS y FROM h, tot),
 size AS (SELECT blk, COUNT(*)::BIGINT AS m FROM blk GROUP BY blk),
 st AS MATERIALIZED (SELECT blk, m, r.rep, ({PERM_SEED} * 31 + r.rep * 1299709) % m AS shift,
-  (SELECT MIN(s) FROM range(1, 2000000) q(s) WHERE s >= ({PERM_SEED} * 7919 + r.rep * 104729) % m + 1 AND s < ({PERM_SEED} * 7919 + r.rep * 104729) % m + 101 AND gcd(s, m) = 1) AS stride
+  (SELECT MIN(({PERM_SEED} * 7919 + r.rep * 104729) % m + 1 + c) FROM range(0, 100) q(c) WHERE gcd(({PERM_SEED} * 7919 + r.rep * 104729) % m + 1 + c, m) = 1) AS stride
   FROM size, range(1, 21) r(rep)),
-draw AS (SELECT rep, SUM(a.y * b.x) AS sxy FROM st JOIN blk a USING (blk) JOIN blk b ON b.blk = a.blk AND b.pos = (st.stride * a.pos + st.shift) % st.m GROUP BY rep),
+part AS MATERIALIZED (SELECT rep, blk, y, (stride * pos + shift) % m AS pos FROM st JOIN blk USING (blk)),
+draw AS (SELECT rep, SUM(part.y * blk.x) AS sxy FROM part JOIN blk ON part.blk = blk.blk AND part.pos = blk.pos GROUP BY rep),
 perm AS MATERIALIZED (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS coefficient FROM draw, tot)"""
 
 
