@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -62,8 +61,8 @@ def residualize(
     settings: dict | None = None,
     seed: int = 20260717,
     clip: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """Fit each target on ``train``, predict on ``test``: (test with raw/hat/res columns, metrics).
+) -> DataFrame:
+    """Fit each target on ``train``, predict on ``test``: ``test`` with raw/hat/res columns.
 
     ``kind`` is ``treatment`` (missing targets stay missing, prefix ``mhat_``)
     or ``outcome`` (missing reads 0, probabilities, prefix ``yhat_``).
@@ -111,12 +110,13 @@ def residualize(
         added[f"{hat}{t}"] = value
     out = test.withColumns(added)
     out = out.withColumns({f"res_{t}": F.col(f"raw_{t}") - F.col(f"{hat}{t}") for t in targets})
-    out = out.drop("_features", *design, *[f"_hat_{t}" for t in targets])
-    return out, fit_metrics(out, targets, hat, outcome)
+    return out.drop("_features", *design, *[f"_hat_{t}" for t in targets])
 
 
-def fit_metrics(df: DataFrame, targets: Sequence[str], hat: str, outcome: bool) -> DataFrame:
+def fit_metrics(df: DataFrame, targets: Sequence[str], kind: str = "treatment") -> DataFrame:
     """target, n, rmse, r2 for treatments; target, n, brier, auc for outcomes."""
+    outcome = kind == "outcome"
+    hat = "yhat_" if outcome else "mhat_"
     pairs = [
         F.struct(F.lit(t).alias("target"), F.col(f"raw_{t}").alias("y"), F.col(f"{hat}{t}").alias("p")) for t in targets
     ]
@@ -206,7 +206,7 @@ def feature_ablation(
     reports = []
     for name, columns in feature_sets.items():
         a, b, features = median_fill(train, test, columns)
-        scored, _ = residualize(a, b, [label], features, "outcome", learner, settings)
+        scored = residualize(a, b, [label], features, "outcome", learner, settings)
         report = classification_metrics(scored, f"raw_{label}", f"yhat_{label}")
         reports.append(report.select(F.lit(name).alias("feature_set"), F.lit(len(features)).alias("features"), "*"))
     out = reports[0]
@@ -214,6 +214,3 @@ def feature_ablation(
         out = out.unionByName(report)
     return out
 
-
-def metrics_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(rows), schema)

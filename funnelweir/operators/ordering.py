@@ -21,25 +21,25 @@ SMALL_ROWS = 50_000
 
 
 def _sorted_with_partition(df: DataFrame, order: Sequence) -> DataFrame:
-    ranked = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    ranked = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
     return cut(
-        ranked.withColumn("_pid", F.shiftright("_mid", _POSITION_BITS).cast("int"))
-        .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _POSITION_BITS) - 1))
-        .drop("_mid")
+        ranked.withColumn("__pid", F.shiftright("__mid", _POSITION_BITS).cast("int"))
+        .withColumn("__pos", F.col("__mid").bitwiseAND((1 << _POSITION_BITS) - 1))
+        .drop("__mid")
     )
 
 
 def global_row_number(df: DataFrame, order: Sequence, out: str = "row_number") -> DataFrame:
     """1-based row number over the whole frame. ``order`` must be a total order."""
     rows = _sorted_with_partition(df, order)
-    totals = rows.groupBy("_pid").agg(F.count("*").alias("_n"))
+    totals = rows.groupBy("__pid").agg(F.count("*").alias("__n"))
     # one row per partition, so this window and the broadcast are bounded
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     return (
-        rows.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, F.col("_off") + F.col("_pos") + 1)
-        .drop("_pid", "_pos", "_off")
+        rows.join(F.broadcast(offsets), "__pid")
+        .withColumn(out, F.col("__off") + F.col("__pos") + 1)
+        .drop("__pid", "__pos", "__off")
     )
 
 
@@ -59,22 +59,22 @@ def prefix_sums(
     if df.count() <= SMALL_ROWS:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in sums.items()})
-    rows = _sorted_with_partition(df, [*keys, *order]).drop("_pos")
-    groups = ["_pid", *keys]
+    rows = _sorted_with_partition(df, [*keys, *order]).drop("__pos")
+    groups = ["__pid", *keys]
     local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_in_{o}") for o, c in sums.items()])
-    totals = rows.groupBy(*groups).agg(*[F.sum(c).alias(f"_tot_{o}") for o, c in sums.items()])
+    inside = rows.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__in_{o}") for o, c in sums.items()])
+    totals = rows.groupBy(*groups).agg(*[F.sum(c).alias(f"__tot_{o}") for o, c in sums.items()])
     # a key has one row per partition it spans
     span = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    span = span.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    span = span.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *groups, *[F.coalesce(F.sum(f"_tot_{o}").over(span), F.lit(0)).alias(f"_off_{o}") for o in sums]
+        *groups, *[F.coalesce(F.sum(f"__tot_{o}").over(span), F.lit(0)).alias(f"__off_{o}") for o in sums]
     )
     conditions = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups]
     joined = inside.alias("l").join(offsets.alias("r"), conditions, "left")
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
-        *[(F.col(f"l._in_{o}") + F.col(f"r._off_{o}")).alias(o) for o in sums],
+        *[(F.col(f"l.__in_{o}") + F.col(f"r.__off_{o}")).alias(o) for o in sums],
     )
 
 
@@ -130,7 +130,7 @@ def _null_safe(left: str, right: str, columns: Sequence[str]) -> list[Column]:
 
 
 def _quantiles_by_rank(
-    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int = MAX_BUFFERED_VALUES
+    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int
 ) -> DataFrame:
     counts = value_counts(long, "value", ids)
     sizes = counts.groupBy(*ids).agg(F.count("*").alias("_d"))
@@ -189,7 +189,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     few_groups: bool | None = None,
-    buffer_rows: int = MAX_BUFFERED_VALUES,
+    buffer_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles, exact at any size: by, name, p0, p1, ...
 
@@ -202,6 +202,8 @@ def exact_quantiles(
     """
     ids = [*by, "name"]
     long = melt(df, columns, by).filter(F.col("value").isNotNull())
+    if buffer_rows is None:
+        buffer_rows = MAX_BUFFERED_VALUES
     if few_groups is None:
         few_groups = not by
     if few_groups:

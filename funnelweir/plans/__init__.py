@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "features", "inference", "models", "evaluation"]
+MODULES = ["cleaning", "features", "inference", "models", "evaluation", "flagship"]
 
 
 def load_all() -> None:

@@ -564,7 +564,7 @@ def score_calibration(spark, d):
     "REC11_weight_selection",
     W(
         ["funnel", "measures"],
-        f"""WITH {CAND_SQL}, {_REL}, grid AS (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS weight),
+        f"""WITH {CAND_SQL}, {_REL}, grid AS (SELECT unnest([0.0, 0.25, 0.5, 1.0]::DOUBLE[]) AS weight),
         rr AS MATERIALIZED (SELECT weight, stage, user_id, item_id, is_target, causal, (relevance - rm) / rs + weight * (causal - cm) / cs AS score FROM rel, cal, grid), {metrics_sql('rr', 'weight, stage, user_id')},
         ut AS (SELECT weight, user_id, SUM(causal / log2(k + 1)) / SUM(1 / log2(k + 1)) AS u FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY weight, user_id ORDER BY score DESC, is_target, item_id) AS k FROM rr) WHERE k <= 10 GROUP BY ALL) """
         + sql_rounded(
@@ -770,7 +770,7 @@ def correlations(spark, d):
     + sql_rounded(
         f"""SELECT dataset, construct_code, COUNT(*) AS n_compared, corr(ra, rb) AS spearman, corr(a, b) AS pearson, AVG(abs(a - b)) AS mae, {_QWK} AS weighted_kappa, AVG((ta = tb)::INT) AS tertile_agreement,
         AVG((abs(a - b) >= 2.5)::INT) AS large_error_rate, AVG(((a > 0) = (b > 0))::INT) AS presence_agreement, AVG((a > 0)::INT) AS left_nonzero_rate, AVG((b > 0)::INT) AS right_nonzero_rate,
-        (AVG(((a > 0) = (b > 0))::INT) - (AVG((a > 0)::INT) * AVG((b > 0)::INT) + (1 - AVG((a > 0)::INT)) * (1 - AVG((b > 0)::INT)))) / (1 - (AVG((a > 0)::INT) * AVG((b > 0)::INT) + (1 - AVG((a > 0)::INT)) * (1 - AVG((b > 0)::INT)))) AS presence_kappa
+        (AVG(((a > 0) = (b > 0))::INT) - (AVG((a > 0)::INT) * AVG((b > 0)::INT) + (1 - AVG((a > 0)::INT)) * (1 - AVG((b > 0)::INT)))) / NULLIF(1 - (AVG((a > 0)::INT) * AVG((b > 0)::INT) + (1 - AVG((a > 0)::INT)) * (1 - AVG((b > 0)::INT))), 0) AS presence_kappa
         FROM tt GROUP BY dataset, construct_code""",
         ["dataset", "construct_code", "n_compared"],
         ["spearman", "pearson", "mae", "weighted_kappa", "tertile_agreement", "large_error_rate", "presence_agreement", "left_nonzero_rate", "right_nonzero_rate", "presence_kappa"],

@@ -89,7 +89,7 @@ def outcome_fit(spark, d):
     ),
 )
 def treatment_residuals(spark, d):
-    out, _ = treatment_fit(spark, d)
+    out = treatment_fit(spark, d)
     return out.select(*KEY, *[F.round(f"{k}_{t}", 5).alias(f"{k}_{t}") for t in TREATMENTS for k in ("raw", "mhat", "res")])
 
 
@@ -105,7 +105,7 @@ def treatment_residuals(spark, d):
     ),
 )
 def outcome_residuals(spark, d):
-    out, _ = outcome_fit(spark, d)
+    out = outcome_fit(spark, d)
     return out.select(*KEY, *[F.round(f"{k}_y_purchase", 5).alias(f"{k}_y_purchase") for k in ("raw", "yhat", "res")])
 
 
@@ -123,7 +123,7 @@ def outcome_residuals(spark, d):
     ),
 )
 def treatment_metrics(spark, d):
-    return treatment_fit(spark, d)[1]
+    return N.fit_metrics(treatment_fit(spark, d), TREATMENTS)
 
 
 _AUC_SQL = """auc AS (SELECT SUM(CASE WHEN y > 0 THEN r END) - pos * (pos + 1) / 2 AS u, pos, neg FROM (
@@ -139,7 +139,7 @@ _AUC_SQL = """auc AS (SELECT SUM(CASE WHEN y > 0 THEN r END) - pos * (pos + 1) /
     ),
 )
 def outcome_metrics(spark, d):
-    m = outcome_fit(spark, d)[1]
+    m = N.fit_metrics(outcome_fit(spark, d), ["y_purchase"], "outcome")
     return m.select("target", "n", F.round("brier", 5).alias("brier"), F.round("auc", 5).alias("auc"))
 
 
@@ -174,12 +174,14 @@ SMALL_BOOST = {"maxIter": 5, "maxDepth": 3}
 
 @query("M3_boosted_learner")
 def boosted_learner(spark, d):
-    return N.residualize(*parts(spark, d), ["T_a"], X, "treatment", "boosted", SMALL_BOOST)[1]
+    out = N.residualize(*parts(spark, d), ["T_a"], X, "treatment", "boosted", SMALL_BOOST)
+    return N.fit_metrics(out, ["T_a"])
 
 
 @query("M2_logistic_learner")
 def logistic_learner(spark, d):
-    return N.residualize(*parts(spark, d), ["y_purchase"], X, "outcome", "logistic")[1]
+    out = N.residualize(*parts(spark, d), ["y_purchase"], X, "outcome", "logistic")
+    return N.fit_metrics(out, ["y_purchase"], "outcome")
 
 
 @query(
@@ -189,7 +191,7 @@ def logistic_learner(spark, d):
     ),
 )
 def cross_split_design(spark, d):
-    out, _ = treatment_fit(spark, d)
+    out = treatment_fit(spark, d)
     row = out.agg(F.count("*").alias("rows"), F.round(F.avg("res_T_a"), 5).alias("mean_residual"))
     return row.select(F.lit("B").alias("fitted_on"), F.lit("C").alias("applied_to"), "*")
 
@@ -199,13 +201,14 @@ def selection_propensity(spark, d):
     t = nuisance_table(spark, d).withColumn("certified", (F.col("l_partkey") % 4 > 0).cast("int"))
     split = SP.item_disjoint_split(t, "l_partkey", "certified", 0.25, 3)
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
-    return N.residualize(train, test, ["certified"], X, "outcome", "logistic")[1]
+    out = N.residualize(train, test, ["certified"], X, "outcome", "logistic")
+    return N.fit_metrics(out, ["certified"], "outcome")
 
 
 @query("M13_short_design_refit")
 def short_design_refit(spark, d):
     train, test = parts(spark, d)
-    short, _ = N.residualize(train, test, TREATMENTS, [x for x in X if x != "x_price"])
+    short = N.residualize(train, test, TREATMENTS, [x for x in X if x != "x_price"])
     return short.agg(F.count("*").alias("rows"), *[F.stddev(f"res_{t}").alias(f"sd_{t}") for t in TREATMENTS])
 
 
@@ -214,7 +217,7 @@ def short_design_refit(spark, d):
     WN(sql_rounded(f"SELECT AVG(T_a - ({fitted('f_T_a')})) AS mean_residual, STDDEV_SAMP(T_a - ({fitted('f_T_a')})) AS sd_residual FROM nuis, f_T_a_w WHERE split = 'C'", [], ["mean_residual", "sd_residual"])),
 )
 def prior_residuals(spark, d):
-    out, _ = N.residualize(*parts(spark, d), ["T_a"], X, clip=False)
+    out = N.residualize(*parts(spark, d), ["T_a"], X, clip=False)
     return out.agg(F.avg("res_T_a").alias("mean_residual"), F.stddev("res_T_a").alias("sd_residual"))
 
 
@@ -489,7 +492,7 @@ def measurement_diagnostics(spark, d):
 
 
 def residual_triples(spark, d):
-    out, _ = treatment_fit(spark, d)
+    out = treatment_fit(spark, d)
     return out
 
 
