@@ -107,12 +107,12 @@ def asof_prior(
 
 def rating_history(events: DataFrame, ratings: DataFrame, few_times: bool = True) -> DataFrame:
     """Count and mean of an item's earlier ratings; the mean divides by all earlier rows."""
-    joined = asof_prior(
-        events, ratings, "item_id", "timestamp", {"_rating_sum": "rating"}, "item_review_count_pre", few_times
-    )
-    return joined.withColumn(
-        "item_rating_mean_pre", F.try_divide(F.col("_rating_sum"), F.col("item_review_count_pre"))
-    ).drop("_rating_sum")
+    known = ratings.withColumn("_known", F.col("rating").isNotNull().cast("int"))
+    sums = {"_rating_sum": "rating", "_rating_known": "_known"}
+    joined = asof_prior(events, known, "item_id", "timestamp", sums, "item_review_count_pre", few_times)
+    mean = F.try_divide(F.col("_rating_sum"), F.col("item_review_count_pre"))
+    # no usable rating yet is missing, not zero
+    return joined.withColumn("item_rating_mean_pre", F.when(F.col("_rating_known") > 0, mean)).drop(*sums)
 
 
 def history_audit(df: DataFrame, required: str, source_ts: str, ts: str) -> DataFrame:

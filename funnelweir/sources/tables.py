@@ -29,6 +29,9 @@ def _twin(path: str) -> list[str]:
 
 def _decodable(spark: SparkSession, path: str, encoding: str) -> bool:
     """True if no line holds a replacement character after decoding; scans in parallel."""
+    if not encoding.startswith("utf-8"):
+        # Spark accepts other Java charsets only with this switch
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     lines = spark.read.option("encoding", encoding).option("header", "false").option("sep", "\x01").csv(path)
     return lines.filter(F.col("_c0").contains("�")).isEmpty()
 
