@@ -113,14 +113,27 @@ def is_valid_review(c) -> Column:
 
 
 def first_unique_texts(
-    reviews: DataFrame, k: int = 5, item: str = "item_id", text: str = "review_text", order: str = "ingest_order"
+    reviews: DataFrame,
+    k: int = 5,
+    item: str = "item_id",
+    text: str = "review_text",
+    order: str = "ingest_order",
+    with_text: bool = True,
 ) -> DataFrame:
-    """The first ``k`` distinct non-blank texts per item in stored order, one row each with ``rank``."""
+    """The first ``k`` distinct non-blank texts per item in stored order, one row each with ``rank``.
+
+    ``with_text=False`` compares texts by digest and leaves them out, so no
+    text is shuffled.
+    """
     kept = reviews.filter(F.col(item).isNotNull() & (F.trim(F.col(text)) != ""))
+    key = text if with_text else "_digest"
+    if not with_text:
+        kept = kept.withColumn("_digest", F.md5(F.col(text))).drop(text)
     # copies of one text collapse before the shuffle by item
-    others = [c for c in reviews.columns if c not in (item, text)]
-    unique = kept.groupBy(item, text).agg(F.min_by(F.struct(*others), order).alias("_row"))
-    flat = unique.select(item, text, *[F.col(f"_row.{c}").alias(c) for c in others])
+    others = [c for c in kept.columns if c not in (item, key)]
+    unique = kept.groupBy(item, key).agg(F.min_by(F.struct(*others), order).alias("_row"))
+    shown = [item, text] if with_text else [item]
+    flat = unique.select(*shown, *[F.col(f"_row.{c}").alias(c) for c in others])
     # row_number <= k is cut per task before the shuffle, so a hot item sends k rows per task
     ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(order)))
     return ranked.filter(F.col("rank") <= k)

@@ -23,7 +23,7 @@ def audit_items(reviews: DataFrame, set_c: DataFrame, k: int = 5) -> tuple[DataF
     """
     first = set_c.groupBy("item_id").agg(F.min("timestamp").alias("item_first_set_c_timestamp"))
     wanted = reviews.join(first.select("item_id"), "item_id", "left_semi")
-    chosen = first_unique_texts(wanted, k).join(first, "item_id")
+    chosen = first_unique_texts(wanted, k, with_text=False).join(first, "item_id")
     parsed = F.col("timestamp").isNotNull()
     early = F.coalesce(F.col("timestamp") < F.col("item_first_set_c_timestamp"), F.lit(False))
     chosen = chosen.withColumns({"timestamp_parse_ok": parsed, "strictly_pre_set_c": early})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from funnelweir.functions.scalars import safe_double
 from funnelweir.functions.tails import chi2_sf, normal_quantile, normal_two_sided
 from funnelweir.operators.moments import ALL, Fit, Problem, cluster_errors, moments, robust_errors, solve
-from funnelweir.operators.ordering import exact_quantiles, melt
+from funnelweir.operators.ordering import exact_quantiles
 
 # fixed values: support thresholds, checked in this order
 MIN_N, MIN_SD, MIN_IQR, MIN_BINS = 500, 0.02, 0.02, 4
@@ -52,23 +52,29 @@ def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def histogram_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
-    """Equal-width bins over each column's range: by, name, effective_bins, min_bin_count, max_bin_share."""
-    ids = [*by, "name"]
-    long = melt(df, columns, by).filter(F.col("value").isNotNull())
-    ranges = long.groupBy(*ids).agg(F.min("value").alias("_a"), F.max("value").alias("_b"), F.count("*").alias("_n"))
-    # one row per (group, column); groups are levels of a low-cardinality column
-    both = long.alias("l").join(
-        F.broadcast(ranges).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ids]
-    )
-    position = F.floor(F.try_divide(F.col("value") - F.col("_a"), F.col("_b") - F.col("_a")) * bins)
-    binned = both.select(
-        *[F.col(f"l.{c}") for c in ids], "_n", F.least(F.lit(bins - 1), F.coalesce(position, F.lit(0))).alias("_bin")
+    """Equal-width bins over each column's range: by, name, effective_bins, min_bin_count, max_bin_share.
+
+    Ranges come first, as one row per level; bins are then counted in one scan.
+    """
+    ranges = df.groupBy(*by).agg(
+        *[f(c).alias(f"_{side}{i}") for i, c in enumerate(columns) for side, f in (("a", F.min), ("b", F.max))]
     )
-    counts = binned.groupBy(*ids, "_n", "_bin").agg(F.count("*").alias("_c"))
-    return counts.groupBy(*ids).agg(
+    if by:
+        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+        wide = df.alias("l").join(F.broadcast(ranges).alias("r"), on)
+    else:
+        wide = df.alias("l").crossJoin(F.broadcast(ranges).alias("r"))
+    lines = []
+    for i, c in enumerate(columns):
+        x, low, high = F.col(f"l.{c}").cast("double"), F.col(f"r._a{i}"), F.col(f"r._b{i}")
+        place = F.coalesce(F.floor(F.try_divide(x - low, high - low) * bins), F.lit(0))
+        lines.append(F.struct(F.lit(c).alias("name"), F.when(x.isNotNull(), F.least(F.lit(bins - 1), place)).alias("_bin")))
+    binned = wide.select(*[F.col(f"l.{k}").alias(k) for k in by], F.inline(F.array(*lines))).filter("_bin IS NOT NULL")
+    counts = binned.groupBy(*by, "name", "_bin").agg(F.count("*").alias("_c"))
+    return counts.groupBy(*by, "name").agg(
         F.count("*").alias("effective_bins"),
         F.min("_c").alias("min_bin_count"),
-        F.max(F.col("_c") / F.col("_n")).alias("max_bin_share"),
+        (F.max("_c") / F.sum("_c")).alias("max_bin_share"),
     )
 
 
@@ -90,18 +96,28 @@ def support(
     """One row per column (and level of ``by``) with spread, bins and the gate decision."""
     ids = [*by, "name"]
     clean = df.select(*by, *[safe_double(c).alias(c) for c in columns])
-    long = melt(clean, columns, by).filter(F.col("value").isNotNull())
-    spread = long.groupBy(*ids).agg(F.count("*").alias("n"), F.stddev("value").alias("sd"))
-    # every part holds one row per level and column
+    # several scans follow; a frame the caller has cached is not cached again
+    own_cache = not df.is_cached
+    if own_cache:
+        clean = clean.persist()
+    spread = clean.groupBy(*by).agg(
+        *[f(c).alias(f"{side}{i}") for i, c in enumerate(columns) for side, f in (("n", F.count), ("sd", F.stddev))]
+    )
+    # every part holds a few numbers per level and column
     parts: dict[tuple, dict] = {}
+    for r in spread.collect():
+        for i, c in enumerate(columns):
+            if r[f"n{i}"]:
+                parts[(*[r[k] for k in by], c)] = {"n": r[f"n{i}"], "sd": r[f"sd{i}"]}
     for table in (
-        spread,
         exact_quantiles(clean, columns, [0.25, 0.75, 0.01, 0.99], by, few_groups=True),
         histogram_stats(clean, columns, by),
     ):
         for r in table.collect():
             parts.setdefault(tuple(r[c] for c in ids), {}).update(r.asDict())
     levels = [tuple(r) for r in clean.select(*by).distinct().collect()] if by else [()]
+    if own_cache:
+        clean.unpersist()
     nan = float("nan")
     rows = []
     for level in levels:
@@ -610,10 +626,11 @@ def weighted_effects(
     item: str | None = "item_id",
 ) -> DataFrame:
     """Joint (weighted) least squares without a support gate."""
-    clean = numeric_columns(df, [*outcomes, *treatments, *([weight] if weight else [])])
     problems = [Problem(y, tuple(treatments), (y,), weight=weight) for y in outcomes]
-    fits = fit_designs(clean, problems)
-    cluster_errors(clean, fits, user, item)
+    numbers = [*outcomes, *treatments, *([weight] if weight else [])]
+    with held(df, numbers, [c for c in (user, item) if c]) as clean:
+        fits = fit_designs(clean, problems)
+        cluster_errors(clean, fits, user, item)
     rows = [(_stage(f.y), component(t), t, *_line(f, t), f.n, f.kind) for f in fits for t in treatments]
     schema = (
         "stage string, component string, treatment string, coefficient double, std_error double, ci_lower double, "

@@ -100,6 +100,8 @@ def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name="n
 
 # a group with at most this many distinct values fits one percentile buffer
 MAX_BUFFERED_VALUES = 200_000
+# rows times columns that may sit in the percentile buffers of one task
+MAX_BUFFERED_CELLS = 5_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -144,43 +146,76 @@ def _quantiles_by_rank(
     return _interpolated(both, ids, probs, None)
 
 
-def _quantiles_by_bracket(
-    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int
-) -> DataFrame:
-    """Exact quantiles of few groups: a sketch first, then only values near the wanted ranks."""
+def _bracketed_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], buffer_rows: int
+) -> list[tuple]:
+    """Exact quantiles of few groups as rows (by..., name, p0, p1, ...).
+
+    A sketch sizes the groups and brackets every quantile. Small groups use the
+    ``percentile`` aggregate. Otherwise one scan counts the values below each
+    bracket, one takes out the values inside (a sliver of the rows), and only
+    those are ranked.
+    """
+    clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     slack = 2.0 / SKETCH_ACCURACY
     bounds = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = long.groupBy(*ids).agg(
-        F.count("*").alias("_n"), F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("_b")
+    sketch = clean.groupBy(*by).agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, bounds, SKETCH_ACCURACY).alias(f"b{i}") for i, c in enumerate(columns)],
     )
     # a few numbers per group; the caller vouches for few groups
     found = sketch.collect()
-    if max((r["_n"] for r in found), default=0) <= buffer_rows:
+    sizes = {(tuple(r[k] for k in by), i): r[f"n{i}"] for r in found for i in range(len(columns))}
+    if max(sizes.values(), default=0) * len(columns) <= buffer_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        picked = long.groupBy(*ids).agg(F.percentile("value", wanted).alias("_q"))
-        return picked.select(*ids, *[F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))])
-    rows = [
-        (*[r[c] for c in ids], r["_n"], i, r["_b"][2 * i], r["_b"][2 * i + 1]) for r in found for i in range(len(probs))
+        exact = clean.groupBy(*by).agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns)])
+        return [
+            (*[r[k] for k in by], c, *r[f"q{i}"]) for r in exact.collect() for i, c in enumerate(columns) if r[f"q{i}"]
+        ]
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
+    flat = [
+        (*[r[k] for k in by], *[v for i, j in cells for v in (r[f"b{i}"] or [None] * len(bounds))[2 * j : 2 * j + 2]])
+        for r in found
     ]
-    id_types = [f"{n} {t}" for n, t in sketch.select(*ids).dtypes]
-    schema = ", ".join([*id_types, "_n long, _p int, _low double, _high double"])
-    limits = long.sparkSession.createDataFrame(rows, schema)
-    near = (
-        long.alias("l")
-        .join(F.broadcast(limits).alias("r"), _null_safe("l", "r", ids))
-        .filter("l.value <= r._high")
-        .select(
-            *[F.col(f"l.{c}") for c in ids],
-            "_n",
-            "_p",
-            # everything below the bracket is one NULL row, which sorts first
-            F.when(F.col("l.value") >= F.col("r._low"), F.col("l.value")).alias("value"),
+    kinds = [f"{n} {t}" for n, t in clean.select(*by).dtypes] if by else []
+    names = [f"{side}{i}_{j}" for i, j in cells for side in ("low", "high")]
+    limits = df.sparkSession.createDataFrame(flat, ", ".join([*kinds, *[f"{n} double" for n in names]]))
+    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by] or None
+    wide = clean.alias("l")
+    wide = wide.join(F.broadcast(limits).alias("r"), keys) if by else wide.crossJoin(F.broadcast(limits).alias("r"))
+    wide = wide.select(*[F.col(f"l.{c}").alias(c) for c in [*by, *columns]], *[F.col(f"r.{n}").alias(n) for n in names])
+    value = lambda i: F.col(columns[i])
+    inside = {(i, j): value(i).between(F.col(f"low{i}_{j}"), F.col(f"high{i}_{j}")) for i, j in cells}
+    below = wide.groupBy(*by).agg(
+        *[F.count_if(value(i) < F.col(f"low{i}_{j}")).alias(f"c{i}_{j}") for i, j in cells]
+    )
+    lower = {(tuple(r[k] for k in by), i, j): r[f"c{i}_{j}"] for r in below.collect() for i, j in cells}
+    touched = F.lit(False)
+    for condition in inside.values():
+        touched = touched | F.coalesce(condition, F.lit(False))
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(inside[i, j], F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), value(i).alias("value")))
+                for i, j in cells
+            ]
         )
     )
-    keys = [*ids, "_n", "_p"]
-    counts = near.groupBy(*keys, "value").agg(F.count("*").alias("_cnt"))
-    ranked = prefix_sums(counts, keys, ["value"], {"_before": "_cnt"})
-    return _interpolated(ranked, ids, probs, "_p")
+    near = wide.filter(touched).select(*by, F.inline(hits))
+    groups = [*by, "_c", "_p"]
+    counts = near.groupBy(*groups, "value").agg(F.count("*").alias("_cnt"))
+    ranked = prefix_sums(counts, groups, ["value"], {"_before": "_cnt"})
+    offsets = df.sparkSession.createDataFrame(
+        [(*g, i, j, n, sizes[g, i]) for (g, i, j), n in lower.items()],
+        ", ".join([*kinds, "_c int, _p int, _below long, _n long"]),
+    )
+    placed = ranked.alias("l").join(F.broadcast(offsets).alias("r"), _null_safe("l", "r", groups)).select(
+        *[F.col(f"l.{c}").alias(c) for c in [*groups, "value", "_cnt"]],
+        "_n",
+        (F.col("l._before") + F.col("r._below")).alias("_before"),
+    )
+    picked = _interpolated(placed, [*by, "_c"], probs, "_p").collect()
+    return [(*[r[k] for k in by], columns[r["_c"]], *[r[f"p{j}"] for j in range(len(probs))]) for r in picked]
 
 
 def exact_quantiles(
@@ -193,25 +228,22 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles, exact at any size: by, name, p0, p1, ...
 
-    With few groups (the default without ``by``) a sketch sizes the groups.
-    Groups up to ``buffer_rows`` use the ``percentile`` aggregate; beyond, the
-    sketch brackets each quantile, so only a sliver of the rows is sorted, and
-    a missed bracket falls back to ranking value counts. With many groups value
-    counts go to ``percentile`` while its buffer is bounded, and to prefix sums
-    beyond.
+    With few groups (the default without ``by``) a sketch brackets the wanted
+    ranks, see :func:`_bracketed_quantiles`; should a bracket miss, value counts
+    are ranked instead. With many groups value counts go to ``percentile`` while
+    its buffer is bounded, and to prefix sums beyond.
     """
     ids = [*by, "name"]
-    long = melt(df, columns, by).filter(F.col("value").isNotNull())
-    if buffer_rows is None:
-        buffer_rows = MAX_BUFFERED_VALUES
     if few_groups is None:
         few_groups = not by
     if few_groups:
-        found = _quantiles_by_bracket(long, ids, probs, buffer_rows)
-        rows = found.collect()
-        if all(r[f"p{i}"] is not None for r in rows for i in range(len(probs))):
-            return long.sparkSession.createDataFrame(rows, found.schema)
-    return _quantiles_by_rank(long, ids, probs, buffer_rows)
+        rows = _bracketed_quantiles(df, columns, probs, by, MAX_BUFFERED_CELLS if buffer_rows is None else buffer_rows)
+        if all(v is not None for r in rows for v in r[len(by) :]):
+            kinds = [f"{n} {t}" for n, t in df.select(*by).dtypes] if by else []
+            schema = ", ".join([*kinds, "name string", *[f"p{i} double" for i in range(len(probs))]])
+            return df.sparkSession.createDataFrame(rows, schema)
+    long = melt(df, columns, by).filter(F.col("value").isNotNull())
+    return _quantiles_by_rank(long, ids, probs, MAX_BUFFERED_VALUES if buffer_rows is None else buffer_rows)
 
 
 def quantile_scalars(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:

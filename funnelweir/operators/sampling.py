@@ -13,6 +13,8 @@ from funnelweir.operators.ordering import global_row_number, prefix_sums, quanti
 
 # draws of one user are generated in blocks of this many, so a long walk is shared by several tasks
 WALK_BLOCK = 1024
+# a pool of at most this many items is sent to every task; a larger one is shuffled
+BROADCAST_ITEMS = 200_000
 
 
 def next_prime(n: int) -> int:
@@ -24,9 +26,10 @@ def next_prime(n: int) -> int:
 
 
 def item_index(items: DataFrame, item: str) -> tuple[DataFrame, int]:
-    """Distinct items with a dense index ``_idx`` and their number."""
+    """Distinct items with a dense index ``_idx`` and their number; a counted small pool is marked for broadcast."""
     pool = global_row_number(items.select(item).distinct(), [item], "_idx").withColumn("_idx", F.col("_idx") - 1)
-    return pool, pool.count()
+    size = pool.count()
+    return (F.broadcast(pool) if size <= BROADCAST_ITEMS else pool), size
 
 
 def uniform_unseen(
@@ -45,15 +48,19 @@ def uniform_unseen(
     blocked = seen.select(user, item).distinct().join(indexed.select(item), item, "left_semi")
     counts = blocked.groupBy(user).agg(F.count("*").alias("_blocked"))
     steps = F.least(F.lit(prime), F.lit(k + prime - size) + F.coalesce("_blocked", F.lit(0)))
-    walkers = users.select(user).distinct().join(counts, user, "left").withColumn("_steps", steps)
+    stride = hash_index(max(1, prime - 1), f"{seed}|stride", user) + 1
+    start = hash_index(prime, f"{seed}|start", user)
+    walkers = users.select(user).distinct().join(counts, user, "left")
+    walkers = walkers.withColumns({"_steps": steps, "_stride": stride, "_start": start})
     blocks = walkers.select(
-        user, "_steps", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / WALK_BLOCK))).alias("_block")
+        user, "_steps", "_stride", "_start", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / WALK_BLOCK))).alias("_block")
     ).repartition(user, "_block")
     last = F.least(F.col("_steps"), (F.col("_block") + 1) * WALK_BLOCK) - 1
-    walk = blocks.select(user, F.explode(F.sequence(F.col("_block") * WALK_BLOCK, last)).alias("_j"))
-    stride = hash_index(max(1, prime - 1), f"{seed}|stride", user) + 1
-    start = hash_index(prime, f"{seed}|start", user)
-    drawn = walk.withColumn("_idx", (stride * F.col("_j") + start) % prime).filter(F.col("_idx") < size)
+    walk = blocks.select(
+        user, "_stride", "_start", F.explode(F.sequence(F.col("_block") * WALK_BLOCK, last)).alias("_j")
+    )
+    place = (F.col("_stride") * F.col("_j") + F.col("_start")) % prime
+    drawn = walk.select(user, "_j", place.alias("_idx")).filter(F.col("_idx") < size)
     fresh = drawn.join(indexed, "_idx").join(blocked, [user, item], "left_anti")
     order = Window.partitionBy(user).orderBy("_j")
     taken = fresh.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= k)

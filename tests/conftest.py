@@ -30,4 +30,5 @@ def paths(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
         monkeypatch.setattr(ordering, "MAX_BUFFERED_VALUES", 0)
+        monkeypatch.setattr(ordering, "MAX_BUFFERED_CELLS", 0)
     return request.param
