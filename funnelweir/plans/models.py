@@ -29,6 +29,7 @@ NUIS_SQL = """nuis AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_partkey,
   l_discount * 10 AS T_a, CASE WHEN l_linenumber % 5 > 0 THEN l_tax * 12 END AS T_b, CAST(l_returnflag = 'N' AS INT) AS y_purchase,
   l_quantity / 50 AS x_size, ln(1 + l_extendedprice) - 10 AS x_price, CASE WHEN l_linenumber % 3 > 0 THEN l_discount + l_tax END AS x_gap FROM lineitem)"""
 FILLED = [f"COALESCE({x}, 0)" for x in X]
+SPLIT_B = "split = 'B'"
 
 
 def nuisance_table(spark, d):
@@ -205,7 +206,23 @@ def selection_propensity(spark, d):
     return N.fit_metrics(out, ["certified"], "outcome")
 
 
-@query("M13_short_design_refit")
+_SHORT = [f"COALESCE({x}, 0)" for x in X if x != "x_price"]
+
+
+def _short_residual(t: str) -> str:
+    hat = " + ".join([f"s_{t}_w.c0", *[f"s_{t}_w.c{i} * {x}" for i, x in enumerate(_SHORT, 1)]])
+    return f"{t} - LEAST(1, GREATEST(0, {hat}))"
+
+
+@query(
+    "M13_short_design_refit",
+    f"WITH {NUIS_SQL}, {', '.join(c for t in TREATMENTS for c in Q.ols_ctes(f's_{t}', 'nuis', t, _SHORT, SPLIT_B, clusters=False))} "
+    + sql_rounded(
+        f"SELECT COUNT(*) AS rows, {', '.join(f'STDDEV_SAMP({_short_residual(t)}) AS sd_{t}' for t in TREATMENTS)} FROM nuis, {', '.join(f's_{t}_w' for t in TREATMENTS)} WHERE split = 'C'",
+        ["rows"],
+        [f"sd_{t}" for t in TREATMENTS],
+    ),
+)
 def short_design_refit(spark, d):
     train, test = parts(spark, d)
     short = N.residualize(train, test, TREATMENTS, [x for x in X if x != "x_price"])
