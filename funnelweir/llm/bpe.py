@@ -16,6 +16,7 @@ import json
 import re
 from array import array
 from bisect import bisect_right
+from functools import cached_property
 from itertools import accumulate
 
 import ahocorasick
@@ -27,8 +28,8 @@ NEVER = 1 << 40
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries that each half of a cache may hold, and the longest text that is kept in one.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
-PAIR_ENTRIES = 1_000_000
+CACHE_ENTRIES, CACHE_CHARS = 130_000, 40
+PAIR_ENTRIES = 500_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _INNER_SPACE = re.compile(r"(?<!\s) (?!\s)")
@@ -102,12 +103,18 @@ class Vocabulary:
         self.pairs = Pairs(self)
         self.size = {i: len(b) for i, b in self.bytes.items()}
         self._whole: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.text = dict(self.bytes) | {i: t.encode() for t, i in self.special.items()}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Lists the tokens that end at each byte of a piece; decoding does without it."""
+        found = ahocorasick.Automaton()
         for i, b in self.bytes.items():
             if b and self.whole(i):
-                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
-        self.automaton.make_automaton()
-        self.text = dict(self.bytes) | {i: t.encode() for t, i in self.special.items()}
+                found.add_word(b.decode("latin-1"), (i, len(b)))
+        found.make_automaton()
+        self._whole.clear()
+        return found
 
     def ends(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at one end of ``token`` while it is built, each with the merge that takes it in."""
