@@ -62,7 +62,7 @@ def kind_of(mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
     kind = F.when(mention.rlike("^[^ ]+@"), "mail").when(mention.rlike(r"^AKIA[0-9A-Z]{16}$"), "access").when(mention.rlike(r"^[0-9a-f]{40}$"), "secret")
     kind = kind.when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "address").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
-    kind = kind.when(mention.rlike(r"^\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}$"), F.when(F.luhn_check(digits), "card").otherwise("none"))
+    kind = kind.when(mention.rlike(r"^\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}$"), F.when(F.call_function("luhn_check", digits), "card").otherwise("none"))
     kind = kind.when(mention.rlike(r"^(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"), "phone")
     title = F.split_part(mention, F.lit(" "), F.lit(1))
     kind = kind.when(title.isin(*FEMALE), "name_f").when(title.isin(*MALE), "name_m")
@@ -72,7 +72,7 @@ def kind_of(mention: Column) -> Column:
 def canonical(mention: Column, kind: Column) -> Column:
     """What all mentions of an entity have in common; phone numbers by their last ten digits."""
     digits = F.regexp_replace(mention, r"\D", "")
-    name = F.lower(F.substring_index(mention, " ", -1 * (F.size(F.split(mention, " ")) - 1))) if False else F.lower(F.regexp_replace(mention, r"^\S+ ", ""))
+    name = F.lower(F.regexp_replace(mention, r"^\S+ ", ""))
     plain = F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "social"), digits)
     return plain.when(kind == "mail", F.lower(mention)).when(kind.isin("name_f", "name_m"), name).otherwise(mention)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelweir.llm import bpe_codec, embedding_dedup, quality, sharding, simhash, token_counts, warc
+from funnelweir.llm import bpe_codec, embedding_dedup, mixing, pii, preferences, quality, sharding, simhash, token_counts, warc
 from funnelweir.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,70 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op4_preferences",
+    """
+    WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    replies AS (
+        SELECT conv_id, max(turn) AS last_turn, max({'turn': turn, 'text': text}).text AS reply FROM turns WHERE role = 'assistant' GROUP BY conv_id
+    ),
+    ends AS (
+        SELECT a.conv_id, a.last_turn, coalesce(b.reply, '') AS reply FROM replies a LEFT JOIN replies b ON xor(b.conv_id, 1) = a.conv_id
+    ),
+    lost AS (
+        SELECT t.conv_id, t.turn, t.role, t.text FROM turns t LEFT JOIN ends e USING (conv_id) WHERE e.last_turn IS NULL OR t.turn < e.last_turn
+        UNION ALL SELECT conv_id, last_turn, 'assistant', reply FROM ends
+    ),
+    c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at, role, text FROM turns),
+    r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at, role, text FROM lost),
+    differ AS (
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.at, r.at)) - 1 AS n
+        FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.at = r.at AND c.role = r.role AND c.text = r.text
+        WHERE c.at IS NULL OR r.at IS NULL GROUP BY 1
+    ),
+    shared AS (SELECT k.conv_id, coalesce(d.n, k.n) AS n FROM (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id) k LEFT JOIN differ d USING (conv_id)),
+    shown AS (
+        SELECT conv_id, at, role, text, 'c' AS side, '<|im_start|>' || role || chr(10) AS head FROM c
+        UNION ALL SELECT conv_id, at, role, text, 'r', '<|im_start|>' || role || chr(10) FROM r
+    ),
+    parts AS (
+        SELECT conv_id, n,
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'c' AND at <= n), '') AS prompt,
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'c' AND at > n), '') AS chosen,
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'r' AND at > n), '') AS rejected,
+            coalesce(sum(length(text) + 11) FILTER (side = 'c' AND at > n AND role = 'assistant'), 0) AS chosen_trained,
+            coalesce(sum(length(text) + 11) FILTER (side = 'r' AND at > n AND role = 'assistant'), 0) AS rejected_trained
+        FROM shown JOIN shared USING (conv_id) GROUP BY conv_id, n
+    )
+    SELECT conv_id, CAST(n AS INTEGER) AS shared_turns, md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5,
+        CAST(length(prompt) AS BIGINT) AS prompt_chars, CAST(chosen_trained AS BIGINT) AS chosen_trained, CAST(rejected_trained AS BIGINT) AS rejected_trained
+    FROM parts
+    """,
+)
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preference pair per conversation against one with a borrowed last reply, as digests."""
+    chosen, rejected = preferences.borrowed_replies(table(spark, sf_dir, "conversations"))
+    pairs = preferences.preference_pairs(chosen, rejected, "conv_id")
+    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + F.when(s["trained"], s["stop"] - s["start"]).otherwise(0))
+    digests = [F.md5(F.encode(c, "UTF-8")).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")]
+    sums = [trained(F.col(f"{c}_spans")).alias(f"{c}_trained") for c in ("chosen", "rejected")]
+    return pairs.select("conv_id", "shared_turns", *digests, F.char_length("prompt").cast("long").alias("prompt_chars"), *sums)
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    return pii.pseudonymized(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document for a mix by labelled domains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixer = mixing.fit(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.MIX, "good")
+    return mixing.with_rates(docs, mixer).drop("text")
+
+
 @query("op7_embedding_dedup")
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at a cosine of 0.9 or more."""
