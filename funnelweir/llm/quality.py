@@ -122,6 +122,20 @@ def measure(text: str, min_repeat: int, max_covered: float, max_longest: int) ->
     return n, chars, symbols, doubled, repeated, covered, longest, [{"start": a, "stop": b} for a, b in spans], failed, kept
 
 
+def accepted(
+    docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 100, text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns as they are."""
+    where = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(where)
+            yield batch.filter(pa.array([measure(texts[i].as_py() or "", min_repeat, max_covered, max_longest)[-1] for i in range(len(texts))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(
     docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 100, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:

@@ -114,3 +114,124 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = 32, id_column:
     named = cut(placed.select("fp", "component").join(least, "component").select("fp", "component_id"))
     hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(named, "fp").select(F.col("id").alias(id_column), hexadecimal, "component_id")
+
+
+# ---- similar texts: the same blocks as candidates, verified on the shingles themselves
+
+
+def text_sketch(text: str, words: int, size: int) -> bytes:
+    """The ``size`` smallest distinct hashes of the shingles, 32 bits each, in order."""
+    found = text.encode().lower().split()
+    if not found:
+        return b""
+    n = max(1, len(found) - words + 1)
+    least = np.empty(0, "<u4")
+    for at in range(0, n, STEP):
+        part = [xxhash.xxh32_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(at, min(n, at + STEP))]
+        least = np.unique(np.concatenate((least, np.array(part, "<u4"))))[:size]
+    return least.astype("<u4").tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two shingle sets: exact if both fit their sketches, else estimated from the smallest hashes of the union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) >= size:
+        union = union[:size]
+    if not len(union):
+        return 1.0
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def sketched(docs: DataFrame, words: int, size: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, fp, sketch, class_id); h: hash of the whole text, class_id: of fingerprint and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, prints, sketches = batch.column(2), [], []
+            for i in range(len(texts)):
+                text = texts[i].as_py()
+                prints.append(text_fingerprint(text, words))
+                sketches.append(text_sketch(text, words, size))
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(sketches, pa.binary())], names=["id", "h", "fp", "sketch"])
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h long, fp long, sketch binary").withColumn("class_id", F.xxhash64("fp", "sketch"))
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (u, v) of classes whose shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            good = [sketch_similarity(x[i].as_py(), y[i].as_py(), size) >= similarity for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left = sketches.select(F.col("class_id").alias("u"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("class_id").alias("v"), F.col("sketch").alias("y"))
+    return pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def similar_links(sketches: DataFrame, similarity: float, distance: int, agree: int, reach: int, size: int) -> DataFrame:
+    """(node, component) of the classes that similar candidates connect.
+
+    Candidates share a block. First every member of a block is compared with the block's
+    leader, its smallest class, which connects large groups of near copies at the cost of a
+    row per member. Then only members that are not yet connected with their leader are
+    compared with the block's other members. What the second step leaves out is connected
+    already, so no connection is lost and large groups give no pairs in the square of their size.
+    """
+    masks = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(signed(m)).alias("mask")) for k, m in enumerate(block_masks(distance, agree))])
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        spread = rows.select("class_id", "fp", "group", F.explode(masks).alias("m"))
+        return spread.select("class_id", "fp", "group", F.col("m.block").alias("block"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("part"))
+
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach
+    alone = blocks(sketches.select("class_id", "fp", F.col("class_id").alias("group")))
+    leaders = alone.groupBy("block", "part").agg(F.min(F.struct("class_id", "fp")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    leaders = cut(leaders.select("block", "part", F.col("lead.class_id").alias("v"), F.col("lead.fp").alias("v_fp")))
+    stars = alone.join(leaders, ["block", "part"]).filter((F.col("class_id") != F.col("v")) & near("fp", "v_fp")).select(F.col("class_id").alias("u"), "v")
+    edges = cut(verified(stars, sketches, similarity, size))
+    first = components(edges)
+    grouped = sketches.select("class_id", "fp").join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
+    grouped = cut(grouped.select("class_id", "fp", F.coalesce("component", "class_id").alias("group")))
+    members = blocks(grouped)
+    mixed = members.groupBy("block", "part").agg(F.min(F.struct("class_id", "group")).alias("lead"), F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = cut(mixed.filter("low <> high").select("block", "part", F.col("lead.group").alias("lead")))
+    rest = members.join(mixed, ["block", "part"]).filter("group <> lead")
+    rest = rest.select("block", "part", "lead", F.col("class_id").alias("u"), F.col("fp").alias("u_fp"), F.col("group").alias("u_group"))
+    open_pair = (F.col("group") != F.col("u_group")) & ((F.col("group") == F.col("lead")) | (F.col("u") < F.col("class_id")))
+    pairs = rest.join(members, ["block", "part"]).filter(open_pair & near("fp", "u_fp")).select("u", F.col("class_id").alias("v"))
+    return components(edges.union(verified(pairs, sketches, similarity, size)))
+
+
+def without_near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, agree: int = 2, reach: int = 17, size: int = 256, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` of which one of each group of similar texts stays: the one with the smallest id.
+
+    Texts link if the sets of their ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Candidates agree in ``agree`` of ``distance + agree`` pieces of
+    their fingerprints and differ in at most ``reach`` bits: complete up to ``distance``
+    bits; further apart a pair is found unless its bits touch all pieces but one.
+    Shingle sets beyond ``size`` hashes are compared by their smallest ``size``.
+    Of repeated rows one stays. A row with a null id stays only if no row of its group has an id.
+    """
+    marked = cut(sketched(docs, words, size, id_column, text_column))
+    named = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"))
+    classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    labels = similar_links(classes.select("class_id", "fp", "sketch"), similarity, distance, agree, reach, size)
+    groups = classes.select("class_id", "least").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    stay = groups.groupBy(F.coalesce("component", "class_id").alias("g")).agg(F.min("least").alias("least"))
+    stay = cut(stay.select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))
+    columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in columns.items()])
+    rows = rows.withColumn("__row", F.xxhash64(F.coalesce(F.col(columns[text_column]), F.lit(""))))
+    kept = rows.join(stay, F.col("__id").eqNullSafe(F.col(columns[id_column])) & (F.col("__h") == F.col("__row")))
+    kept = kept.dropDuplicates(["__id", "__h"])
+    return kept.select(*[F.col(n).alias(c) for c, n in columns.items()])
