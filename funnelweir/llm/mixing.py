@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from funnelweir.llm.bpe import Recent
 from funnelweir.llm.common import cut
@@ -133,20 +132,21 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_label
     return Mixer(domains, weights, bias)
 
 
-def memberships(docs: DataFrame, mixer: Mixer, text_column: str) -> DataFrame:
-    """(n, p): tokens and posteriors of every document, one narrow row each."""
+def memberships(docs: DataFrame, mixer: Mixer, id_column: str, text_column: str) -> DataFrame:
+    """(id, n, p): tokens and posteriors of every document, one narrow row each."""
     weights, bias = mixer.weights, mixer.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, p = batch.column(0), [], []
+            texts, n, p = batch.column(1), [], []
             for i in range(len(texts)):
                 words = words_of(texts[i].as_py())
                 n.append(len(words))
                 p.append(posterior(words, weights, bias))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["n", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["id", "n", "p"])
 
-    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, "n long, p array<double>")
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n long, p array<double>")
 
 
 def summed(members: DataFrame, mixer: Mixer, products: bool = False) -> np.ndarray:
@@ -165,7 +165,7 @@ def summed(members: DataFrame, mixer: Mixer, products: bool = False) -> np.ndarr
                 total += (n * mixer.rates(p)[1]) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], names=["place", "value"])
 
-    rows = members.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    rows = members.select("n", "p").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
     out = np.zeros(width)
     for row in rows:
         out[row["place"]] = row["value"]
@@ -183,11 +183,14 @@ def fit(
     tolerance: float = 2e-5,
     id_column: str = "doc_id",
     text_column: str = "text",
-) -> Mixer:
-    """``labels`` has columns id and domain; ``weights`` gives each domain's share of the mix."""
+) -> tuple[Mixer, DataFrame]:
+    """The fitted mixer, and (id, n, p) of every document.
+
+    ``labels`` has columns id and domain; ``weights`` gives each domain's share of the mix.
+    """
     domains = sorted(weights)
     mixer = classifier(docs, labels, domains, max_labelled, id_column, text_column)
-    members = cut(memberships(docs, mixer, text_column))
+    members = cut(memberships(docs, mixer, id_column, text_column))
     spread = summed(members, mixer, products=True).reshape(len(domains), -1)
     now = spread.sum(axis=1)
     mixer.total = float(now.sum()) or 1.0
@@ -200,34 +203,46 @@ def fit(
         mixer.gradients.append(gradient)
         if len(mixer.gradients) > 1 and np.abs(gradient - mixer.gradients[-2]).max() < tolerance:
             break
-    return mixer
+    return mixer, members
+
+
+def draw_of(column: str):
+    """A number in [0, 1) by the hash of an id."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), column), 11).cast("double") / float(1 << 53)
 
 
-def with_rates(docs: DataFrame, mixer: Mixer, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input's rows and columns with n_tokens, posteriors, rate and copies.
+def rates_of(members: DataFrame, mixer: Mixer, id_column: str = "doc_id") -> DataFrame:
+    """id, n_tokens, posteriors, rate and copies out of (id, n, p)."""
+    k = len(mixer.domains)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            rate = mixer.rates(p)[0]
+            copies = np.floor(rate + batch.column(3).to_numpy(zero_copy_only=False)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rate), pa.array(copies)], names=["id", "n_tokens", "posteriors", "rate", "copies"])
 
-    Columns of the input with these names are replaced.
+    kind = members.schema["id"].dataType.simpleString()
+    out = members.select("id", "n", "p", draw_of("id").alias("draw")).mapInArrow(run, f"id {kind}, {ADDED}")
+    return out.withColumnRenamed("id", id_column)
+
+
+def sampled(docs: DataFrame, mixer: Mixer, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that get a copy or more, once each, with all columns as they are.
+
+    Posteriors are computed again where the rows are, so no text is shuffled.
     """
-    added = [c.split(" ")[0] for c in ADDED.split(", ")]
-    kept = [c for c in docs.columns if c not in added]
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), id_column), 11).cast("double") / float(1 << 53)
-    schema = T.StructType([*docs.select(*kept).schema.fields, *T._parse_datatype_string(ADDED).fields])
-    where = kept.index(text_column)
+    where = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, p = batch.column(where), [], []
-            for i in range(len(texts)):
-                words = words_of(texts[i].as_py())
-                n.append(len(words))
-                p.append(posterior(words, mixer.weights, mixer.bias))
-            point = np.array(p).reshape(-1, len(mixer.domains))
-            rate = mixer.rates(point)[0]
-            copies = np.floor(rate + batch.column(len(kept)).to_numpy(zero_copy_only=False)).astype(np.int64)
-            new = [pa.array(n, pa.int64()), pa.array(list(point), pa.list_(pa.float64())), pa.array(rate), pa.array(copies)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *added])
-
-    return docs.select(*[F.col(c) for c in kept], draw.alias("__draw")).mapInArrow(run, schema)
+            texts = batch.column(where)
+            p = np.array([posterior(words_of(texts[i].as_py()), mixer.weights, mixer.bias) for i in range(len(texts))])
+            rate = mixer.rates(p.reshape(-1, len(mixer.domains)))[0]
+            draw = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(rate + draw >= 1))
+
+    return docs.select(*docs.columns, draw_of(id_column).alias("__draw")).mapInArrow(run, docs.schema)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

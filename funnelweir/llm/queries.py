@@ -102,9 +102,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and copies of every document for a mix by labelled domains."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixer = mixing.fit(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.MIX, "good")
-    return mixing.with_rates(docs, mixer).drop("text")
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixer, members = mixing.fit(table(spark, sf_dir, "documents"), labels, mixing.MIX, "good")
+    return mixing.rates_of(members, mixer)
 
 
 @query("op7_embedding_dedup")
