@@ -36,7 +36,7 @@ ENDINGS = {("latin", "f"): ("a", "ia", "ine", "elle"), ("latin", "m"): ("o", "us
 
 PARTS = {
     "mail": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{40}(?![0-9A-Za-z])",
     "access": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "password": r"(?<=password=)[^\s\"']+",
     "address": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
@@ -47,14 +47,21 @@ PARTS = {
 }
 #: One alternative per type; ``card`` refers to its own separator, so its group is renumbered.
 PATTERN = "|".join(PARTS[k].replace(r"\1", r"\k<gap>").replace("([ -]?)", "(?<gap>[ -]?)") for k in PARTS)
-#: Mentions have one of these characters or a form of address; a text without them is not searched.
-HINT = r"[@]|\d|AKIA|password=|" + "|".join(t.replace(".", r"\.") for t in FEMALE + MALE)
+#: Every mention has a digit or one of these; texts without them are not searched.
+HINTS = ("@", "password=", "AKIA", *sorted({t[:2] if t[:2] in ("Mr", "Ms") else t.rstrip("a") for t in FEMALE + MALE}))
 
 MAX_DRAWS = 40
 
 
+def hinted(text: Column) -> Column:
+    found = text.rlike("[0-9]")
+    for word in HINTS:
+        found = found | text.contains(word)
+    return found
+
+
 def mentions(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(mention: Column) -> Column:
@@ -196,7 +203,7 @@ def pseudonymized(docs: DataFrame, key: str = "corpus-key", text_column: str = "
     one = F.struct("place", "kind", F.col("mention").alias("found"), F.when(F.col("surrogate").isNull(), F.col("mention")).otherwise(in_format(F.col("mention"), F.col("kind"), F.col("surrogate"))).alias("surrogate"))
     ready = cut(each.join(named, ["kind", "form"], "left").select("k1", "k2", one.alias("one")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("one")).alias("all")))
     empty = F.array().cast("array<struct<kind:string,found:string,surrogate:string>>")
-    has = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
+    has = F.coalesce(hinted(text) & text.rlike(PATTERN), F.lit(False))
     clean = own.filter(~has).withColumn("pii_entities", empty)
     a, b = text_key(text)
     dirty = own.filter(has)

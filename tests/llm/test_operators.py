@@ -178,7 +178,7 @@ def test_one_of_each_group_of_similar_texts_stays(spark, odd):
     linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
     want = set(brute_components(range(len(rows)), linked).values())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"] for r in simhash.without_near_copies(docs, size=1024).collect()}
+    got = {r["doc_id"] for r in simhash.without_near_copies(docs, size=1024, reach=17).collect()}
     assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
     kept = simhash.without_near_copies(odd)
     assert kept.columns == odd.columns
