@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelweir.llm.bpe import encoder, vocabulary_path
+from funnelweir.llm.common import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,7 +35,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_
         own = encoder(vocabulary_path(vocabulary))
         if sys.byteorder != "little":
             raise RuntimeError("ids are packed little-endian")
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             ids = [own.encode(texts[i].as_py()) for i in range(len(texts))]
             out = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -49,7 +50,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(vocabulary))
-        for batch in batches:
+        for batch in slices(batches):
             packed = batch.column(1)
             texts = [own.decode(array("I", packed[i].as_py())) for i in range(len(packed))]
             sizes = pa.array([len(packed[i].as_py()) // 4 for i in range(len(packed))], pa.int64())

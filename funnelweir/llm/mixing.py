@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelweir.llm.bpe import Recent
-from funnelweir.llm.common import cut
+from funnelweir.llm.common import cut, slices
 
 BUCKETS = 1 << 16
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -123,7 +123,7 @@ def classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_label
     texts = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "label_id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             packed = [buckets(words_of(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "found"])
 
@@ -137,7 +137,7 @@ def memberships(docs: DataFrame, mixer: Mixer, id_column: str, text_column: str)
     weights, bias = mixer.weights, mixer.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n, p = batch.column(1), [], []
             for i in range(len(texts)):
                 words = words_of(texts[i].as_py())
@@ -156,7 +156,7 @@ def summed(members: DataFrame, mixer: Mixer, products: bool = False) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             if products:
@@ -216,7 +216,7 @@ def rates_of(members: DataFrame, mixer: Mixer, id_column: str = "doc_id") -> Dat
     k = len(mixer.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             rate = mixer.rates(p)[0]
             copies = np.floor(rate + batch.column(3).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -235,7 +235,7 @@ def sampled(docs: DataFrame, mixer: Mixer, id_column: str = "doc_id", text_colum
     where = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(where)
             p = np.array([posterior(words_of(texts[i].as_py()), mixer.weights, mixer.bias) for i in range(len(texts))])
             rate = mixer.rates(p.reshape(-1, len(mixer.domains)))[0]

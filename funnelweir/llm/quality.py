@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from funnelweir.llm.common import slices
+
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -129,7 +131,7 @@ def accepted(
     where = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(where)
             yield batch.filter(pa.array([measure(texts[i].as_py() or "", min_repeat, max_covered, max_longest)[-1] for i in range(len(texts))], pa.bool_()))
 
@@ -150,7 +152,7 @@ def quality(
     kinds = [pa.int64()] * 7 + [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             rows = [measure(texts[i].as_py(), min_repeat, max_covered, max_longest) for i in range(len(texts))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelweir.llm.bpe import encoder, vocabulary_path
+from funnelweir.llm.common import slices
 
 
 def token_counts(
@@ -31,7 +32,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(vocabulary))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             total, fit, every = [], [], []
             for i in range(len(texts)):
