@@ -172,11 +172,9 @@ def normalized_adjacency(graph: DataFrame, symmetric: bool = True) -> DataFrame:
     return both.select("src", "dst", (1.0 / F.sqrt(F.col("_d").cast("double") * F.col("_e"))).alias("weight"))
 
 
-def interaction_lines(edges: DataFrame, user: str, item: str, max_items: int = 100_000) -> DataFrame:
-    """Text lines ``user item item ...``; a user with more than ``max_items`` items gets several lines."""
-    numbered = prefix_sums(edges.select(user, item).distinct().withColumn("_one", F.lit(1)), [user], [item], {"_k": "_one"})
-    chunked = numbered.withColumn("_chunk", F.floor(F.col("_k") / max_items))
-    lists = chunked.groupBy(user, "_chunk").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+def interaction_lines(edges: DataFrame, user: str, item: str) -> DataFrame:
+    """Text lines ``user item item ...``, one per user, items in order."""
+    lists = edges.select(user, item).distinct().groupBy(user).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     return lists.select(F.concat_ws(" ", F.col(user).cast("string"), F.array_join(F.transform("_items", lambda x: x.cast("string")), " ")).alias("value"))
 
 

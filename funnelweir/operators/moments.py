@@ -85,9 +85,9 @@ def moments(
             values = batch[numeric].to_numpy(dtype=float)
             finite = np.isfinite(values)
             filled = np.where(finite, values, 0.0)
-            levels = batch["_level"].to_numpy(dtype=object)
-            for name in pd.unique(levels):
-                here = np.array([v == name for v in levels]) if by else np.ones(len(levels), dtype=bool)
+            codes, names = pd.factorize(batch["_level"], use_na_sentinel=False)
+            for code, name in enumerate(names):
+                here = codes == code
                 for number, (x, y, w, fill, constant) in enumerate(layout):
                     needed = y + ([w] if w is not None else []) + ([] if fill else x)
                     rows = here & finite[:, needed].all(axis=1) if needed else here

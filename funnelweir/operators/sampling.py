@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from funnelweir.functions.hashing import hash_index, hash_key
 from funnelweir.operators.ordering import global_row_number, prefix_sums, quantile_edges, right_closed_bin
+from funnelweir.session import cut
 
 # draws of one user are generated in blocks of this many, so a long walk is shared by several tasks
 WALK_BLOCK = 1024
@@ -107,11 +108,22 @@ def rejection_draws(
     return kept.select(*dict.fromkeys([*keys, user]), out, "attempt")
 
 
-def training_triples(edges: DataFrame, user: str, item: str, pool: DataFrame, samples: int, seed) -> DataFrame:
-    """(sample, user, item, negative) with one unseen negative per edge and sample."""
-    rows = edges.select(user, item).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    drawn = rejection_draws(rows, ["sample", user, item], user, pool, item, edges, 1, seed, 4, 100, "negative")
-    return drawn.select("sample", user, item, "negative")
+def training_triples(edges: DataFrame, user: str, item: str, pool: DataFrame, samples: int, seed, attempts: int = 100) -> DataFrame:
+    """(sample, user, item, negative) with one unseen negative per edge and sample.
+
+    Edges whose ``attempts`` draws all hit seen items walk the pool instead, which finds an
+    unseen item wherever the user has one; users who have seen every item give no rows.
+    """
+    rows = edges.select(user, item).distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = rejection_draws(rows, ["sample", user, item], user, pool, item, edges, 1, seed, min(4, attempts), attempts, "negative")
+    drawn = cut(drawn.select("sample", user, item, "negative"))
+    left = rows.join(drawn, ["sample", user, item], "left_anti")
+    left = cut(left.withColumn("_edge", F.to_json(F.struct("sample", user, item))))
+    if left.isEmpty():
+        return drawn
+    seen = left.select("_edge", user).join(edges.select(user, item).distinct(), user).select("_edge", item)
+    walked = uniform_unseen(left, "_edge", pool, item, seen, 1, seed).select("_edge", F.col(item).alias("negative"))
+    return drawn.unionByName(left.join(walked, "_edge").select("sample", user, item, "negative"))
 
 
 def hash_top(df: DataFrame, by: Sequence[str], n: int, seed, key: Sequence[str]) -> DataFrame:

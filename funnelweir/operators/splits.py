@@ -49,13 +49,21 @@ def temporal_split(df: DataFrame, ts: str, ratios=(0.2, 0.4, 0.4), out: str = "s
 
 
 def two_way_boundary(df: DataFrame, ts: str, first_share: float):
-    """Last timestamp of the first part; the boundary time goes to the first part unless that empties the second."""
+    """Last timestamp of the first part; the boundary time goes to the first part unless that empties the second.
+
+    Raises if all rows share one timestamp, as no boundary then leaves both parts rows.
+    """
     table = _time_table(df, ts)
     n = table.agg(F.sum("_cnt")).first()[0] or 0
-    if n < 2:
+    if n == 0:
         return None
-    cut = min(max(math.floor(n * first_share), 1), n - 1)
-    return _row_at(table, ts, cut)[0]
+    cut = min(max(math.floor(n * first_share), 1), max(n - 1, 1))
+    boundary = _row_at(table, ts, cut)[0]
+    if table.filter(F.col(ts) > F.lit(boundary)).isEmpty():
+        boundary = table.filter(F.col(ts) < F.lit(boundary)).agg(F.max(ts)).first()[0]
+        if boundary is None:
+            raise ValueError(f"all rows share one value of {ts}: they cannot be split in time")
+    return boundary
 
 
 def train_validation(df: DataFrame, ts: str, validation_fraction: float, out: str = "part") -> DataFrame:
