@@ -35,7 +35,7 @@ from funnelweir.llm.common import cut, slices
 
 BUCKETS = 1 << 16
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
-_BUCKET = Recent(lambda word: zlib.crc32(word) % BUCKETS)
+_BUCKET = Recent(lambda word: zlib.crc32(word) % BUCKETS, 40_000)
 ADDED = "n_tokens long, posteriors array<double>, rate double, copies long"
 
 
