@@ -57,25 +57,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT t.conv_id, t.turn, t.role, t.text FROM turns t LEFT JOIN ends e USING (conv_id) WHERE e.last_turn IS NULL OR t.turn < e.last_turn
         UNION ALL SELECT conv_id, last_turn, 'assistant', reply FROM ends
     ),
-    c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at, role, text FROM turns),
-    r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at, role, text FROM lost),
+    c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, role, text FROM turns),
+    r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, role, text FROM lost),
     differ AS (
-        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.at, r.at)) - 1 AS n
-        FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.at = r.at AND c.role = r.role AND c.text = r.text
-        WHERE c.at IS NULL OR r.at IS NULL GROUP BY 1
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.place, r.place)) - 1 AS n
+        FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.place = r.place AND c.role = r.role AND c.text = r.text
+        WHERE c.place IS NULL OR r.place IS NULL GROUP BY 1
     ),
     shared AS (SELECT k.conv_id, coalesce(d.n, k.n) AS n FROM (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id) k LEFT JOIN differ d USING (conv_id)),
     shown AS (
-        SELECT conv_id, at, role, text, 'c' AS side, '<|im_start|>' || role || chr(10) AS head FROM c
-        UNION ALL SELECT conv_id, at, role, text, 'r', '<|im_start|>' || role || chr(10) FROM r
+        SELECT conv_id, place, role, text, 'c' AS side, '<|im_start|>' || role || chr(10) AS head FROM c
+        UNION ALL SELECT conv_id, place, role, text, 'r', '<|im_start|>' || role || chr(10) FROM r
     ),
     parts AS (
         SELECT conv_id, n,
-            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'c' AND at <= n), '') AS prompt,
-            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'c' AND at > n), '') AS chosen,
-            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY at) FILTER (side = 'r' AND at > n), '') AS rejected,
-            coalesce(sum(length(text) + 11) FILTER (side = 'c' AND at > n AND role = 'assistant'), 0) AS chosen_trained,
-            coalesce(sum(length(text) + 11) FILTER (side = 'r' AND at > n AND role = 'assistant'), 0) AS rejected_trained
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY place) FILTER (side = 'c' AND place <= n), '') AS prompt,
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY place) FILTER (side = 'c' AND place > n), '') AS chosen,
+            coalesce(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY place) FILTER (side = 'r' AND place > n), '') AS rejected,
+            coalesce(sum(length(text) + 11) FILTER (side = 'c' AND place > n AND role = 'assistant'), 0) AS chosen_trained,
+            coalesce(sum(length(text) + 11) FILTER (side = 'r' AND place > n AND role = 'assistant'), 0) AS rejected_trained
         FROM shown JOIN shared USING (conv_id) GROUP BY conv_id, n
     )
     SELECT conv_id, CAST(n AS INTEGER) AS shared_turns, md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5,
