@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from funnelweir.llm.bpe import encoder, vocabulary_path
 from funnelweir.llm.common import slices
 
+#: Entries of each half of the caches of counts.
+CACHE_ENTRIES = 200_000
+
 
 def token_counts(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, id_column: str = "doc_id", text_column: str = "text", prefixes: bool = False
@@ -32,6 +35,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(vocabulary))
+        own.counts.entries = own.chunk_count.entries = CACHE_ENTRIES
         for batch in slices(batches):
             texts = batch.column(1)
             total, fit, every = [], [], []
