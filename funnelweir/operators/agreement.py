@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from funnelweir.operators.ordering import average_ranks, exact_quantiles, melt
 from funnelweir.operators.ranks import tertile_labels
-from funnelweir.operators.resampling import PERMUTATION_BLOCK, permuted_products
+from funnelweir.operators.resampling import permuted_products
+from funnelweir.session import cut
 from funnelweir.operators.sampling import stratified_sample
 
 LEVELS = 11
@@ -188,7 +189,6 @@ def spearman_permutation(
     item: str,
     permutations: int = 999,
     seed: int = 20260728,
-    block_rows: int = PERMUTATION_BLOCK,
 ) -> DataFrame:
     """Rank correlation with a two-sided plus-one permutation p per group."""
     keys = list(by)
@@ -197,9 +197,8 @@ def spearman_permutation(
     for column, name in ((left, "_a"), (right, "_b")):
         centred = F.col("avg_rank") - (F.col("n") + 1) / 2.0
         ranked = ranked.join(average_ranks(pairs, column, keys).select(*keys, column, centred.alias(name)), [*keys, column])
-    draws = permuted_products(
-        ranked, ["_a"], ["_b"], [*keys, item], permutations, seed, ranked.count(), keys, block_rows
-    )
+    ranked = cut(ranked)
+    draws = permuted_products(ranked, ["_a"], ["_b"], [item], permutations, seed, keys)
     actual = ranked.groupBy(*keys).agg(
         F.count("*").alias("items"),
         F.sum(F.col("_a") * F.col("_b")).alias("_ab"),

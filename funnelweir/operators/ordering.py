@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from funnelweir.session import cut
 
 _POSITION_BITS = 33
-# a frame up to this size may be ordered inside single tasks
-SMALL_ROWS = 50_000
 
 
 def _sorted_with_partition(df: DataFrame, order: Sequence) -> DataFrame:
@@ -51,14 +49,8 @@ def prefix_sums(
 ) -> DataFrame:
     """Exclusive running sums per key: ``sums`` maps output to input column.
 
-    ``(keys, order)`` must be unique. A key may own any share of the rows. A
-    frame of at most ``SMALL_ROWS`` rows is one bounded window instead of a
-    range sort.
+    ``(keys, order)`` must be unique. A key may own any share of the rows.
     """
-    df = cut(df)
-    if df.count() <= SMALL_ROWS:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in sums.items()})
     rows = _sorted_with_partition(df, [*keys, *order]).drop("__pos")
     groups = ["__pid", *keys]
     local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -98,10 +90,6 @@ def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name="n
     return df.select(*ids, F.inline(pairs))
 
 
-# a group with at most this many distinct values fits one percentile buffer
-MAX_BUFFERED_VALUES = 200_000
-# rows times columns that may sit in the percentile buffers of one task
-MAX_BUFFERED_CELLS = 5_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -131,30 +119,20 @@ def _null_safe(left: str, right: str, columns: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
-def _quantiles_by_rank(
-    long: DataFrame, ids: Sequence[str], probs: Sequence[float], buffer_rows: int
-) -> DataFrame:
+def _quantiles_by_rank(long: DataFrame, ids: Sequence[str], probs: Sequence[float]) -> DataFrame:
     counts = value_counts(long, "value", ids)
-    sizes = counts.groupBy(*ids).agg(F.count("*").alias("_d"))
-    if (sizes.agg(F.max("_d")).first()[0] or 0) <= buffer_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        picked = counts.groupBy(*ids).agg(F.percentile("value", wanted, F.col("_cnt")).alias("_q"))
-        return picked.select(*ids, *[F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))])
     ranked = prefix_sums(counts, ids, ["value"], {"_before": "_cnt"})
     totals = ranked.groupBy(*ids).agg(F.sum("_cnt").alias("_n"))
     both = ranked.alias("l").join(totals.alias("r"), _null_safe("l", "r", ids)).select("l.*", "r._n")
     return _interpolated(both, ids, probs, None)
 
 
-def _bracketed_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], buffer_rows: int
-) -> list[tuple]:
+def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> list[tuple]:
     """Exact quantiles of few groups as rows (by..., name, p0, p1, ...).
 
-    A sketch sizes the groups and brackets every quantile. Small groups use the
-    ``percentile`` aggregate. Otherwise one scan counts the values below each
-    bracket, one takes out the values inside (a sliver of the rows), and only
-    those are ranked.
+    A sketch sizes the groups and brackets every quantile. One scan counts the
+    values below each bracket, one takes out the values inside (a sliver of the
+    rows), and only those are ranked.
     """
     clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     slack = 2.0 / SKETCH_ACCURACY
@@ -166,12 +144,6 @@ def _bracketed_quantiles(
     # a few numbers per group; the caller vouches for few groups
     found = sketch.collect()
     sizes = {(tuple(r[k] for k in by), i): r[f"n{i}"] for r in found for i in range(len(columns))}
-    if max(sizes.values(), default=0) * len(columns) <= buffer_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        exact = clean.groupBy(*by).agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns)])
-        return [
-            (*[r[k] for k in by], c, *r[f"q{i}"]) for r in exact.collect() for i, c in enumerate(columns) if r[f"q{i}"]
-        ]
     cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
     flat = [
         (*[r[k] for k in by], *[v for i, j in cells for v in (r[f"b{i}"] or [None] * len(bounds))[2 * j : 2 * j + 2]])
@@ -224,7 +196,6 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     few_groups: bool | None = None,
-    buffer_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles, exact at any size: by, name, p0, p1, ...
 
@@ -237,13 +208,13 @@ def exact_quantiles(
     if few_groups is None:
         few_groups = not by
     if few_groups:
-        rows = _bracketed_quantiles(df, columns, probs, by, MAX_BUFFERED_CELLS if buffer_rows is None else buffer_rows)
+        rows = _bracketed_quantiles(df, columns, probs, by)
         if all(v is not None for r in rows for v in r[len(by) :]):
             kinds = [f"{n} {t}" for n, t in df.select(*by).dtypes] if by else []
             schema = ", ".join([*kinds, "name string", *[f"p{i} double" for i in range(len(probs))]])
             return df.sparkSession.createDataFrame(rows, schema)
     long = melt(df, columns, by).filter(F.col("value").isNotNull())
-    return _quantiles_by_rank(long, ids, probs, MAX_BUFFERED_VALUES if buffer_rows is None else buffer_rows)
+    return _quantiles_by_rank(long, ids, probs)
 
 
 def quantile_scalars(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:

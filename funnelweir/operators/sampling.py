@@ -14,8 +14,6 @@ from funnelweir.session import cut
 
 # draws of one user are generated in blocks of this many, so a long walk is shared by several tasks
 WALK_BLOCK = 1024
-# a pool of at most this many items is sent to every task; a larger one is shuffled
-BROADCAST_ITEMS = 200_000
 
 
 def next_prime(n: int) -> int:
@@ -27,10 +25,10 @@ def next_prime(n: int) -> int:
 
 
 def item_index(items: DataFrame, item: str) -> tuple[DataFrame, int]:
-    """Distinct items with a dense index ``_idx`` and their number; a counted small pool is marked for broadcast."""
+    """Distinct items with a dense index ``_idx`` and their number."""
     pool = global_row_number(items.select(item).distinct(), [item], "_idx").withColumn("_idx", F.col("_idx") - 1)
     size = pool.count()
-    return (F.broadcast(pool) if size <= BROADCAST_ITEMS else pool), size
+    return pool, size
 
 
 def uniform_unseen(

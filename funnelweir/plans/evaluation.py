@@ -859,6 +859,23 @@ def reference_coverage(spark, d):
     return AG.reference_coverage(context, long, ["item_id"], "score", 3)
 
 
-@query("R15_rank_permutation")
+_RANK_SEED, _RANK_DRAWS = 20260728, 999
+
+
+@query(
+    "R15_rank_permutation",
+    f"""WITH {_GRADED}, {_PAIRS}, rk AS (SELECT *, {ranks_sql('a', 'ra')}, {ranks_sql('b', 'rb')}, COUNT(*) OVER (PARTITION BY dataset, construct_code) AS n FROM pr),
+    ce AS MATERIALIZED (SELECT dataset, construct_code, ra - (n + 1) / 2.0 AS x, rb - (n + 1) / 2.0 AS y, ROW_NUMBER() OVER (ORDER BY dataset, construct_code, item_id) - 1 AS pos FROM rk),
+    act AS (SELECT dataset, construct_code, COUNT(*) AS items, SUM(x * y) AS xy, sqrt(SUM(x * x) * SUM(y * y)) AS scale FROM ce GROUP BY ALL),
+    moved AS (SELECT dataset, construct_code, rep, x, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY dataset, construct_code, h, pos) - 1 AS pos FROM (
+      SELECT *, ('0x' || substr(md5('{_RANK_SEED}|' || r.rep || '|' || pos), 1, 12))::BIGINT AS h FROM ce, range(1, {_RANK_DRAWS + 1}) r(rep))),
+    draw AS (SELECT m.dataset, m.construct_code, m.rep, SUM(m.x * c.y) AS v FROM moved m JOIN ce c ON m.pos = c.pos GROUP BY ALL),
+    hit AS (SELECT dataset, construct_code, COUNT(*) FILTER (WHERE abs(v) >= abs(xy) - 1e-9 * scale) AS hits FROM draw JOIN act USING (dataset, construct_code) GROUP BY ALL) """
+    + sql_rounded(
+        f"SELECT dataset, construct_code, items, CASE WHEN scale > 0 THEN xy / scale END AS spearman_rho, CASE WHEN scale > 0 THEN (1 + hits) / {_RANK_DRAWS + 1}.0 END AS spearman_p FROM act JOIN hit USING (dataset, construct_code)",
+        ["dataset", "construct_code", "items"],
+        ["spearman_rho", "spearman_p"],
+    ),
+)
 def rank_permutation(spark, d):
-    return AG.spearman_permutation(rater_pairs(spark, d), "a", "b", _BY, "item_id", permutations=99)
+    return AG.spearman_permutation(rater_pairs(spark, d), "a", "b", _BY, "item_id", _RANK_DRAWS, _RANK_SEED)

@@ -710,22 +710,19 @@ def channel_table(spark, d):
 
 
 PERM_SEED = 31
-_PERM_SQL = f"""h AS (SELECT *, ('0x' || substr(md5('{PERM_SEED}|' || o_orderkey || '|' || l_linenumber || '|' || item_id || '|' || res_T_int_fac::DECIMAL(18,6)), 1, 12))::BIGINT AS h FROM resid),
-tot AS (SELECT COUNT(*) AS n, CEIL(COUNT(*) / 200000.0)::BIGINT AS blocks, SUM(res_T_con_soc) AS sx, SUM(res_T_con_soc * res_T_con_soc) AS sxx, SUM(res_y_purchase) AS sy FROM resid),
-blk AS MATERIALIZED (SELECT h % blocks AS blk, ROW_NUMBER() OVER (PARTITION BY h % blocks ORDER BY h) - 1 AS pos, res_T_con_soc AS x, res_y_purchase AS y FROM h, tot),
-size AS (SELECT blk, COUNT(*)::BIGINT AS m FROM blk GROUP BY blk),
-st AS MATERIALIZED (SELECT blk, m, r.rep, ({PERM_SEED} * 31 + r.rep * 1299709) % m AS shift,
-  (SELECT MIN(({PERM_SEED} * 7919 + r.rep * 104729) % m + 1 + c) FROM range(0, 100) q(c) WHERE gcd(({PERM_SEED} * 7919 + r.rep * 104729) % m + 1 + c, m) = 1) AS stride
-  FROM size, range(1, 21) r(rep)),
-part AS MATERIALIZED (SELECT rep, blk, y, (stride * pos + shift) % m AS pos FROM st JOIN blk USING (blk)),
-draw AS (SELECT rep, SUM(part.y * blk.x) AS sxy FROM part JOIN blk ON part.blk = blk.blk AND part.pos = blk.pos GROUP BY rep),
+PERMUTATIONS = 200
+_PERM_SQL = f"""tot AS (SELECT COUNT(*) AS n, SUM(res_T_con_soc) AS sx, SUM(res_T_con_soc * res_T_con_soc) AS sxx, SUM(res_y_purchase) AS sy FROM resid),
+ord AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey, l_linenumber, item_id, res_T_int_fac::DECIMAL(18,6)::VARCHAR) - 1 AS pos, res_T_con_soc AS x, res_y_purchase AS y FROM resid),
+moved AS MATERIALIZED (SELECT rep, x, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY h, pos) - 1 AS pos FROM (
+  SELECT r.rep, x, pos, ('0x' || substr(md5('{PERM_SEED}|' || r.rep || '|' || pos), 1, 12))::BIGINT AS h FROM ord, range(1, {PERMUTATIONS + 1}) r(rep))),
+draw AS (SELECT rep, SUM(moved.x * ord.y) AS sxy FROM moved JOIN ord USING (pos) GROUP BY rep),
 perm AS MATERIALIZED (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS coefficient FROM draw, tot)"""
 
 
 def permuted(spark, d):
     r = residuals(spark, d).withColumn("k", F.col("res_T_int_fac").cast("decimal(18,6)").cast("string"))
     key = ["o_orderkey", "l_linenumber", "item_id", "k"]
-    return RS.permutation_coefficients(r, ["res_y_purchase"], ["res_T_con_soc"], key, 20, PERM_SEED)
+    return RS.permutation_coefficients(r, ["res_y_purchase"], ["res_T_con_soc"], key, PERMUTATIONS, PERM_SEED)
 
 
 @query("R13_permutation", W(sql_rounded("SELECT rep::INT AS rep, coefficient FROM perm", ["rep"], ["coefficient"]), _PERM_SQL))
@@ -738,7 +735,7 @@ def permutation(spark, d):
     W(
         sql_rounded(
             """SELECT 'res_T_con_soc' AS treatment, b.v AS coefficient, AVG(coefficient) AS placebo_mean, STDDEV_SAMP(coefficient) AS placebo_sd, quantile_cont(coefficient, 0.025) AS placebo_lower,
-            quantile_cont(coefficient, 0.975) AS placebo_upper, (1 + COUNT(*) FILTER (WHERE abs(coefficient) >= abs(b.v))) / 21.0 AS placebo_p, COUNT(*) AS placebo_reps
+            quantile_cont(coefficient, 0.975) AS placebo_upper, (1 + COUNT(*) FILTER (WHERE abs(coefficient) >= abs(b.v))) / (COUNT(*) + 1.0) AS placebo_p, COUNT(*) AS placebo_reps
             FROM perm, o_b b WHERE b.i = 1 GROUP BY b.v""",
             ["treatment", "placebo_reps"],
             ["coefficient", "placebo_mean", "placebo_sd", "placebo_lower", "placebo_upper", "placebo_p"],

@@ -22,13 +22,7 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=[False, True], ids=["small", "large"])
-def paths(request, monkeypatch):
-    """Run once with and once without the shortcuts for small frames."""
-    from funnelweir.operators import ordering
-
-    if request.param:
-        monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
-        monkeypatch.setattr(ordering, "MAX_BUFFERED_VALUES", 0)
-        monkeypatch.setattr(ordering, "MAX_BUFFERED_CELLS", 0)
+@pytest.fixture(params=[False, True], ids=["days", "clock"])
+def paths(request):
+    """Run once with day keys in plain windows and once with range-sorted prefix sums."""
     return request.param

@@ -124,33 +124,35 @@ def test_bootstrap_weights_every_replicate_fully(spark, paths):
     assert RS.bootstrap_interval(df, "res_y_purchase", [CUES[2]], 10, 4).first().boot_lower is None
 
 
-def test_permutation_blocks_keep_the_null_centred(spark):
+def test_permutations_keep_the_null_centred(spark):
     pdf = sample().reset_index(names="k")
-    df = spark.createDataFrame(pdf)
-    for block in (200_000, 300):
-        draws = RS.permutation_coefficients(df, ["res_y_purchase"], CUES, ["k"], 30, 9, block).toPandas()
-        fac = draws[draws.treatment == CUES[2]].coefficient
-        assert len(fac) == 30 and fac.nunique() == 30 and abs(fac.mean()) < 0.05
-        assert (fac.abs() < 0.5).all()
+    draws = RS.permutation_coefficients(spark.createDataFrame(pdf), ["res_y_purchase"], CUES, ["k"], 30, 9).toPandas()
+    fac = draws[draws.treatment == CUES[2]].coefficient
+    assert len(fac) == 30 and fac.nunique() == 30 and abs(fac.mean()) < 0.05
+    assert (fac.abs() < 0.5).all()
 
 
-def test_one_block_permutation_equals_brute_force(spark):
-    from funnelweir.functions.draws import affine_shift, affine_stride
-    from funnelweir.functions.hashing import hash_int
+def test_permutations_equal_brute_force(spark):
+    from hashlib import md5
 
     pdf = sample(500).reset_index(names="k")
-    df = spark.createDataFrame(pdf)
-    draws = RS.permutation_coefficients(df, ["res_y_purchase"], CUES, ["k"], 3, 9).toPandas()
-    order = df.select("k", hash_int(9, "k").alias("h")).toPandas().sort_values("h").k.to_numpy()
-    x, y = pdf.loc[order, CUES].to_numpy(), pdf.loc[order, "res_y_purchase"].to_numpy()
-    position = np.arange(len(pdf))
+    draws = RS.permutation_coefficients(spark.createDataFrame(pdf), ["res_y_purchase"], CUES, ["k"], 3, 9).toPandas()
+    x, y = pdf[CUES].to_numpy(), pdf["res_y_purchase"].to_numpy()
     for rep in (1, 2, 3):
-        moved = x[(affine_stride(9, rep, len(pdf)) * position + affine_shift(9, rep, len(pdf))) % len(pdf)]
+        moved = x[sorted(range(len(pdf)), key=lambda at: md5(f"9|{rep}|{at}".encode()).hexdigest()[:12])]
         beta = np.linalg.lstsq(np.column_stack([np.ones(len(y)), moved]), y, rcond=None)[0][1:]
         got = draws[draws.rep == rep].set_index("treatment").coefficient
         assert np.allclose([got[c] for c in CUES], beta)
 
 
+@pytest.mark.parametrize("n", [10, 50])
+def test_small_groups_have_distinct_permutations(spark, n):
+    x = np.sqrt(np.arange(1.0, n + 1))  # sums of products tell permutations apart
+    df = spark.createDataFrame(pd.DataFrame({"k": range(n), "x": x, "y": np.log(np.arange(1.0, n + 1) + 0.3)}))
+    draws = RS.permuted_products(df, ["x"], ["y"], ["k"], 400, 5).toPandas()
+    assert len(draws) == 400 and draws.v.round(9).nunique() >= 398
+
+
 def test_wild_draws_have_cluster_spread(spark):
     pdf = sample()
     df = spark.createDataFrame(pdf)

@@ -137,6 +137,16 @@ def test_rank_permutation_matches_pandas_rho(spark):
     assert got.loc[1, "spearman_p"] == pytest.approx(0.01) and got.loc[0, "spearman_p"] > 0.02
 
 
+def test_rank_permutation_holds_its_level_and_rejects_small_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"null{g}", i, float(a), float(b)) for g in range(300) for i, (a, b) in enumerate(rng.normal(size=(12, 2)))]
+    rows += [("equal", i, float(i), float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, id long, a double, b double")
+    got = AG.spearman_permutation(df, "a", "b", ["g"], "id", 199).toPandas().set_index("g").spearman_p
+    assert got["equal"] == pytest.approx(0.005)
+    assert 0.015 <= (got.drop("equal") <= 0.05).mean() <= 0.09
+
+
 def test_kappa_matches_the_cell_table(spark):
     rng = np.random.default_rng(8)
     a, b = rng.random(300) * 10, rng.random(300) * 10
