@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelweir.llm.common import cut
@@ -16,14 +16,20 @@ def with_least(pairs: DataFrame) -> DataFrame:
 
     A node with a large share of the edges is spread by a hash of v: its minimum is taken
     for each share, then over the at most ``SALTS`` shares, then returned to each share.
+    The rows themselves are shuffled once.
     """
-    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("share"))
+    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("share")).repartition("u", "share")
     shares = salted.groupBy("u", "share").agg(F.min("v").alias("least"))
-    whole = shares.groupBy("u").agg(F.min("least").alias("least"))
-    back = shares.drop("least").join(whole, "u")
+    back = shares.withColumn("least", F.min("least").over(Window.partitionBy("u")))
     return salted.join(back, ["u", "share"]).select("u", "v", "least")
 
 
+def edges_of(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """Each row's edges (u, v) between the named columns, without loops."""
+    both = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])
+    return rows.select(F.explode(both).alias("e")).select("e.u", "e.v").filter("u <> v")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge (u, v); component: the smallest node it reaches.
 
@@ -35,11 +41,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     at = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(max_rounds):
-        both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        stars = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+        stars = with_least(edges_of(at, ("u", "v"), ("v", "u"))).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         inner = with_least(stars)
-        moved = inner.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        at = cut(moved.union(inner.select("u", F.col("least").alias("v"))).distinct())
+        at = cut(edges_of(inner, ("v", "least"), ("u", "least")).distinct())
         row = at.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(row) == state:
             roots = at.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
