@@ -52,13 +52,13 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
 
 
 def text_marks(text: str, words: int, size: int = 0) -> tuple[int, bytes]:
-    """The fingerprint, and the ``size`` smallest distinct hashes of the shingles (low 32 bits), in order."""
-    n, ones, least = 0, np.zeros(64, np.int64), np.empty(0, "<u4")
+    """The fingerprint, and the ``size`` smallest distinct hashes of the shingles, in order."""
+    n, ones, least = 0, np.zeros(64, np.int64), np.empty(0, "<u8")
     for hashes in shingle_hashes(text, words):
         n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         if size:
-            least = np.unique(np.concatenate((least, hashes.astype("<u4"))))[:size]
+            least = np.unique(np.concatenate((least, hashes)))[:size]
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]), least.tobytes()
 
 
@@ -84,16 +84,16 @@ def block_masks(distance: int, agree: int = 3) -> list[int]:
 
 
 def block_keys(fp: Column, distance: int, agree: int) -> Column:
-    """One long per block, its number followed by the bits of its pieces: an array for :func:`block_masks`'s blocks."""
+    """One long per block, its number in the highest byte and the bits of its pieces below: an array for :func:`block_masks`'s blocks (at most 255)."""
     n = distance + agree
     edges = [round(64 * k / n) for k in range(n + 1)]
     pieces = [(F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1), b - a) for a, b in zip(edges, edges[1:], strict=False)]
     keys = []
     for number, chosen in enumerate(combinations(pieces, agree)):
-        key = F.lit(number).cast("long")
+        key = F.lit(0).cast("long")
         for bits, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(bits)
-        keys.append(key)
+        keys.append(key.bitwiseOR(F.lit(signed(number << 56))))
     return F.array(*keys)
 
 
@@ -154,8 +154,13 @@ def sketch_similarity(a: bytes, b: bytes, size: int) -> float:
     return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
 
 
+def upper_halves(sketch: bytes) -> bytes:
+    """The upper 32 bits of each hash: in the same order, at half the bytes."""
+    return np.frombuffer(sketch, "<u4")[1::2].tobytes()
+
+
 def sketched(docs: DataFrame, words: int, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, h, fp, sketch, class_id); h: hash of the whole text, class_id: of fingerprint and sketch."""
+    """(id, h, fp, sketch, upper, class_id); h: hash of the whole text, class_id: of fingerprint and sketch, upper: the upper halves of the sketch's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -165,12 +170,41 @@ def sketched(docs: DataFrame, words: int, size: int, id_column: str, text_column
                 prints.append(fp)
                 sketches.append(sketch)
             fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(sketches, pa.binary())], names=["id", "h", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(sketches, pa.binary()), pa.array(map(upper_halves, sketches), pa.binary())], names=["id", "h", "fp", "sketch", "upper"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h long, fp long, sketch binary").withColumn("class_id", F.xxhash64("fp", "sketch"))
+    return rows.mapInArrow(run, f"id {kind}, h long, fp long, sketch binary, upper binary").withColumn("class_id", F.xxhash64("fp", "sketch"))
+
+
+def spare_room(classes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(class_id, fp, spare): how many hashes of its own a class could have and still be similar, less those it has.
+
+    Similar sketches of n and m hashes differ in at most (n + m) * (1 - similarity) /
+    (1 + similarity) hashes, and the first ``similarity * size`` of each are all compared.
+    A hash that no other class has differs from every other sketch. So two classes are
+    similar only if their ``spare`` sum up to 0 or more: no link that :func:`verified` would
+    give is lost. Classes that no class can be similar to, texts of their own, are left out.
+    Each hash is one row, counted before the shuffle, so frequent shingles are no hot keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sketches = batch.column(1)
+            parts = [np.frombuffer(sketches[i].as_py(), "<i8") for i in range(len(sketches))]
+            lengths = np.array([len(x) for x in parts], np.int64)
+            place = np.concatenate([np.arange(n) for n in lengths]) if len(parts) else np.empty(0, np.int64)
+            node = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths), pa.int64())
+            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([node, values, pa.array(place < similarity * size)], names=["class_id", "value", "early"])
+
+    rows = classes.select("class_id", "sketch").mapInArrow(run, "class_id long, value long, early boolean")
+    values = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"), F.max("early").alias("early"))
+    own = values.filter("n = 1 and early").groupBy("class_id").agg(F.count("*").alias("own"))
+    share = (1 - similarity) / (1 + similarity)
+    spare = (F.octet_length("sketch") / 8 * share - F.coalesce("own", F.lit(0)) + 1e-9).alias("spare")
+    return classes.join(own, "class_id", "left").select("class_id", "fp", spare).filter(F.col("spare") + size * share >= 0)
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -182,9 +216,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, similarity: float, size: int
             good = [sketch_similarity(x[i].as_py(), y[i].as_py(), size) >= similarity for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = sketches.select(F.col("class_id").alias("u"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("class_id").alias("v"), F.col("sketch").alias("y"))
-    return pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    left = sketches.select(F.col("class_id").alias("u"), F.col("upper").alias("x"))
+    right = sketches.select(F.col("class_id").alias("v"), F.col("upper").alias("y"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def similar_links(sketches: DataFrame, similarity: float, distance: int, agree: int, reach: int, size: int) -> DataFrame:
@@ -195,26 +229,33 @@ def similar_links(sketches: DataFrame, similarity: float, distance: int, agree:
     row per member. Then only members that are not yet connected with their leader are
     compared with the block's other members. What the second step leaves out is connected
     already, so no connection is lost and large groups give no pairs in the square of their size.
+    Both steps pass over pairs whose own hashes rule out the similarity (:func:`spare_room`).
     """
     def blocks(rows: DataFrame) -> DataFrame:
         return rows.select("*", F.explode(block_keys(F.col("fp"), distance, agree)).alias("block"))
 
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach
+    near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach) & (F.col("spare") + F.col("other_spare") >= 0)
+    roomy = cut(spare_room(sketches, similarity, size))
     block = Window.partitionBy("block")
-    alone = blocks(sketches.select("class_id", "fp")).withColumn("lead", F.min(F.struct("class_id", "fp")).over(block))
-    alone = alone.select(F.col("class_id").alias("u"), "fp", F.col("lead.class_id").alias("v"), F.col("lead.fp").alias("v_fp"))
-    stars = alone.filter((F.col("u") != F.col("v")) & near("fp", "v_fp")).select("u", "v")
+    alone = blocks(roomy).withColumn("lead", F.min(F.struct("class_id", "fp", "spare")).over(block))
+    lead = [F.col("lead.class_id").alias("v"), F.col("lead.fp").alias("v_fp"), F.col("lead.spare").alias("other_spare")]
+    alone = alone.select(F.col("class_id").alias("u"), "fp", "spare", *lead)
+    stars = alone.filter((F.col("u") != F.col("v")) & near("fp", "v_fp")).select("u", "v").distinct()
     edges = cut(verified(stars, sketches, similarity, size))
-    first = components(edges)
-    grouped = sketches.select("class_id", "fp").join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
-    grouped = cut(grouped.select("class_id", "fp", F.coalesce("component", "class_id").alias("group")))
+    grouped = roomy.join(components(edges).withColumnRenamed("node", "class_id"), "class_id", "left")
+    grouped = cut(grouped.select("class_id", "fp", "spare", F.coalesce("component", "class_id").alias("group")))
     # blocks whose members are connected already are done; both sides of the join share one shuffle
     lead = F.min(F.struct("class_id", "group")).over(block)
     members = blocks(grouped).withColumns({"lead": lead, "low": F.min("group").over(block), "high": F.max("group").over(block)})
-    members = members.filter("low <> high").select("block", "class_id", "fp", "group", F.col("lead.group").alias("lead"))
-    rest = members.filter("group <> lead").select("block", F.col("class_id").alias("u"), F.col("fp").alias("u_fp"), F.col("group").alias("u_group"))
+    members = members.filter("low <> high").select("block", "class_id", "fp", "spare", "group", F.col("lead.group").alias("lead"))
+    own = [F.col("class_id").alias("u"), F.col("fp").alias("u_fp"), F.col("spare").alias("other_spare"), F.col("group").alias("u_group")]
+    rest = members.filter("group <> lead").select("block", *own)
     open_pair = (F.col("group") != F.col("u_group")) & ((F.col("group") == F.col("lead")) | (F.col("u") < F.col("class_id")))
-    pairs = rest.join(members, "block").filter(open_pair & near("fp", "u_fp")).select("u", F.col("class_id").alias("v"))
+    # a pair that shares several blocks is taken in the first of them
+    differ = F.col("fp").bitwiseXOR(F.col("u_fp"))
+    shared = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(k)) for k, m in enumerate(block_masks(distance, agree))])
+    first = F.shiftrightunsigned("block", 56) == shared
+    pairs = rest.join(members, "block").filter(open_pair & near("fp", "u_fp") & first).select("u", F.col("class_id").alias("v"))
     return components(edges.union(verified(pairs, sketches, similarity, size)))
 
 
@@ -233,8 +274,8 @@ def without_near_copies(
     """
     marked = sketched(docs, words, size, id_column, text_column)
     named = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"))
-    classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    labels = similar_links(classes.select("class_id", "fp", "sketch"), similarity, distance, agree, reach, size)
+    classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("upper").alias("upper")))
+    labels = similar_links(classes.select("class_id", "fp", "sketch", "upper"), similarity, distance, agree, reach, size)
     groups = classes.select("class_id", "least").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     stay = groups.groupBy(F.coalesce("component", "class_id").alias("g")).agg(F.min("least").alias("least"))
     stay = cut(stay.select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))

@@ -187,6 +187,23 @@ def test_one_of_each_group_of_similar_texts_stays(spark, odd):
     assert simhash.without_near_copies(none_of(odd)).count() == 0
 
 
+def test_own_hashes_rule_out_no_similar_pair(spark):
+    rng, size = random.Random(2), 24
+    sketches = [b""]
+    for _ in range(12):
+        base = [rng.getrandbits(64) for _ in range(rng.choice((6, 20, 24, 200)))]
+        for k in range(8):
+            changed = [rng.getrandbits(64) if rng.random() < 0.03 * k else v for v in base]
+            sketches.append(np.unique(np.array(changed, "<u8"))[:size].tobytes())
+    sketches = sorted(set(sketches))
+    rows = spark.createDataFrame([(i, i, bytearray(s)) for i, s in enumerate(sketches)], "class_id long, fp long, sketch binary")
+    spare = {r["class_id"]: r["spare"] for r in simhash.spare_room(rows, 0.8, size).collect()}
+    pairs = [(a, b) for a in range(len(sketches)) for b in range(a)]
+    similar = [p for p in pairs if simhash.sketch_similarity(*(simhash.upper_halves(sketches[i]) for i in p), size) >= 0.8]
+    assert len(similar) > 30 and len(spare) < len(sketches)
+    assert all(a in spare and b in spare and spare[a] + spare[b] >= 0 for a, b in similar)
+
+
 # ---- quality
 
 
