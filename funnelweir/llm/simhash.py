@@ -225,10 +225,12 @@ def similar_links(sketches: DataFrame, similarity: float, distance: int, agree:
     """(node, component) of the classes that similar candidates connect.
 
     Candidates share a block. First every member of a block is compared with the block's
-    leader, its smallest class, which connects large groups of near copies at the cost of a
-    row per member. Then only members that are not yet connected with their leader are
-    compared with the block's other members. What the second step leaves out is connected
-    already, so no connection is lost and large groups give no pairs in the square of their size.
+    leader, the class with most ``spare``: of copies the one that was changed least. That connects
+    large groups of near copies at the cost of a row per member. Then only members that are
+    not yet connected with their leader are compared with the block's other members. What the
+    second step leaves out is connected already, so no connection is lost. Members that
+    look alike by fingerprint and are not similar enough stay pairs, whose number
+    grows with the square of such a group.
     Both steps pass over pairs whose own hashes rule out the similarity (:func:`spare_room`).
     """
     def blocks(rows: DataFrame) -> DataFrame:
@@ -237,7 +239,7 @@ def similar_links(sketches: DataFrame, similarity: float, distance: int, agree:
     near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach) & (F.col("spare") + F.col("other_spare") >= 0)
     roomy = cut(spare_room(sketches, similarity, size))
     block = Window.partitionBy("block")
-    alone = blocks(roomy).withColumn("lead", F.min(F.struct("class_id", "fp", "spare")).over(block))
+    alone = blocks(roomy).withColumn("lead", F.min(F.struct(-F.col("spare"), "class_id", "fp", "spare")).over(block))
     lead = [F.col("lead.class_id").alias("v"), F.col("lead.fp").alias("v_fp"), F.col("lead.spare").alias("other_spare")]
     alone = alone.select(F.col("class_id").alias("u"), "fp", "spare", *lead)
     stars = alone.filter((F.col("u") != F.col("v")) & near("fp", "v_fp")).select("u", "v").distinct()
@@ -245,7 +247,7 @@ def similar_links(sketches: DataFrame, similarity: float, distance: int, agree:
     grouped = roomy.join(components(edges).withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = cut(grouped.select("class_id", "fp", "spare", F.coalesce("component", "class_id").alias("group")))
     # blocks whose members are connected already are done; both sides of the join share one shuffle
-    lead = F.min(F.struct("class_id", "group")).over(block)
+    lead = F.min(F.struct(-F.col("spare"), "class_id", "group")).over(block)
     members = blocks(grouped).withColumns({"lead": lead, "low": F.min("group").over(block), "high": F.max("group").over(block)})
     members = members.filter("low <> high").select("block", "class_id", "fp", "spare", "group", F.col("lead.group").alias("lead"))
     own = [F.col("class_id").alias("u"), F.col("fp").alias("u_fp"), F.col("spare").alias("other_spare"), F.col("group").alias("u_group")]
