@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelweir.functions.scalars import safe_double
@@ -14,8 +14,6 @@ from funnelweir.operators.ordering import exact_quantiles, global_row_number, pr
 # fixed value: year tenure is counted to
 TENURE_YEAR = 2025
 SLOTS = 5
-# categories collected to the driver for one-hot columns; more is an error, never a silent cut
-MAX_CATEGORIES = 1000
 
 
 def z_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
@@ -48,16 +46,24 @@ def user_tenure(users: DataFrame, year: str = "reg_year") -> DataFrame:
     return z_scale(filled.drop("_median"), ["user_tenure"])
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], unknown: str = "Unknown") -> DataFrame:
-    """0/1 column per category, named ``<column>_<value>``; missing reads as ``unknown``."""
-    clean = df.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(unknown))) for c in columns})
-    added = {}
-    for c in columns:
-        values = [r[0] for r in clean.select(c).distinct().limit(MAX_CATEGORIES + 1).collect()]
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-        added.update({f"{c}_{v}": (F.col(c) == v).cast("int") for v in sorted(values)})
-    return clean.withColumns(added)
+def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], unknown: str = "Unknown") -> DataFrame:
+    """0/1 column per given category, named ``<column>_<value>``; missing reads as ``unknown``.
+
+    The columns of the result follow from ``categories`` alone, never from the data's size.
+    A value that is not listed has 0 everywhere; :func:`one_hot_long` needs no list.
+    """
+    clean = df.withColumns({c: filled_category(c, unknown) for c in categories})
+    return clean.withColumns({f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("int") for c, values in categories.items() for v in sorted(values)})
+
+
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], unknown: str = "Unknown") -> DataFrame:
+    """(key, column, value) of every 1 that :func:`one_hot` would hold, for any number of categories."""
+    ones = F.array(*[F.struct(F.lit(c).alias("column"), filled_category(c, unknown).alias("value")) for c in columns])
+    return df.select(key, F.explode(ones).alias("one")).select(key, "one.column", "one.value")
+
+
+def filled_category(column: str, unknown: str) -> Column:
+    return F.trim(F.coalesce(F.col(column).cast("string"), F.lit(unknown)))
 
 
 def median_impute(df: DataFrame, value: str, group: str) -> DataFrame:

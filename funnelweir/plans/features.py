@@ -540,18 +540,31 @@ def user_tenure(spark, d):
     return D.user_tenure(B.users(spark, d)).select("user_id", "user_tenure", "user_tenure_scaled")
 
 
+#: The segments of the customer table and the name of a missing one.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Unknown")
+
+
 @query(
     "A7_one_hot",
     "SELECT c_custkey, "
     + ", ".join(
         f"CASE WHEN COALESCE(CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END, 'Unknown') = '{v}' THEN 1 ELSE 0 END AS \"tier_{v}\""
-        for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Unknown")
+        for v in SEGMENTS
     )
     + " FROM customer",
 )
 def one_hot(spark, d):
     tier = F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("tier")
-    return D.one_hot(B.table(spark, d, "customer").select("c_custkey", tier), ["tier"]).drop("tier")
+    return D.one_hot(B.table(spark, d, "customer").select("c_custkey", tier), {"tier": SEGMENTS}).drop("tier")
+
+
+@query(
+    "A7_one_hot_long",
+    """SELECT c_custkey, 'tier' AS "column", COALESCE(CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END, 'Unknown') AS value FROM customer""",
+)
+def one_hot_long(spark, d):
+    tier = F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("tier")
+    return D.one_hot_long(B.table(spark, d, "customer").select("c_custkey", tier), "c_custkey", ["tier"])
 
 
 @query(
