@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -83,20 +84,6 @@ def block_masks(distance: int, agree: int = 3) -> list[int]:
     return [sum(chosen) for chosen in combinations(pieces, agree)]
 
 
-def block_keys(fp: Column, distance: int, agree: int) -> Column:
-    """One long per block, its number in the highest byte and the bits of its pieces below: an array for :func:`block_masks`'s blocks (at most 255)."""
-    n = distance + agree
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    pieces = [(F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1), b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    keys = []
-    for number, chosen in enumerate(combinations(pieces, agree)):
-        key = F.lit(0).cast("long")
-        for bits, width in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(bits)
-        keys.append(key.bitwiseOR(F.lit(signed(number << 56))))
-    return F.array(*keys)
-
-
 def signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
@@ -140,7 +127,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = 32, id_column:
     return marked.join(named, "fp").select(F.col("id").alias(id_column), hexadecimal, "component_id")
 
 
-# ---- similar texts: the same blocks as candidates, verified on the shingles themselves
+# ---- estimates from the smallest hashes; no link rests on them
 
 
 def sketch_similarity(a: bytes, b: bytes, size: int) -> float:
@@ -159,25 +146,6 @@ def upper_halves(sketch: bytes) -> bytes:
     return np.frombuffer(sketch, "<u4")[1::2].tobytes()
 
 
-def sketched(docs: DataFrame, words: int, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, h, fp, sketch, upper, class_id); h: hash of the whole text, class_id: of fingerprint and sketch, upper: the upper halves of the sketch's hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, prints, sketches = batch.column(2), [], []
-            for i in range(len(texts)):
-                fp, sketch = text_marks(texts[i].as_py(), words, size)
-                prints.append(fp)
-                sketches.append(sketch)
-            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(sketches, pa.binary()), pa.array(map(upper_halves, sketches), pa.binary())], names=["id", "h", "fp", "sketch", "upper"])
-
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h long, fp long, sketch binary, upper binary").withColumn("class_id", F.xxhash64("fp", "sketch"))
-
-
 def spare_room(classes: DataFrame, similarity: float, size: int) -> DataFrame:
     """(class_id, fp, spare): how many hashes of its own a class could have and still be similar, less those it has.
 
@@ -207,77 +175,227 @@ def spare_room(classes: DataFrame, similarity: float, size: int) -> DataFrame:
     return classes.join(own, "class_id", "left").select("class_id", "fp", spare).filter(F.col("spare") + size * share >= 0)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (u, v) of classes whose shingle sets are similar enough."""
+# ---- similar texts: candidates by a complete prefix filter, verified on the whole shingle sets
+
+#: Counters of shingles by the upper bits of their hashes: they only decide an order.
+COUNTERS = 1 << 20
+#: Bits of a filter by the upper bits of a hash: what it lets through is checked exactly later.
+FILTER = 1 << 26
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def places(values: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` (a power of 2) slots each hash belongs to."""
+    return (values.astype("<u8", copy=False) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def summed(parts: DataFrame, kind: str, merge: np.ufunc, size: int) -> np.ndarray:
+    """Compressed arrays of ``size`` numbers, one per task, merged in a few tasks and then on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, kind)
+        for batch in batches:
+            for part in batch.column(0):
+                merge(total, np.frombuffer(zlib.decompress(part.as_py()), kind), out=total)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part"])
+
+    total = np.zeros(size, kind)
+    for row in parts.repartition(8).mapInArrow(run, "part binary").collect():
+        merge(total, np.frombuffer(zlib.decompress(bytes(row["part"])), kind), out=total)
+    return total
+
+
+def shingle_counts(docs: DataFrame, words: int, text_column: str) -> np.ndarray:
+    """How often the shingles of each counter occur, once per text: a fixed size, whatever the input's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, "<u4")
+        for batch in slices(batches):
+            texts = batch.column(0)
+            for i in range(len(texts)):
+                np.add.at(counts, places(shingle_set(texts[i].as_py(), words), COUNTERS), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part"])
+
+    return summed(docs.select(F.coalesce(F.col(text_column), F.lit(""))).mapInArrow(run, "part binary"), "<u4", np.add, COUNTERS)
+
+
+def presence(values: DataFrame) -> np.ndarray:
+    """A filter for the hashes in the only column of ``values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER // 8, np.uint8)
+        for batch in slices(batches, 1 << 16):
+            at = places(batch.column(0).to_numpy(zero_copy_only=False).view("<u8"), FILTER)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["part"])
+
+    return summed(values.mapInArrow(run, "part binary"), "u1", np.bitwise_or, FILTER // 8)
+
+
+def passed(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = places(values.view("<u8"), FILTER)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def parity(values: np.ndarray, size: int) -> np.ndarray:
+    """``size`` bits as longs, each the parity of the hashes that fall on it: two sets differ in at least as many hashes as their bits do."""
+    odd = np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def marked_sets(docs: DataFrame, words: int, similarity: float, size: int, reach: int | None, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, class_id, fp, n, weight, bits, prefix); h: hash of the whole text, class_id: of its set of n shingles.
+
+    prefix: the rarest n - ceil(similarity * n) + 1 shingles by the counters, ties by hash.
+    Sets that are similar enough share one of them in any order that holds for all sets.
+    weight: the mean count of the prefix; the more a set has of its own, the smaller.
+    """
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words, text_column))
+    names = ["id", "h", "class_id", "fp", "n", "weight", "bits", "prefix"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def one(text: str) -> tuple:
+        own = shingle_set(text, words)
+        much = counts.value[places(own, COUNTERS)]
+        keep = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+        first = np.lexsort((own, much))[:keep]
+        fp = text_marks(text, words)[0] if reach is not None else 0
+        weight = int(much[first].mean()) if keep else 0
+        return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), signed(fp), len(own), weight, parity(own, size).tolist(), own[first].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [one(text.as_py()) for text in batch.column(2)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=names)
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h long, class_id long, fp long, n int, weight long, bits array<long>, prefix binary")
+
+
+def prefix_rows(classes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(class_id, value): a row for each hash of a prefix that the filter ``among`` lets through."""
+    held = None if among is None else classes.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parts = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
+            values = np.concatenate([np.empty(0, "<i8"), *parts])
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.array([len(x) for x in parts], np.int64))
+            if held is not None:
+                stay = passed(values, held.value)
+                values, nodes = values[stay], nodes[stay]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.int64())], names=["class_id", "value"])
+
+    return classes.select("class_id", "prefix").mapInArrow(run, "class_id long, value long")
+
+
+def whole_sets(docs: DataFrame, needed: DataFrame, words: int, text_column: str) -> DataFrame:
+    """(class_id, shingles): all hashes of the classes (class_id, h) in ``needed``, made anew from one of their texts."""
+    held = docs.sparkSession.sparkContext.broadcast(presence(needed.select("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            batch = batch.filter(pa.array(passed(batch.column(0).to_numpy(zero_copy_only=False), held.value), pa.bool_()))
+            own = [shingle_set(text.as_py(), words).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["h", "shingles"])
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "h long, shingles binary")
+    return rows.groupBy("h").agg(F.first("shingles").alias("shingles")).join(needed, "h").select("class_id", "shingles")
+
+
+def similar_sets(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether the exact Jaccard similarity of two sets of hashes is large enough."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: float, text_column: str) -> DataFrame:
+    """The pairs (u, v) of classes whose whole shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
-            good = [sketch_similarity(x[i].as_py(), y[i].as_py(), size) >= similarity for i in range(batch.num_rows)]
+            good = [similar_sets(x[i].as_py(), y[i].as_py(), similarity) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = sketches.select(F.col("class_id").alias("u"), F.col("upper").alias("x"))
-    right = sketches.select(F.col("class_id").alias("v"), F.col("upper").alias("y"))
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).distinct()
+    sets = cut(whole_sets(docs, cut(classes.select("class_id", "h").join(nodes, "class_id")), words, text_column))
+    left = sets.select(F.col("class_id").alias("u"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("class_id").alias("v"), F.col("shingles").alias("y"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_links(sketches: DataFrame, similarity: float, distance: int, agree: int, reach: int, size: int) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, size: int, reach: int | None, text_column: str) -> DataFrame:
     """(node, component) of the classes that similar candidates connect.
 
-    Candidates share a block. First every member of a block is compared with the block's
-    leader, the class with most ``spare``: of copies the one that was changed least. That connects
-    large groups of near copies at the cost of a row per member. Then only members that are
-    not yet connected with their leader are compared with the block's other members. What the
-    second step leaves out is connected already, so no connection is lost. Members that
-    look alike by fingerprint and are not similar enough stay pairs, whose number
+    Candidates share a shingle of their prefixes, and neither their lengths nor their parity
+    bits rule the similarity out: no similar pair is lost. First every class is compared with
+    the leader of each of its shingles, the class with most ``weight``: of copies the one that was changed
+    least. That connects large groups of near copies at the cost of a row per member. Then
+    only classes that are not yet connected with a leader are compared with the others that
+    have the shingle. What the second step leaves out is connected already, so no connection
+    is lost. Members that look alike and are not similar enough stay pairs, whose number
     grows with the square of such a group.
-    Both steps pass over pairs whose own hashes rule out the similarity (:func:`spare_room`).
     """
-    def blocks(rows: DataFrame) -> DataFrame:
-        return rows.select("*", F.explode(block_keys(F.col("fp"), distance, agree)).alias("block"))
-
-    near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach) & (F.col("spare") + F.col("other_spare") >= 0)
-    roomy = cut(spare_room(sketches, similarity, size))
-    block = Window.partitionBy("block")
-    alone = blocks(roomy).withColumn("lead", F.min(F.struct(-F.col("spare"), "class_id", "fp", "spare")).over(block))
-    lead = [F.col("lead.class_id").alias("v"), F.col("lead.fp").alias("v_fp"), F.col("lead.spare").alias("other_spare")]
-    alone = alone.select(F.col("class_id").alias("u"), "fp", "spare", *lead)
-    stars = alone.filter((F.col("u") != F.col("v")) & near("fp", "v_fp")).select("u", "v").distinct()
-    edges = cut(verified(stars, sketches, similarity, size))
-    grouped = roomy.join(components(edges).withColumnRenamed("node", "class_id"), "class_id", "left")
-    grouped = cut(grouped.select("class_id", "fp", "spare", F.coalesce("component", "class_id").alias("group")))
-    # blocks whose members are connected already are done; both sides of the join share one shuffle
-    lead = F.min(F.struct(-F.col("spare"), "class_id", "group")).over(block)
-    members = blocks(grouped).withColumns({"lead": lead, "low": F.min("group").over(block), "high": F.max("group").over(block)})
-    members = members.filter("low <> high").select("block", "class_id", "fp", "spare", "group", F.col("lead.group").alias("lead"))
-    own = [F.col("class_id").alias("u"), F.col("fp").alias("u_fp"), F.col("spare").alias("other_spare"), F.col("group").alias("u_group")]
-    rest = members.filter("group <> lead").select("block", *own)
+    share = (1 - similarity) / (1 + similarity)
+
+    def near(a: str, b: str) -> Column:
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        x, y = F.col(f"{a}bits"), F.col(f"{b}bits")
+        differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(size // 64)), F.lit(0))
+        fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (differ <= (n + m) * share + 1e-9)
+        return fits if reach is None else fits & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= reach)
+
+    def side(prefix: str, *more: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in ("n", "bits", "fp", *more)]
+
+    several = cut(prefix_rows(classes).groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value"))
+    shared = prefix_rows(classes, presence(several)).join(several, "value")
+    shared = cut(shared.join(classes.select("class_id", "n", "weight", "bits", "fp"), "class_id"))
+    leads = shared.groupBy("value").agg(F.min(F.struct(-F.col("weight"), "class_id")).alias("lead")).select("value", F.col("lead.class_id").alias("v"))
+    stars = shared.join(leads, "value").filter("class_id <> v").select(F.col("class_id").alias("u"), "v", *side("u_")).dropDuplicates(["u", "v"])
+    others = classes.select(F.col("class_id").alias("v"), *side("v_"))
+    stars = cut(stars.join(others, "v").filter(near("u_", "v_")).select("u", "v"))
+    edges = cut(verified(stars, docs, classes, words, similarity, text_column))
+    grouped = shared.join(components(edges).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("group", F.coalesce("component", "class_id"))
+    grouped = cut(grouped.select("value", "class_id", "group", "n", "bits", "fp"))
+    # shingles whose classes are connected already are done
+    spread = grouped.groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("value")
+    of_lead = leads.join(grouped.select("value", F.col("class_id").alias("v"), F.col("group").alias("lead")), ["value", "v"]).select("value", "lead")
+    members = cut(grouped.join(spread.join(of_lead, "value"), "value"))
+    rest = members.filter("group <> lead").select("value", F.col("class_id").alias("u"), F.col("group").alias("u_group"), *side("u_"))
     open_pair = (F.col("group") != F.col("u_group")) & ((F.col("group") == F.col("lead")) | (F.col("u") < F.col("class_id")))
-    # a pair that shares several blocks is taken in the first of them
-    differ = F.col("fp").bitwiseXOR(F.col("u_fp"))
-    shared = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(k)) for k, m in enumerate(block_masks(distance, agree))])
-    first = F.shiftrightunsigned("block", 56) == shared
-    pairs = rest.join(members, "block").filter(open_pair & near("fp", "u_fp") & first).select("u", F.col("class_id").alias("v"))
-    return components(edges.union(verified(pairs, sketches, similarity, size)))
+    pairs = members.select("value", "class_id", "group", "lead", *side("v_")).join(rest, "value").filter(open_pair & near("u_", "v_"))
+    pairs = cut(pairs.select("u", F.col("class_id").alias("v")).distinct())
+    return components(edges.union(verified(pairs, docs, classes, words, similarity, text_column)))
 
 
 def without_near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, agree: int = 2, reach: int = 15, size: int = 96, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int | None = None, size: int = 512, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` of which one of each group of similar texts stays: the one with the smallest id.
 
     Texts link if the sets of their ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. Candidates agree in ``agree`` of ``distance + agree`` pieces of
-    their fingerprints and differ in at most ``reach`` bits: complete up to ``distance``
-    bits; further apart a pair is found unless its bits touch all pieces but one.
-    Shingle sets beyond ``size`` hashes are compared by their smallest ``size``, with a
-    standard error of about 0.04 near the threshold.
+    ``similarity`` or more, counted on the whole sets. All such pairs are found (shingles
+    stand for their 64-bit hashes). ``size``: parity bits, a multiple of 64 and a power of 2,
+    by which pairs that are surely apart are skipped; it does not change the result.
+    ``reach``, if given, leaves out pairs whose fingerprints differ in more bits, similar ones too.
     Of repeated rows one stays. A row with a null id stays only if no row of its group has an id.
     """
-    marked = sketched(docs, words, size, id_column, text_column)
+    marked = cut(marked_sets(docs, words, similarity, size, reach, id_column, text_column))
     named = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"))
-    classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("upper").alias("upper")))
-    labels = similar_links(classes.select("class_id", "fp", "sketch", "upper"), similarity, distance, agree, reach, size)
+    first = [F.first(c).alias(c) for c in ("fp", "n", "weight", "bits", "prefix")]
+    classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.min("h").alias("h"), *first))
+    labels = similar_links(docs, classes, words, similarity, size, reach, text_column)
     groups = classes.select("class_id", "least").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     stay = groups.groupBy(F.coalesce("component", "class_id").alias("g")).agg(F.min("least").alias("least"))
     stay = cut(stay.select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))
