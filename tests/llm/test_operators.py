@@ -187,6 +187,36 @@ def test_one_of_each_group_of_similar_texts_stays(spark, odd):
     assert simhash.without_near_copies(none_of(odd)).count() == 0
 
 
+def test_near_copies_at_the_registered_settings_equal_exact_components(spark):
+    """Similarities spread over 0.7 to 0.95, above and below any sketch's length, with chains and a hot passage."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    hot = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for g in range(90):
+        n = rng.choice((12, 60, 150, 400, 1200))
+        text = ([] if g % 3 else hot) + [rng.choice(words) for _ in range(n)]
+        texts.append(text)
+        for similarity in (0.7, 0.75, 0.79, 0.8, 0.81, 0.85, 0.9, 0.95):
+            changed, shared = list(text), len(text) * 2 * similarity / (1 + similarity)
+            while len({*zip(*(changed[i:] for i in range(5)))} & {*zip(*(text[i:] for i in range(5)))}) > shared - 2:  # noqa: B905
+                changed[rng.randrange(len(text))] = rng.choice(words)
+            texts.append(changed)
+    texts += [hot + [rng.choice(words) for _ in range(10)] for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    having = defaultdict(list)
+    for k, own in enumerate(sets):
+        for shingle in own:
+            having[shingle].append(k)
+    both = Counter((a, b) for rows in having.values() for b in rows for a in rows if a > b)
+    jaccard = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in both.items()}
+    assert sum(0.7 <= j < 0.8 for j in jaccard.values()) > 200 and sum(0.8 <= j < 0.85 for j in jaccard.values()) > 100
+    want = set(brute_components(range(len(texts)), [p for p, j in jaccard.items() if j >= 0.8]).values())
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.without_near_copies(docs).select("doc_id").collect()} == want
+
+
 def test_own_hashes_rule_out_no_similar_pair(spark):
     rng, size = random.Random(2), 24
     sketches = [b""]
