@@ -6,6 +6,8 @@ of its words by prefix doubling; the longest common prefixes of neighbouring suf
 the repeated passages. Passages of at least ``min_repeat`` words are taken at their full
 length, the union of their spans is the covered part, and a text is rejected if it covers
 over ``max_covered`` of its words or if the longest passage exceeds ``max_longest`` words.
+Words of such passages also lie in repeated 3-word windows, of which the base rule allows half of
+the words: only a ``max_covered`` well below that can reject a text that passes the base rule.
 
 Null texts have no words. Texts are handled one by one: memory follows the longest text of
 a batch. Every input row gives one output row; ids may be null or repeated, and other
@@ -125,7 +127,7 @@ def measure(text: str, min_repeat: int, max_covered: float, max_longest: int) ->
 
 
 def accepted(
-    docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 100, text_column: str = "text"
+    docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.2, max_longest: int = 50, text_column: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns as they are."""
     where = docs.columns.index(text_column)
@@ -139,7 +141,7 @@ def accepted(
 
 
 def quality(
-    docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.5, max_longest: int = 100, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.2, max_longest: int = 50, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """id and ``COLUMNS``; repeat_spans are word positions, stop excluded; repeat_words their union.
 

@@ -275,6 +275,21 @@ def test_quality_equals_brute_force(spark, odd):
     assert kept.columns == odd.columns and kept.count() == quality.quality(odd).filter("kept").count()
 
 
+def test_each_limit_on_long_repeats_rejects_texts_that_pass_the_base_rule(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    pasted = f"{word('p', 60)} {word('a', 400)} {word('p', 60)}"  # 120 of 520 words
+    lone = f"{word('p', 60)} {word('a', 700)} {word('p', 60)}"  # 120 of 820 words: only the longest is over its limit
+    spread = " ".join(f"{word(k, 20)} {word(k * 2, 30)} {word(k, 20)}" for k in "abcd")  # 160 of 280 words: the base rule has them
+    covered = " ".join(f"{word(k, 20)} {word(k * 2, 60)} {word(k, 20)}" for k in "abcd")  # 160 of 400 words, 20 in a row
+    below = " ".join(f"{word(k, 20)} {word(k * 2, 200)} {word(k, 20)}" for k in "abcd")  # 160 of 960 words, 20 in a row
+    texts = list(enumerate((pasted, lone, spread, covered, below)))
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i]["base_failed"] for i in range(5)] == [False, False, True, False, False]
+    assert [(got[i]["repeat_words"], got[i]["longest_repeat"]) for i in range(5)] == [(120, 60), (120, 60), (160, 20), (160, 20), (160, 20)]
+    assert [got[i]["kept"] for i in range(5)] == [False, False, False, False, True]
+    assert [r["doc_id"] for r in quality.accepted(spark.createDataFrame(texts, "doc_id long, text string")).collect()] == [4]
+
+
 def test_suffix_repeats_of_one_long_run():
     words = np.zeros(3000, np.int64)
     assert quality.repeated_spans(words, 1, 10) == ([(0, 3000)], 2999)
