@@ -9,7 +9,8 @@
    digits stay digits, letters stay letters of the same script, punctuation stays; cards keep
    a valid check digit, octets stay octets, names keep the gender of their form of address.
 4. Collision check over all entities of the corpus: a surrogate that two entities share, or
-   that is itself an entity of the corpus, is drawn again until none is left.
+   that is itself an entity of the corpus, is drawn again until none is left; where a form
+   has no free surrogate left, a longer one in keyed letters takes its place.
 5. Surrogates return to the texts in each mention's own format and case.
 
 Only DataFrame functions are used; texts are shuffled only where they hold an entity, and
@@ -50,6 +51,7 @@ PATTERN = "|".join(PARTS[k].replace(r"\1", r"\k<gap>").replace("([ -]?)", "(?<ga
 #: Every mention has a digit or one of these; texts without them are not searched.
 HINTS = ("@", "password=", "AKIA", *sorted({t[:2] if t[:2] in ("Mr", "Ms") else t.rstrip("a") for t in FEMALE + MALE}))
 
+#: After so many draws surrogates get longer than their form.
 MAX_DRAWS = 40
 
 
@@ -99,6 +101,12 @@ def mapped(text: Column, seed: Column, lower: str = "abcdefghijklmnopqrstuvwxyz"
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def letters_of(seed: Column, length: Column, choices: list[str]) -> Column:
+    """``length`` drawn letters or syllables."""
+    every = F.array(*[F.lit(c) for c in choices])
+    return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: F.element_at(every, drawn(seed, i + 1000, len(choices)) + 1)), "")
+
+
 def check_digit(first: Column) -> Column:
     """The last digit that makes ``first`` with it pass the check of payment cards."""
     numbers = F.reverse(F.split(first, ""))
@@ -106,14 +114,16 @@ def check_digit(first: Column) -> Column:
     return F.pmod(10 - F.aggregate(F.transform(numbers, worth), F.lit(0), lambda a, b: a + b), F.lit(10)).cast("string")
 
 
-def new_name(form: Column, seed: Column, gender: str) -> Column:
-    """As many words as the name has, in its script, the first one with an ending of the gender."""
+def new_name(form: Column, seed: Column, gender: str, draw: Column) -> Column:
+    """As many words as the name has, in its script, each with an ending of the gender; more syllables from ``MAX_DRAWS`` draws on."""
 
     def word(script: str, place: Column) -> Column:
         syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         endings = F.array(*[F.lit(s) for s in ENDINGS[script, gender]])
         own = F.concat(seed, place.cast("string"))
         stem = F.concat(*[F.element_at(syllables, drawn(own, F.lit(k), len(SYLLABLES[script])) + 1) for k in range(3)])
+        more = letters_of(own, F.greatest(draw - MAX_DRAWS, F.lit(0)) + 2, list(SYLLABLES[script]))
+        stem = F.concat(stem, F.when(draw >= MAX_DRAWS, more).otherwise(""))
         return F.concat(stem, F.element_at(endings, drawn(own, F.lit(9), len(ENDINGS[script, gender])) + 1))
 
     one = lambda w, i: F.when(w.rlike(r"^[ -]$"), w).when(w.rlike(r"\p{IsCyrillic}"), word("cyrillic", i)).otherwise(word("latin", i))
@@ -134,20 +144,26 @@ def surrogate(kind: Column, form: Column, draw: Column, key: str) -> Column:
     made = made.when(kind == "address", F.array_join(octets, ".")).when(kind == "card", F.concat(first, check_digit(first)))
     made = made.when(kind == "phone", lead).when(kind == "secret", mapped(form, seed, "abcdef"))
     made = made.when(kind == "access", F.concat(F.lit("AKIA"), F.substring(body, 5, 100)))
-    made = made.when(kind == "name_f", new_name(form, seed, "f")).when(kind == "name_m", new_name(form, seed, "m"))
-    return made.otherwise(body)
+    made = made.when(kind == "name_f", new_name(form, seed, "f", draw)).when(kind == "name_m", new_name(form, seed, "m", draw))
+    letters = lambda tag: letters_of(F.concat(F.lit(tag), seed), F.greatest(draw - MAX_DRAWS, F.lit(0)) + 12, list("abcdefghijklmnopqrstuvwxyz"))
+    longer = F.when(kind == "mail", F.concat(letters("at"), F.lit("@"), letters("host"), ending)).otherwise(letters(""))
+    return F.when((draw >= MAX_DRAWS) & ~kind.isin("name_f", "name_m"), longer).otherwise(made.otherwise(body))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) for distinct entities (kind, form): no two alike, none an entity itself.
 
     Every round draws anew for the entities that clash; of those that share a surrogate the
-    smallest form keeps it. Raises if a type has too few surrogates for its entities.
+    smallest form keeps it. What has no free surrogate of its own form after ``MAX_DRAWS``
+    rounds gets a longer one in small keyed letters (names: with more syllables, addresses of
+    mails: before and after the @), one more with every round, so each entity gets one.
+    Passwords without a Latin letter or digit, which no draw would change, begin there.
     """
     made = lambda rows: rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("draw"), key))
-    at = cut(made(entities.select("kind", "form", F.lit(0).alias("draw"))))
+    fixed = (F.col("kind") == "password") & ~F.col("form").rlike("[0-9A-Za-z]")
+    at = cut(made(entities.select("kind", "form", F.when(fixed, MAX_DRAWS).otherwise(0).alias("draw"))))
     real = entities.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("real")).distinct()
-    for _ in range(MAX_DRAWS):
+    while True:
         holders = at.groupBy("kind", "surrogate").agg(F.min("form").alias("holder"), F.count("*").alias("n"))
         bad = holders.join(real, ["kind", "surrogate"], "left").filter("n > 1 or real").select("kind", "surrogate", "holder", "real")
         bad = cut(bad)
@@ -156,7 +172,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         marked = at.join(bad, ["kind", "surrogate"], "left")
         again = F.col("holder").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("form") != F.col("holder")))
         at = cut(made(marked.select("kind", "form", F.when(again, F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"))))
-    raise RuntimeError("entities keep clashing: some type has too few surrogates")
 
 
 def in_format(mention: Column, kind: Column, new: Column) -> Column:
@@ -176,7 +191,7 @@ def in_format(mention: Column, kind: Column, new: Column) -> Column:
     bare = F.regexp_replace(mention, r"^\S+ ", "")
     name = F.concat(title, F.when(bare == F.upper(bare), F.upper(new)).otherwise(F.initcap(F.regexp_replace(new, "-", "- "))))
     name = F.regexp_replace(name, "- ", "-")
-    shown = F.when(kind.isin("phone", "card", "social"), filled).when(kind == "mail", cased).when(kind.isin("name_f", "name_m"), name)
+    shown = F.when(kind.isin("phone", "card", "social") & new.rlike("^[0-9]+$"), filled).when(kind == "mail", cased).when(kind.isin("name_f", "name_m"), name)
     return shown.otherwise(new)
 
 
