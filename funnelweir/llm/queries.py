@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelweir.llm import bpe_codec, embedding_dedup, mixing, pii, preferences, quality, sharding, simhash, token_counts, warc
+from funnelweir.llm import bpe_codec, embedding_dedup, mixing, pii, preferences, quality, sharding, simhash, substring_dedup, token_counts, warc
 from funnelweir.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules on every document."""
     return quality.quality(table(spark, sf_dir, "documents")).drop("repeat_spans")
+
+
+@query("op11_substring_dedup")
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that start earlier in the corpus, as digests."""
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
