@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelweir.llm import bpe_codec, embedding_dedup, mixing, pii, preferences, quality, sharding, simhash, substring_dedup, token_counts, warc
+from funnelweir.llm import (
+    bpe_codec,
+    embedding_dedup,
+    hard_negatives,
+    mixing,
+    pii,
+    preferences,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    warc,
+    whitening,
+)
 from funnelweir.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +152,42 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word windows that start earlier in the corpus, as digests."""
     left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+HARD_NEGATIVES_SQL = """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    ),
+    scored AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id,
+            CAST(list_sum(list_transform(list_zip(a.x, b.x), p -> p[1] * p[2])) AS BIGINT) AS score
+        FROM usable a JOIN usable b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+    QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 80 to 100 % of a positive's score with the anchor."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 largest whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
