@@ -35,7 +35,7 @@ from funnelweir.llm.common import slices
 #: Text of one slice, and of one piece of a longer text.
 SLICE_BYTES = 2 << 20
 #: Packed text of one bucket, before compression.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Windows of one string at most; longer runs are cut, which loses no window.
 RUN = 256
 #: Longer words travel as a line feed, which no word holds, and their SHA-256.
@@ -191,7 +191,7 @@ def frequent_keys(texts: DataFrame, width: int, seed_words: int, share: float) -
 #: How the places and sizes of a block's strings are kept, each column compressed.
 COLUMNS = {"missing": np.bool_, "ids": np.int64, "marks": np.int64, "starts": np.int64, "sizes": np.int64}
 BLOCK = "bucket int, strings long, missing binary, ids binary, marks binary, starts binary, sizes binary, length long, words binary"
-SPANS = "id long, mark long, start long, stop long"
+SPANS = "missing boolean, id long, mark long, start long, stop long"
 
 
 def packed_blocks(texts: DataFrame, width: int, seed_words: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -293,11 +293,11 @@ def bucket_repeats(blocks: list[dict], width: int, powers: Powers) -> list[np.nd
 
 
 def repeated_spans(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
-    """``SPANS`` rows, id null where it is missing."""
+    """``SPANS`` rows; the id is 0 where it is missing."""
     names = [c.split(" ")[0] for c in SPANS.split(", ")]
 
-    def rows(missing: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), *map(pa.array, rest)], names=names)
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, current, held = Powers(_BYTE), None, []
@@ -340,11 +340,12 @@ def without_repeats(docs: DataFrame, width: int = 20, seed_words: int = 3, id_co
     long_enough = base.filter(F.octet_length("text") >= 2 * width - 1)
     hot = frequent_keys(long_enough, width, seed_words, max(1 / (4 * buckets), LEAST_SHARE))
     spans = repeated_spans(packed_blocks(long_enough, width, seed_words, buckets, hot), width, buckets)
-    found = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    # equal rows travel as one; their shuffle also serves the join
-    rows = base.groupBy("id", "mark").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    found = found.select(F.col("id").alias("of"), F.col("mark").alias("marked"), "spans")
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")), "left").select("id", "copies", "text", "spans")
+    # no key is null, so equal rows, their spans and the join share one partitioning, and a text is shuffled once
+    keys = ["missing", "id", "mark"]
+    found = spans.groupBy(keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    own = base.select(F.col("id").isNull().alias("missing"), F.coalesce("id", F.lit(0)).alias("id"), "mark", "text")
+    rows = own.groupBy(keys).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    joined = rows.join(found, keys, "left").select(F.when(~F.col("missing"), F.col("id")).alias("id"), "copies", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
