@@ -18,6 +18,7 @@ from funnelweir.operators import sampling as SA
 from funnelweir.operators import splits as SP
 from funnelweir.plans import tables as B
 from funnelweir.plans.features import PRIOR_SQL, SPLIT_SQL, split_funnel
+from funnelweir.plans import oracle as Q
 from funnelweir.plans.registry import query, sql_rounded
 from funnelweir.plans.residuals import ANALYTICAL, HEURISTIC, OUTCOMES, residuals
 from funnelweir.session import cut
@@ -765,7 +766,7 @@ def correlations(spark, d):
 
 @query(
     "G6_agreement_bundle",
-    f"""WITH {_GRADED}, {_PAIRS}, rk AS (SELECT *, {ranks_sql('a', 'ra')}, {ranks_sql('b', 'rb')}, COUNT(*) OVER (PARTITION BY dataset, construct_code) AS n FROM pr),
+    f"""WITH RECURSIVE {_GRADED}, {_PAIRS}, rk AS (SELECT *, {ranks_sql('a', 'ra')}, {ranks_sql('b', 'rb')}, COUNT(*) OVER (PARTITION BY dataset, construct_code) AS n FROM pr),
     tt AS (SELECT *, CASE WHEN ra / n <= 1/3 THEN 0 WHEN ra / n <= 2/3 THEN 1 ELSE 2 END AS ta, CASE WHEN rb / n <= 1/3 THEN 0 WHEN rb / n <= 2/3 THEN 1 ELSE 2 END AS tb FROM rk) """
     + sql_rounded(
         f"""SELECT dataset, construct_code, COUNT(*) AS n_compared, corr(ra, rb) AS spearman, corr(a, b) AS pearson, AVG(abs(a - b)) AS mae, {_QWK} AS weighted_kappa, AVG((ta = tb)::INT) AS tertile_agreement,
@@ -864,12 +865,12 @@ _RANK_SEED, _RANK_DRAWS = 20260728, 999
 
 @query(
     "R15_rank_permutation",
-    f"""WITH {_GRADED}, {_PAIRS}, rk AS (SELECT *, {ranks_sql('a', 'ra')}, {ranks_sql('b', 'rb')}, COUNT(*) OVER (PARTITION BY dataset, construct_code) AS n FROM pr),
-    ce AS MATERIALIZED (SELECT dataset, construct_code, ra - (n + 1) / 2.0 AS x, rb - (n + 1) / 2.0 AS y, ROW_NUMBER() OVER (ORDER BY dataset, construct_code, item_id) - 1 AS pos FROM rk),
+    f"""WITH RECURSIVE {_GRADED}, {_PAIRS}, rk AS (SELECT *, {ranks_sql('a', 'ra')}, {ranks_sql('b', 'rb')}, COUNT(*) OVER (PARTITION BY dataset, construct_code) AS n FROM pr),
+    ce AS MATERIALIZED (SELECT dataset, construct_code, ra - (n + 1) / 2.0 AS x, rb - (n + 1) / 2.0 AS y, n, ROW_NUMBER() OVER (ORDER BY dataset, construct_code, item_id) - 1 AS pos FROM rk),
     act AS (SELECT dataset, construct_code, COUNT(*) AS items, SUM(x * y) AS xy, sqrt(SUM(x * x) * SUM(y * y)) AS scale FROM ce GROUP BY ALL),
-    moved AS (SELECT dataset, construct_code, rep, x, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY dataset, construct_code, h, pos) - 1 AS pos FROM (
-      SELECT *, ('0x' || substr(md5('{_RANK_SEED}|' || r.rep || '|' || pos), 1, 12))::BIGINT AS h FROM ce, range(1, {_RANK_DRAWS + 1}) r(rep))),
-    draw AS (SELECT m.dataset, m.construct_code, m.rep, SUM(m.x * c.y) AS v FROM moved m JOIN ce c ON m.pos = c.pos GROUP BY ALL),
+    src AS MATERIALIZED (SELECT r.rep, pos, MIN(pos) OVER (PARTITION BY dataset, construct_code, r.rep) AS start, n::BIGINT AS n FROM ce, range(1, {_RANK_DRAWS + 1}) r(rep)),
+    {", ".join(Q.permuted_ctes("pm", "src", _RANK_SEED))},
+    draw AS (SELECT c.dataset, c.construct_code, pm.rep, SUM(m.x * c.y) AS v FROM pm JOIN ce m ON pm.pos = m.pos JOIN ce c ON pm.v = c.pos GROUP BY ALL),
     hit AS (SELECT dataset, construct_code, COUNT(*) FILTER (WHERE abs(v) >= abs(xy) - 1e-9 * scale) AS hits FROM draw JOIN act USING (dataset, construct_code) GROUP BY ALL) """
     + sql_rounded(
         f"SELECT dataset, construct_code, items, CASE WHEN scale > 0 THEN xy / scale END AS spearman_rho, CASE WHEN scale > 0 THEN (1 + hits) / {_RANK_DRAWS + 1}.0 END AS spearman_p FROM act JOIN hit USING (dataset, construct_code)",

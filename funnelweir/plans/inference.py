@@ -21,7 +21,7 @@ SHOWN = ["coefficient", "std_error", "z"]
 
 def W(body: str, *ctes) -> str:  # noqa: N802
     parts = [SQL, *[c for group in ctes for c in ([group] if isinstance(group, str) else group)]]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH RECURSIVE {', '.join(parts)} {body}"  # some of them walk in cycles
 
 
 # ---- support gate ----------------------------------------------------------------
@@ -713,9 +713,9 @@ PERM_SEED = 31
 PERMUTATIONS = 200
 _PERM_SQL = f"""tot AS (SELECT COUNT(*) AS n, SUM(res_T_con_soc) AS sx, SUM(res_T_con_soc * res_T_con_soc) AS sxx, SUM(res_y_purchase) AS sy FROM resid),
 ord AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey, l_linenumber, item_id, res_T_int_fac::DECIMAL(18,6)::VARCHAR) - 1 AS pos, res_T_con_soc AS x, res_y_purchase AS y FROM resid),
-moved AS MATERIALIZED (SELECT rep, x, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY h, pos) - 1 AS pos FROM (
-  SELECT r.rep, x, pos, ('0x' || substr(md5('{PERM_SEED}|' || r.rep || '|' || pos), 1, 12))::BIGINT AS h FROM ord, range(1, {PERMUTATIONS + 1}) r(rep))),
-draw AS (SELECT rep, SUM(moved.x * ord.y) AS sxy FROM moved JOIN ord USING (pos) GROUP BY rep),
+src AS MATERIALIZED (SELECT r.rep, pos, 0::BIGINT AS start, n::BIGINT AS n FROM ord, tot, range(1, {PERMUTATIONS + 1}) r(rep)),
+{", ".join(Q.permuted_ctes("pm", "src", PERM_SEED))},
+draw AS (SELECT rep, SUM(a.x * b.y) AS sxy FROM pm JOIN ord a ON pm.pos = a.pos JOIN ord b ON pm.v = b.pos GROUP BY rep),
 perm AS MATERIALIZED (SELECT rep, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS coefficient FROM draw, tot)"""
 
 

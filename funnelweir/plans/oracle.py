@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from funnelweir.functions.bijection import FACTORS, LEAST_HALF, ROUNDS, SHIFTS
+
 
 def inverse_ctes(p: str, d: int) -> list[str]:
     """Gauss-Jordan steps on ``{p}_m0`` (i, j, v), the matrix with an identity to its right; result ``{p}_inv``."""
@@ -98,3 +100,35 @@ def effect_rows(p: str, treatments: Sequence[str], extra: str = "") -> str:
 
 def joined(*groups: Sequence[str]) -> str:
     return ", ".join(c for g in groups for c in g)
+
+
+def permuted_ctes(p: str, source: str, seed: int) -> list[str]:
+    """CTEs ending in ``{p}`` (rep, pos, v): the keyed bijection of ``source`` (rep, pos, start, n), v = its place.
+
+    ``pos`` is the dense index, ``start`` the first index of the row's group of ``n`` rows.
+    """
+    one, two, three = FACTORS
+    s1, s2, s3 = SHIFTS
+    mask = (1 << 32) - 1
+
+    def spread(source: str, x: str, key: str, out: str) -> str:
+        """One more column, ``out``: the mix of two others."""
+        a = f"SELECT *, (({x}) * {one}::BIGINT + ({key})) & {mask}::BIGINT AS _t FROM ({source})"
+        b = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s1}) * {two}::BIGINT) & {mask}::BIGINT AS _t FROM ({a})"
+        c = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s2}) * {three}::BIGINT) & {mask}::BIGINT AS _t FROM ({b})"
+        return f"SELECT * EXCLUDE (_t), xor(_t, _t >> {s3}) AS {out} FROM ({c})"
+
+    half = f"(SELECT MIN(h) FROM range({LEAST_HALF}, 31) t(h) WHERE (1::BIGINT << (2 * h)::INT) >= m)"
+    sizes = f"{p}_h AS MATERIALIZED (SELECT m AS n, {half}::INT AS h FROM (SELECT DISTINCT n AS m FROM {source}))"
+    keyed = spread(spread(f"SELECT rep, pos, start, n, h, pos - start AS v FROM {source} JOIN {p}_h USING (n)", "start % 2147483647", str(seed & 0x3FFFFFFF), "k0"), "rep", "k0", "k1")
+
+    def network(source: str) -> str:
+        q = f"SELECT rep, pos, start, n, h, k1, v >> h AS l, v & ((1::BIGINT << h) - 1) AS r FROM ({source})"
+        for k in range(ROUNDS):
+            q = spread(spread(q, f"{k}::BIGINT", "k1", "kr"), "r", "kr", "f")
+            q = f"SELECT rep, pos, start, n, h, k1, r AS l, xor(l, f & ((1::BIGINT << h) - 1)) AS r FROM ({q})"
+        return f"SELECT rep, pos, start, n, h, k1, (l << h) | r AS v FROM ({q})"
+
+    first = f"{p}_k AS (SELECT rep, pos, start, n, h, k1, v FROM ({keyed}))"
+    walk = f"{p}_w AS ({network(f'SELECT * FROM {p}_k')} UNION ALL {network(f'SELECT * FROM {p}_w WHERE v >= n')})"
+    return [sizes, first, walk, f"{p} AS MATERIALIZED (SELECT rep, pos, start + v AS v FROM {p}_w WHERE v < n)"]

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from funnelweir.functions import bijection as BJ
 from funnelweir.functions import tails as T
 from funnelweir.operators import diagnostics as DG
 from funnelweir.operators import effects as E
@@ -133,13 +134,14 @@ def test_permutations_keep_the_null_centred(spark):
 
 
 def test_permutations_equal_brute_force(spark):
-    from hashlib import md5
-
     pdf = sample(500).reset_index(names="k")
     draws = RS.permutation_coefficients(spark.createDataFrame(pdf), ["res_y_purchase"], CUES, ["k"], 3, 9).toPandas()
     x, y = pdf[CUES].to_numpy(), pdf["res_y_purchase"].to_numpy()
     for rep in (1, 2, 3):
-        moved = x[sorted(range(len(pdf)), key=lambda at: md5(f"9|{rep}|{at}".encode()).hexdigest()[:12])]
+        n = len(pdf)
+        to = BJ.permuted(np.arange(n), np.full(n, n), np.zeros(n, int), rep, 9)
+        moved = np.empty_like(x)
+        moved[to] = x
         beta = np.linalg.lstsq(np.column_stack([np.ones(len(y)), moved]), y, rcond=None)[0][1:]
         got = draws[draws.rep == rep].set_index("treatment").coefficient
         assert np.allclose([got[c] for c in CUES], beta)
