@@ -28,8 +28,8 @@ NEVER = 1 << 40
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries that each half of a cache may hold, and the longest text that is kept in one.
-CACHE_ENTRIES, CACHE_CHARS = 70_000, 40
-PAIR_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 40
+PAIR_ENTRIES = 450_000
 
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _INNER_SPACE = re.compile(r"(?<!\s) (?!\s)")
