@@ -652,14 +652,16 @@ def taxonomy_sensitivity(spark, d):
 
 # ---- resampling ------------------------------------------------------------------------------
 
-REPS = 40
-_BOOT_SQL = f"""cl AS MATERIALIZED (SELECT user_id, COUNT(*)::DOUBLE AS n, SUM(res_T_con_soc) AS sx, SUM(res_T_con_soc * res_T_con_soc) AS sxx, SUM(res_y_purchase) AS sy,
+REPS, PATH_REPS = 200, 500
+_MOMENTS = ["n", "sx", "sxx", "sy", "sxy", "sm", "smm", "sxm", "smy"]
+_CLUSTERS = """cl AS MATERIALIZED (SELECT user_id, COUNT(*)::DOUBLE AS n, SUM(res_T_con_soc) AS sx, SUM(res_T_con_soc * res_T_con_soc) AS sxx, SUM(res_y_purchase) AS sy,
   SUM(res_T_con_soc * res_y_purchase) AS sxy, SUM(res_T_int_fac) AS sm, SUM(res_T_int_fac * res_T_int_fac) AS smm, SUM(res_T_con_soc * res_T_int_fac) AS sxm,
-  SUM(res_T_int_fac * res_y_purchase) AS smy, ROW_NUMBER() OVER (ORDER BY user_id) - 1 AS idx FROM resid GROUP BY user_id),
-g AS (SELECT COUNT(*) AS g FROM cl), draws AS (SELECT id // g AS rep, id % g AS draw, g FROM range({REPS} * 1000000) t(id), g WHERE id < {REPS} * g),
-picked AS (SELECT rep, ('0x' || substr(md5('11|' || rep || '|' || draw), 1, 12))::BIGINT % g AS idx FROM draws),
-boot AS MATERIALIZED (SELECT rep, SUM(n) AS n, SUM(sx) AS sx, SUM(sxx) AS sxx, SUM(sy) AS sy, SUM(sxy) AS sxy, SUM(sm) AS sm, SUM(smm) AS smm, SUM(sxm) AS sxm, SUM(smy) AS smy
-  FROM picked JOIN cl USING (idx) GROUP BY rep)"""
+  SUM(res_T_int_fac * res_y_purchase) AS smy FROM resid GROUP BY user_id)"""
+
+
+def _boot_sql(reps: int) -> list[str]:
+    sums = ", ".join(f"SUM(times * {c}) AS {c}" for c in _MOMENTS)
+    return [_CLUSTERS, *Q.bootstrap_ctes("drawn", "cl", "user_id", reps, 11), f"boot AS MATERIALIZED (SELECT rep, {sums} FROM drawn GROUP BY rep)"]
 
 
 @query(
@@ -671,7 +673,7 @@ boot AS MATERIALIZED (SELECT rep, SUM(n) AS n, SUM(sx) AS sx, SUM(sxx) AS sxx, S
             ["treatment", "successes"],
             ["boot_lower", "boot_upper"],
         ),
-        _BOOT_SQL,
+        _boot_sql(REPS),
     ),
 )
 def cluster_bootstrap(spark, d):
@@ -691,7 +693,7 @@ _PATH_SQL = """SELECT rep, (sxm - sx * sm / n) / (sxx - sx * sx / n) AS a, ((smy
             ["treatment", "n"],
             ["path_a", "path_b", "indirect", "ci_lower", "ci_upper", "p_value_raw", "p_value"],
         ),
-        _BOOT_SQL,
+        _boot_sql(PATH_REPS),
         "tot AS (SELECT 0 AS rep, SUM(n) AS n, SUM(sx) AS sx, SUM(sxx) AS sxx, SUM(sy) AS sy, SUM(sxy) AS sxy, SUM(sm) AS sm, SUM(smm) AS smm, SUM(sxm) AS sxm, SUM(smy) AS smy FROM cl)",
         f"p AS ({_PATH_SQL.format(t='tot')})",
         f"bp AS ({_PATH_SQL.format(t='boot')})",
@@ -699,14 +701,14 @@ _PATH_SQL = """SELECT rep, (sxm - sx * sm / n) / (sxx - sx * sx / n) AS a, ((smy
     ),
 )
 def indirect_effects(spark, d):
-    table = RS.indirect_effects(residuals(spark, d), ["res_T_con_soc"], "res_T_int_fac", ["res_y_purchase"], REPS, 11)
+    table = RS.indirect_effects(residuals(spark, d), ["res_T_con_soc"], "res_T_int_fac", ["res_y_purchase"], PATH_REPS, 11)
     return table.select("treatment", "path_a", "path_b", "indirect", "ci_lower", "ci_upper", "p_value_raw", "p_value", "n")
 
 
 @query("E28_channel_table")
 def channel_table(spark, d):
     r = RS.mediator_residual(residuals(spark, d), "res_T_con_soc", ["res_T_con_mkt"], "m_tilde")
-    return RS.indirect_effects(r, ["res_T_con_mkt", "res_T_int_fac"], "m_tilde", OUTCOMES, REPS, 12)
+    return RS.indirect_effects(r, ["res_T_con_mkt", "res_T_int_fac"], "m_tilde", OUTCOMES, PATH_REPS, 12)
 
 
 PERM_SEED = 31
@@ -797,13 +799,13 @@ def short_frame(spark, d):
     ),
 )
 def benchmark_gains(spark, d):
-    gains, _ = SE.bounds(residuals(spark, d), {"user_history": short_frame(spark, d)}, ["res_y_purchase"], PLAIN, reps=20)
+    gains, _ = SE.bounds(residuals(spark, d), {"user_history": short_frame(spark, d)}, ["res_y_purchase"], PLAIN, reps=1000)
     return gains.select(F.concat(F.lit("res_"), "treatment").alias("treatment"), "delta_theta", "cf_y", "cf_d")
 
 
 @query("R11_wild_bounds")
 def wild_bounds(spark, d):
-    _, bounds = SE.bounds(residuals(spark, d), {"user_history": short_frame(spark, d)}, ["res_y_purchase"], PLAIN, reps=200)
+    _, bounds = SE.bounds(residuals(spark, d), {"user_history": short_frame(spark, d)}, ["res_y_purchase"], PLAIN, reps=1000)
     return SE.classify_bounds(bounds)
 
 

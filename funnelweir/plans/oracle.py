@@ -102,22 +102,45 @@ def joined(*groups: Sequence[str]) -> str:
     return ", ".join(c for g in groups for c in g)
 
 
+def spread(source: str, x: str, key: str, out: str) -> str:
+    """One more column, ``out``: the keyed mix of two expressions."""
+    (one, two, three), (s1, s2, s3), mask = FACTORS, SHIFTS, (1 << 32) - 1
+    a = f"SELECT *, (({x}) * {one}::BIGINT + ({key})) & {mask}::BIGINT AS _t FROM ({source})"
+    b = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s1}) * {two}::BIGINT) & {mask}::BIGINT AS _t FROM ({a})"
+    c = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s2}) * {three}::BIGINT) & {mask}::BIGINT AS _t FROM ({b})"
+    return f"SELECT * EXCLUDE (_t), xor(_t, _t >> {s3}) AS {out} FROM ({c})"
+
+
+def bootstrap_ctes(p: str, source: str, cluster: str, reps: int, seed: int, buckets: int = 64) -> list[str]:
+    """CTEs ending in ``{p}``: ``source`` joined with (rep, times), how often a replicate draws each cluster."""
+    dealt = f"('0x' || substr(md5('bucket|' || {cluster}), 1, 12))::BIGINT % {buckets}"
+    out = [
+        f"{p}_c AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY bucket ORDER BY {cluster}) - 1 AS idx, COUNT(*) OVER (PARTITION BY bucket) AS size FROM (SELECT *, {dealt} AS bucket FROM {source}))",
+    ]
+    levels = buckets.bit_length() - 1
+    sizes = " UNION ALL ".join(f"SELECT ({buckets} + bucket) >> {levels - k} AS node, COUNT(*) AS size FROM {p}_c GROUP BY 1" for k in range(levels + 1))
+    out.append(f"{p}_t AS MATERIALIZED ({sizes})")
+    out.append(f"{p}_0 AS MATERIALIZED (SELECT rep::BIGINT AS rep, 1::BIGINT AS node, size AS n FROM range({reps}) r(rep), {p}_t WHERE node = 1)")
+    for k in range(levels):
+        share = f"SELECT d.rep, d.node, d.n, COALESCE(l.size, 0) / t.size AS p FROM {p}_{k} d JOIN {p}_t t USING (node) LEFT JOIN {p}_t l ON l.node = 2 * d.node"
+        keyed = spread(spread(spread(share, "rep", str(seed), "k0"), "node", "k0", "a"), "node", "a", "b")
+        mass = "CASE WHEN p = 0 THEN (k = 0)::INT WHEN p = 1 THEN (k = n)::INT ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) END"
+        wide = f"SELECT rep, node, n, k, u, SUM({mass}) OVER (PARTITION BY rep, node ORDER BY k) AS below FROM (SELECT *, (a * 2097152 + (b >> 11)) / 9007199254740992.0 AS u, unnest(range(0, n + 1)) AS k FROM ({keyed}))"
+        # rounding must not push the last value below u
+        left = f"SELECT rep, node, n, LEAST(MIN(n), COUNT(*) FILTER (WHERE below <= u)) AS l FROM ({wide}) GROUP BY ALL"
+        out.append(f"{p}_{k + 1} AS MATERIALIZED (SELECT rep, 2 * node + s AS node, CASE WHEN s = 0 THEN l ELSE n - l END AS n FROM ({left}), range(2) t(s) WHERE CASE WHEN s = 0 THEN l ELSE n - l END > 0)")
+    draws = f"SELECT d.rep, d.node - {buckets} AS bucket, t.size, unnest(range(0, d.n)) AS j FROM {p}_{levels} d JOIN {p}_t t USING (node)"
+    picked = spread(spread(spread(draws, "rep", str(seed + 1), "k0"), "bucket", "k0", "k1"), "j", "k1", "h")
+    out.append(f"{p}_d AS (SELECT rep, bucket, (h * size) >> 32 AS idx, COUNT(*) AS times FROM ({picked}) GROUP BY ALL)")
+    out.append(f"{p} AS MATERIALIZED (SELECT c.*, d.rep, d.times FROM {p}_d d JOIN {p}_c c USING (bucket, idx))")
+    return out
+
+
 def permuted_ctes(p: str, source: str, seed: int) -> list[str]:
     """CTEs ending in ``{p}`` (rep, pos, v): the keyed bijection of ``source`` (rep, pos, start, n), v = its place.
 
     ``pos`` is the dense index, ``start`` the first index of the row's group of ``n`` rows.
     """
-    one, two, three = FACTORS
-    s1, s2, s3 = SHIFTS
-    mask = (1 << 32) - 1
-
-    def spread(source: str, x: str, key: str, out: str) -> str:
-        """One more column, ``out``: the mix of two others."""
-        a = f"SELECT *, (({x}) * {one}::BIGINT + ({key})) & {mask}::BIGINT AS _t FROM ({source})"
-        b = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s1}) * {two}::BIGINT) & {mask}::BIGINT AS _t FROM ({a})"
-        c = f"SELECT * EXCLUDE (_t), (xor(_t, _t >> {s2}) * {three}::BIGINT) & {mask}::BIGINT AS _t FROM ({b})"
-        return f"SELECT * EXCLUDE (_t), xor(_t, _t >> {s3}) AS {out} FROM ({c})"
-
     half = f"(SELECT MIN(h) FROM range({LEAST_HALF}, 31) t(h) WHERE (1::BIGINT << (2 * h)::INT) >= m)"
     sizes = f"{p}_h AS MATERIALIZED (SELECT m AS n, {half}::INT AS h FROM (SELECT DISTINCT n AS m FROM {source}))"
     keyed = spread(spread(f"SELECT rep, pos, start, n, h, pos - start AS v FROM {source} JOIN {p}_h USING (n)", "start % 2147483647", str(seed & 0x3FFFFFFF), "k0"), "rep", "k0", "k1")
