@@ -53,7 +53,7 @@ def json_to_long(lines: DataFrame, codes: Sequence[str], text: str = "value", ou
 def consensus(ratings: DataFrame, keys=("dataset", "item_id", "construct_code"), score: str = "score") -> DataFrame:
     """Median score per item and construct."""
     usable = ratings.filter(F.col(score).isNotNull())
-    medians = exact_quantiles(usable, [score], [0.5], list(keys), few_groups=False)
+    medians = exact_quantiles(usable, [score], [0.5], list(keys))
     return medians.select(*keys, F.col("p0").alias("median_score"))
 
 

@@ -33,6 +33,8 @@ from funnelweir.session import cut
 
 #: Rows of one cached block.
 BLOCK_ROWS = 1 << 16
+#: Rows times models of one task at least.
+TASK_CELLS = 1 << 18
 #: Trees between two checkpoints of the scores.
 KEEP_EVERY = 50
 
@@ -107,7 +109,7 @@ class Model:
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
     """At most ``bins`` - 1 upper edges per feature, from one scan; equal values share a bin."""
     shares = [k / bins for k in range(1, bins)]
-    found = df.agg(*[F.percentile_approx(safe_double(c, 0.0), shares, 20 * bins).alias(f"c{i}") for i, c in enumerate(features)]).first()
+    found = df.agg(*[F.percentile_approx(safe_double(c, 0.0), shares, max(10_000, 20 * bins)).alias(f"c{i}") for i, c in enumerate(features)]).first()
     return [np.unique(np.array(found[f"c{i}"] or [], float)) for i in range(len(features))]
 
 
@@ -218,27 +220,29 @@ def added(a: dict[int, np.ndarray] | None, b: dict[int, np.ndarray] | None) -> d
     return {j: a[j] + b[j] for j in a}
 
 
-def best_split(sums: np.ndarray, columns: np.ndarray, sizes: np.ndarray, settings: Settings) -> tuple | None:
-    """(gain, feature, cut, left value, right value) of a node; ties go to the first feature and cut."""
-    best, at = None, 0
+def best_splits(sums: np.ndarray, columns: np.ndarray, sizes: np.ndarray, settings: Settings) -> list[tuple | None]:
+    """(gain, feature, cut, left value, right value) of each node of (statistics, nodes, bins); ties go to the first feature and cut."""
+    nodes, rows, at = sums.shape[1], np.arange(sums.shape[1]), 0
+    gain, feature, cuts = np.full(nodes, 1e-12), np.full(nodes, -1), np.zeros(nodes, np.int64)
+    left, right = np.zeros(nodes), np.zeros(nodes)
     for f in columns.tolist():
-        part = sums[:, at : at + sizes[f]]
+        part = sums[:, :, at : at + sizes[f]]
         at += sizes[f]
-        running, whole = np.cumsum(part, axis=1)[:, :-1], part.sum(axis=1)
-        if not running.shape[1]:
+        whole, running = part.sum(axis=2), np.cumsum(part, axis=2)[:, :, :-1]
+        if not running.shape[2]:
             continue
         g, n, h = running[0], running[1], running[-1]
-        rest_g, rest_n, rest_h = whole[0] - g, whole[1] - n, whole[-1] - h
+        rest_g, rest_n, rest_h = (whole[k][:, None] - running[k] for k in (0, 1, -1))
         allowed = (n >= settings.min_rows) & (rest_n >= settings.min_rows) & (h >= settings.min_hessian) & (rest_h >= settings.min_hessian)
-        if not allowed.any():
-            continue
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(allowed, g * g / h + rest_g * rest_g / rest_h, -np.inf)
-        k = int(np.argmax(gain))
-        gained = float(gain[k] - whole[0] ** 2 / whole[-1])
-        if gained > 1e-12 and (best is None or gained > best[0]):
-            best = (gained, f, k, float(-g[k] / h[k] * settings.rate), float(-rest_g[k] / rest_h[k] * settings.rate))
-    return best
+            gains = np.where(allowed, g * g / h + rest_g * rest_g / rest_h - (whole[0] ** 2 / whole[-1])[:, None], -np.inf)
+        k = np.argmax(gains, axis=1)
+        better = gains[rows, k] > gain
+        if better.any():
+            i, c = rows[better], k[better]
+            gain[i], feature[i], cuts[i] = gains[i, c], f, c
+            left[i], right[i] = -g[i, c] / h[i, c] * settings.rate, -rest_g[i, c] / rest_h[i, c] * settings.rate
+    return [(float(gain[i]), int(feature[i]), int(cuts[i]), float(left[i]), float(right[i])) if feature[i] >= 0 else None for i in rows]
 
 
 def pruned(trial: Growing, settings: Settings) -> Tree:
@@ -262,7 +266,8 @@ def pruned(trial: Growing, settings: Settings) -> Tree:
             out.cut.append(0)
             out.left.append(0)
             out.value.append(value)
-            offer(trial.tree.left[node] + child, len(out.feature) - 1)
+            if trial.tree.feature[node] >= 0:  # splits of the last level have no children on trial
+                offer(trial.tree.left[node] + child, len(out.feature) - 1)
         leaves += 1
     return out
 
@@ -298,8 +303,11 @@ def grown(blocks: RDD, models: list[Model], sizes: np.ndarray, tree_no: int, see
                 fresh[node] = t.sums[parent] - fresh[counted]
             t.sums = {0: t.sums.get(0, fresh.get(0)), **fresh}
             t.counted, t.siblings = [], []
-            for node, sums in sorted(fresh.items()):
-                split = best_split(sums, t.columns, sizes, settings)
+            if not fresh:
+                continue
+            order = sorted(fresh)
+            for node, split in zip(order, best_splits(np.stack([fresh[k] for k in order], axis=1), t.columns, sizes, settings), strict=True):
+                sums = fresh[node]
                 if split is None:
                     continue
                 t.splits[node] = split
@@ -342,7 +350,7 @@ def fit(df: DataFrame, tasks: Sequence[Task], settings: Settings | None = None,
     for j, t in enumerate(tasks):
         y = safe_double(t.target) if t.group is None else F.when(F.col(t.group).cast("boolean"), safe_double(t.target))
         measured += [F.avg(y).alias(f"a{j}"), F.min(y).alias(f"l{j}"), F.max(y).alias(f"h{j}")]
-    row = df.agg(*measured).first()
+    row = df.agg(F.count("*").alias("rows"), *measured).first()
     models: list[Model | None] = []
     for j, t in enumerate(tasks):
         mean, low, high = row[f"a{j}"], row[f"l{j}"], row[f"h{j}"]
@@ -356,7 +364,8 @@ def fit(df: DataFrame, tasks: Sequence[Task], settings: Settings | None = None,
         return models
     blocks = cut(store(df, features, targets, groups, edges))
     own, starts = [tasks[j] for j in live], [models[j].start for j in live]
-    parts = max(1, min(blocks.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+    # a pass over fewer cells than this costs less than the tasks it would be dealt to
+    parts = max(1, min(blocks.rdd.getNumPartitions(), math.ceil(row["rows"] * len(own) / TASK_CELLS)))
     state = blocks.rdd.coalesce(parts).map(lambda r: opened(r, own, features, targets, groups, starts)).persist(StorageLevel.MEMORY_AND_DISK)
     fitted, before = [models[j] for j in live], None
     for k in range(settings.trees):

@@ -122,7 +122,7 @@ def measurement_diagnostics(df: DataFrame, pairs: Mapping[str, str]) -> DataFram
     )
     values = long.filter(positive).select("component", "raw").distinct().groupBy("component")
     unique = values.agg(F.count("*").alias("positive_unique_values"))
-    q = exact_quantiles(long.filter(positive), ["raw", "cal"], [0.25, 0.75, 0.01, 0.99], ["component"], few_groups=True)
+    q = exact_quantiles(long.filter(positive), ["raw", "cal"], [0.25, 0.75, 0.01, 0.99], ["component"])
     iqr, width = F.col("p1") - F.col("p0"), F.col("p3") - F.col("p2")
     spread = q.groupBy("component").agg(
         *[
@@ -193,7 +193,7 @@ def stratified_overlap(df: DataFrame, treatments: Sequence[str], bins: int = 10)
         F.avg("res").alias("residual_mean"),
         F.stddev("res").alias("residual_sd"),
     )
-    q = exact_quantiles(binned, ["raw", "res"], [0.25, 0.75, 0.01, 0.99], keys, few_groups=True)
+    q = exact_quantiles(binned, ["raw", "res"], [0.25, 0.75, 0.01, 0.99], keys)
     spread = q.groupBy(*keys).agg(
         F.max(F.when(F.col("name") == "raw", F.col("p2"))).alias("raw_p01"),
         F.max(F.when(F.col("name") == "raw", F.col("p3"))).alias("raw_p99"),

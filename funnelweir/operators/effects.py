@@ -110,7 +110,7 @@ def support(
             if r[f"n{i}"]:
                 parts[(*[r[k] for k in by], c)] = {"n": r[f"n{i}"], "sd": r[f"sd{i}"]}
     for table in (
-        exact_quantiles(clean, columns, [0.25, 0.75, 0.01, 0.99], by, few_groups=True),
+        exact_quantiles(clean, columns, [0.25, 0.75, 0.01, 0.99], by),
         histogram_stats(clean, columns, by),
     ):
         for r in table.collect():
@@ -144,12 +144,13 @@ def support(
 
 def support_table(df: DataFrame, columns: Sequence[str], by: str | None = None, **limits) -> dict[tuple[str, str], dict]:
     """Gate rows on the driver keyed by (level, column); levels include ``ALL``."""
-    found = {(ALL, r["treatment"]): r.asDict() for r in support(df, columns, **limits).collect()}
-    if by:
-        for r in support(df, columns, [by], **limits).collect():
-            if r[by] is not None:
-                found[(str(r[by]), r["treatment"])] = r.asDict()
-    return found
+    if not by:
+        return {(ALL, r["treatment"]): r.asDict() for r in support(df, columns, **limits).collect()}
+    # the whole frame is one more level, so both come from the same scans
+    level = F.explode(F.array(F.lit(ALL), F.concat(F.lit("="), F.col(by).cast("string"))))
+    both = df.select(level.alias("_level"), *columns).filter("_level IS NOT NULL")
+    rows = support(both, columns, ["_level"], **limits).collect()
+    return {(r["_level"] if r["_level"] == ALL else r["_level"][1:], r["treatment"]): r.asDict() for r in rows}
 
 
 def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

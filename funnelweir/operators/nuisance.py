@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelweir.functions import scalars as S
 from funnelweir.functions.scalars import safe_double
+from funnelweir.operators import boosting as BO
 from funnelweir.operators.moments import ALL, CONST, Problem, linear, moments, solve
 from funnelweir.operators.ordering import exact_quantiles, prefix_sums
+from funnelweir.operators.ranking import multi_positive_metrics
+from funnelweir.session import cut
 
-# fixed values: boosted-learner settings
-BOOSTED = {"maxIter": 250, "stepSize": 0.04, "maxDepth": 6, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"}
 RIDGE_PENALTY = 1e-12
 
 
@@ -32,18 +32,6 @@ def _constant(train: DataFrame, target: str):
     return row["a"] is not None, row["a"] if row["a"] == row["b"] else None
 
 
-def _boosted(train, test, target, classify, settings, seed):
-    options = {**BOOSTED, **(settings or {}), "featuresCol": "_features", "labelCol": target, "seed": seed}
-    # clustered checkpoints keep the lineage of many trees short
-    options.setdefault("checkpointInterval", 10)
-    learner = GBTClassifier(**options) if classify else GBTRegressor(**options)
-    model = learner.fit(train.filter(F.col(target).isNotNull()).select("_features", target))
-    scored = model.transform(test)
-    extra = [c for c in ("rawPrediction", "probability") if c in scored.columns]
-    value = vector_to_array("probability")[1] if classify else F.col("prediction")
-    return scored.withColumn("_hat", value).drop("prediction", *extra)
-
-
 def _logistic(train, test, target):
     learner = LogisticRegression(featuresCol="_features", labelCol=target, maxIter=50, regParam=1e-6)
     model = learner.fit(train.filter(F.col(target).isNotNull()).select("_features", target))
@@ -66,14 +54,16 @@ def residualize(
 
     ``kind`` is ``treatment`` (missing targets stay missing, prefix ``mhat_``)
     or ``outcome`` (missing reads 0, probabilities, prefix ``yhat_``).
-    ``ridge`` solves all targets from one scan; ``boosted`` and ``logistic``
-    train Spark ML models.
+    ``ridge`` solves all targets from one scan; ``boosted`` grows histogram trees for all
+    targets at once (``settings`` are those of :class:`boosting.Settings`); ``logistic``
+    trains a Spark ML model.
     """
     outcome = kind == "outcome"
-    hat = "yhat_" if outcome else "mhat_"
-    fill = 0.0 if outcome else None
-    clean = lambda df: df.withColumns({t: safe_double(t, fill) for t in targets})
-    train, test = _features(clean(train), x), _features(clean(test), x)
+    train, test = cleaned(train, targets, kind), cleaned(test, targets, kind)
+    if learner == "boosted":
+        models = BO.fit(train, [BO.Task(t, tuple(x), outcome) for t in targets], BO.Settings(**(settings or {})), seed + 100 * outcome)
+        return boosted_residuals(test, targets, kind, dict(zip(targets, models, strict=True)), clip)
+    train, test = _features(train, x), _features(test, x)
     design = [f"_x_{c}" for c in x]
     predicted: dict[str, Column] = {}
     if learner == "ridge":
@@ -88,29 +78,66 @@ def residualize(
                 predicted[t] = linear(fit.design, fit.beta)
     else:
         train = train.persist()
-        for i, t in enumerate(targets):
+        for t in targets:
             observed, constant = _constant(train, t)
             if not observed or constant is not None:
                 predicted[t] = F.lit(constant if observed else None).cast("double")
                 continue
-            if learner == "boosted":
-                test = _boosted(train, test, t, outcome, settings, seed + i + (100 if outcome else 0))
-            elif learner == "logistic" and outcome:
+            if learner == "logistic" and outcome:
                 test = _logistic(train, test, t)
             else:
                 raise ValueError(f"{learner} for {kind}")
             test = test.withColumnRenamed("_hat", f"_hat_{t}")
             predicted[t] = F.col(f"_hat_{t}")
         train.unpersist()
+    return with_residuals(test, targets, kind, predicted, clip).drop("_features", *design, *[f"_hat_{t}" for t in targets])
+
+
+def cleaned(df: DataFrame, targets: Sequence[str], kind: str) -> DataFrame:
+    """Targets as numbers; a missing outcome reads 0, a missing treatment stays missing."""
+    return df.withColumns({t: safe_double(t, 0.0 if kind == "outcome" else None) for t in targets})
+
+
+def with_residuals(test: DataFrame, targets: Sequence[str], kind: str, predicted: dict[str, Column], clip: bool = True) -> DataFrame:
+    """raw, hat and res columns from the predictions."""
+    hat = "yhat_" if kind == "outcome" else "mhat_"
     added = {}
     for t in targets:
         value = S.clip(predicted[t]) if clip else predicted[t]
-        value = F.when(F.col(t).isNotNull() & predicted[t].isNotNull(), value)
         added[f"raw_{t}"] = F.col(t)
-        added[f"{hat}{t}"] = value
+        added[f"{hat}{t}"] = F.when(F.col(t).isNotNull() & predicted[t].isNotNull(), value)
     out = test.withColumns(added)
-    out = out.withColumns({f"res_{t}": F.col(f"raw_{t}") - F.col(f"{hat}{t}") for t in targets})
-    return out.drop("_features", *design, *[f"_hat_{t}" for t in targets])
+    return out.withColumns({f"res_{t}": F.col(f"raw_{t}") - F.col(f"{hat}{t}") for t in targets})
+
+
+def boosted_residuals(test: DataFrame, targets: Sequence[str], kind: str, models: dict[str, BO.Model | None], clip: bool = True) -> DataFrame:
+    """Raw, hat and res columns of a cleaned test table from fitted models."""
+    scored = BO.predict(test, {f"_hat_{t}": models[t] for t in targets})
+    return with_residuals(scored, targets, kind, {t: F.col(f"_hat_{t}") for t in targets}, clip).drop(*[f"_hat_{t}" for t in targets])
+
+
+def boosted_cross_fit(
+    parts: dict[str, DataFrame],
+    fits: Sequence[tuple[str, str, Sequence[str]]],
+    x: Sequence[str],
+    settings: dict | None = None,
+    seed: int = 20260717,
+) -> dict[tuple[str, str], BO.Model | None]:
+    """Models {(part, target)} of every (part, kind, targets) in ``fits``, all grown in the same passes.
+
+    The parts are stacked with a flag each, so a cross-split design costs the jobs of one model.
+    """
+    targets = {t: kind for _, kind, names in fits for t in names}
+    columns = list(dict.fromkeys([*x, *targets]))
+    stacked = None
+    for name, df in parts.items():
+        for kind in ("treatment", "outcome"):
+            df = cleaned(df, [t for t, k in targets.items() if k == kind], kind)
+        one = df.select(*columns, *[F.lit(other == name).alias(f"_in_{other}") for other in parts])
+        stacked = one if stacked is None else stacked.unionByName(one)
+    keys = [(name, t) for name, _, names in fits for t in names]
+    tasks = [BO.Task(t, tuple(x), targets[t] == "outcome", f"_in_{name}") for name, t in keys]
+    return dict(zip(keys, BO.fit(stacked, tasks, BO.Settings(**(settings or {})), seed), strict=True))
 
 
 def fit_metrics(df: DataFrame, targets: Sequence[str], kind: str = "treatment") -> DataFrame:
@@ -197,20 +224,31 @@ def median_fill(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tu
 def feature_ablation(
     train: DataFrame,
     test: DataFrame,
-    label: str,
+    labels: Sequence[str],
     feature_sets: dict[str, Sequence[str]],
-    learner: str = "boosted",
     settings: dict | None = None,
+    seed: int = 20260717,
 ) -> DataFrame:
-    """Classification metrics of one learner under several feature sets."""
-    reports = []
-    for name, columns in feature_sets.items():
-        a, b, features = median_fill(train, test, columns)
-        scored = residualize(a, b, [label], features, "outcome", learner, settings)
-        report = classification_metrics(scored, f"raw_{label}", f"yhat_{label}")
-        reports.append(report.select(F.lit(name).alias("feature_set"), F.lit(len(features)).alias("features"), "*"))
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+    """Classification metrics of boosted models for every feature set and label: feature_set, label, ...
 
+    Features are binned once; a set is a choice of the store's columns, and the models of
+    all sets and labels grow in the same passes.
+    """
+    labels = list(labels)
+    train, test = cleaned(train, labels, "outcome"), cleaned(test, labels, "outcome")
+    union = list(dict.fromkeys(c for columns in feature_sets.values() for c in columns))
+    a, b, features = median_fill(train, test, union)
+    sets = {name: [f for f in features if f.removesuffix("__missing") in columns] for name, columns in feature_sets.items()}
+    cells = [(name, label) for name in sets for label in labels]
+    models = BO.fit(a, [BO.Task(label, tuple(sets[name]), True) for name, label in cells], BO.Settings(**(settings or {})), seed)
+    scored = cut(BO.predict(b, {f"_p{i}": m for i, m in enumerate(models)}))
+    sizes = a.agg(F.count("*")).first()[0]
+    out = None
+    for i, (name, label) in enumerate(cells):
+        report = classification_metrics(scored, label, f"_p{i}").withColumnRenamed("n", "n_test")
+        ranked = multi_positive_metrics(scored.withColumn("_order", F.struct("timestamp", "item_id")), "user_id", label, f"_p{i}", "_order")
+        one = report.crossJoin(F.broadcast(ranked)).select(
+            F.lit(name).alias("feature_set"), F.lit(label.removeprefix("y_")).alias("stage"), F.lit(len(sets[name])).alias("features"), F.lit(sizes).alias("n_train"), "*"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -8,6 +8,8 @@ crosses partitions is one total per partition, or per (partition, key).
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,128 +95,65 @@ def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name="n
 SKETCH_ACCURACY = 10_000
 
 
-def _interpolated(ranked: DataFrame, ids: Sequence[str], probs: Sequence[float], prob_of: str | None) -> DataFrame:
-    """Pick order statistics from rows (ids, value, _before, _cnt, _n) and interpolate.
-
-    With ``prob_of`` a row serves only the probability of that index.
-    """
-    picks = []
-    for i, p in enumerate(probs):
-        target = (F.col("_n") - 1) * F.lit(float(p))
-        for suffix, position in (("lo", F.floor(target)), ("hi", F.ceil(target))):
-            hit = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_cnt"))
-            if prob_of:
-                hit = hit & (F.col(prob_of) == i)
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"_{suffix}{i}"))
-    found = ranked.groupBy(*ids, "_n").agg(*picks)
-    out = []
-    for i, p in enumerate(probs):
-        target = (F.col("_n") - 1) * F.lit(float(p))
-        share = target - F.floor(target)
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share).alias(f"p{i}"))
-    return found.select(*ids, *out)
-
-
 def _null_safe(left: str, right: str, columns: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
-def _quantiles_by_rank(long: DataFrame, ids: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    counts = value_counts(long, "value", ids)
-    ranked = prefix_sums(counts, ids, ["value"], {"_before": "_cnt"})
-    totals = ranked.groupBy(*ids).agg(F.sum("_cnt").alias("_n"))
-    both = ranked.alias("l").join(totals.alias("r"), _null_safe("l", "r", ids)).select("l.*", "r._n")
-    return _interpolated(both, ids, probs, None)
+def _beside(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row (alias l) with its group's row of ``small`` (alias r); no hint, so sizes decide."""
+    return rows.alias("l").join(small.alias("r"), _null_safe("l", "r", by)) if by else rows.alias("l").crossJoin(F.broadcast(small).alias("r"))
 
 
-def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> list[tuple]:
-    """Exact quantiles of few groups as rows (by..., name, p0, p1, ...).
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolation quantiles, exact at any size and for any number of groups: by, name, p0, p1, ...
 
-    A sketch sizes the groups and brackets every quantile. One scan counts the
-    values below each bracket, one takes out the values inside (a sliver of the
-    rows), and only those are ranked.
+    One scan sketches every column of every group; a sketch misses a rank by n / accuracy
+    at most, so two such steps to each side of a rank bracket it for certain. A second scan
+    counts the values below each bracket, a third takes out the values inside, at most
+    6 in 10,000 of a group's rows or 20,000. Only these are ordered, per group, column and
+    rank. Nothing but the limits, one row per group, is stored, and nothing is collected.
     """
     clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     slack = 2.0 / SKETCH_ACCURACY
     bounds = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = clean.groupBy(*by).agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, bounds, SKETCH_ACCURACY).alias(f"b{i}") for i, c in enumerate(columns)],
-    )
-    # a few numbers per group; the caller vouches for few groups
-    found = sketch.collect()
-    sizes = {(tuple(r[k] for k in by), i): r[f"n{i}"] for r in found for i in range(len(columns))}
     cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    flat = [
-        (*[r[k] for k in by], *[v for i, j in cells for v in (r[f"b{i}"] or [None] * len(bounds))[2 * j : 2 * j + 2]])
-        for r in found
-    ]
-    kinds = [f"{n} {t}" for n, t in clean.select(*by).dtypes] if by else []
-    names = [f"{side}{i}_{j}" for i, j in cells for side in ("low", "high")]
-    limits = df.sparkSession.createDataFrame(flat, ", ".join([*kinds, *[f"{n} double" for n in names]]))
-    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by] or None
-    wide = clean.alias("l")
-    wide = wide.join(F.broadcast(limits).alias("r"), keys) if by else wide.crossJoin(F.broadcast(limits).alias("r"))
-    wide = wide.select(*[F.col(f"l.{c}").alias(c) for c in [*by, *columns]], *[F.col(f"r.{n}").alias(n) for n in names])
-    value = lambda i: F.col(columns[i])
-    inside = {(i, j): value(i).between(F.col(f"low{i}_{j}"), F.col(f"high{i}_{j}")) for i, j in cells}
-    below = wide.groupBy(*by).agg(
-        *[F.count_if(value(i) < F.col(f"low{i}_{j}")).alias(f"c{i}_{j}") for i, j in cells]
-    )
-    lower = {(tuple(r[k] for k in by), i, j): r[f"c{i}_{j}"] for r in below.collect() for i, j in cells}
-    touched = F.lit(False)
-    for condition in inside.values():
-        touched = touched | F.coalesce(condition, F.lit(False))
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(inside[i, j], F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), value(i).alias("value")))
-                for i, j in cells
-            ]
-        )
+    sketch = clean.groupBy(*by).agg(
+        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, bounds, SKETCH_ACCURACY).alias(f"_b{i}") for i, c in enumerate(columns)],
     )
-    near = wide.filter(touched).select(*by, F.inline(hits))
+    limits = cut(sketch)
+    wide = _beside(clean, limits, by)
+    # in a group this small a bracket of slack may be narrower than a rank, so it is the whole group
+    small = lambda i: F.col(f"r._n{i}") < 2 * SKETCH_ACCURACY
+    low = lambda i, j: F.when(small(i), F.lit(float("-inf"))).otherwise(F.col(f"r._b{i}")[2 * j])
+    high = lambda i, j: F.when(small(i), F.lit(float("inf"))).otherwise(F.col(f"r._b{i}")[2 * j + 1])
+    value = lambda i: F.col(f"l.{columns[i]}")
+    keys = [F.col(f"l.{k}").alias(k) for k in by]
+    below = wide.groupBy(*keys).agg(*[F.count_if(value(i) < low(i, j)).alias(f"_c{i}_{j}") for i, j in cells])
+    inside = {(i, j): value(i).between(low(i, j), high(i, j)) for i, j in cells}
+    hits = [F.when(inside[i, j], F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), value(i).alias("value"))) for i, j in cells]
+    touched = functools.reduce(operator.or_, [F.coalesce(c, F.lit(False)) for c in inside.values()])
+    near = wide.filter(touched).select(*keys, F.inline(F.array_compact(F.array(*hits))))
     groups = [*by, "_c", "_p"]
     counts = near.groupBy(*groups, "value").agg(F.count("*").alias("_cnt"))
-    ranked = prefix_sums(counts, groups, ["value"], {"_before": "_cnt"})
-    offsets = df.sparkSession.createDataFrame(
-        [(*g, i, j, n, sizes[g, i]) for (g, i, j), n in lower.items()],
-        ", ".join([*kinds, "_c int, _p int, _below long, _n long"]),
+    before = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    # one row per group, column and rank: what lies below, and where the rank is
+    each = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), F.col(f"r._n{i}").alias("_n"), F.col(f"l._c{i}_{j}").alias("_below")) for i, j in cells])
+    offsets = _beside(below, limits, by).select(*keys, F.inline(each))
+    placed = ranked.alias("l").join(offsets.alias("r"), _null_safe("l", "r", groups))
+    share = functools.reduce(lambda c, j: c.when(F.col("l._p") == j, F.lit(float(probs[j]))), range(len(probs)), F.when(F.lit(False), F.lit(0.0)))
+    target = (F.col("r._n") - 1) * share
+    first = F.col("l._before") + F.col("r._below")
+    holds = lambda position: (first <= position) & (position < first + F.col("l._cnt"))
+    found = placed.groupBy(*[F.col(f"l.{g}").alias(g) for g in groups]).agg(
+        F.max(F.when(holds(F.floor(target)), F.col("l.value"))).alias("_lo"),
+        F.max(F.when(holds(F.ceil(target)), F.col("l.value"))).alias("_hi"),
+        F.max(target - F.floor(target)).alias("_t"),
     )
-    placed = ranked.alias("l").join(F.broadcast(offsets).alias("r"), _null_safe("l", "r", groups)).select(
-        *[F.col(f"l.{c}").alias(c) for c in [*groups, "value", "_cnt"]],
-        "_n",
-        (F.col("l._before") + F.col("r._below")).alias("_before"),
-    )
-    picked = _interpolated(placed, [*by, "_c"], probs, "_p").collect()
-    return [(*[r[k] for k in by], columns[r["_c"]], *[r[f"p{j}"] for j in range(len(probs))]) for r in picked]
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    few_groups: bool | None = None,
-) -> DataFrame:
-    """Linear-interpolation quantiles, exact at any size: by, name, p0, p1, ...
-
-    With few groups (the default without ``by``) a sketch brackets the wanted
-    ranks, see :func:`_bracketed_quantiles`; should a bracket miss, value counts
-    are ranked instead. With many groups value counts go to ``percentile`` while
-    its buffer is bounded, and to prefix sums beyond.
-    """
-    ids = [*by, "name"]
-    if few_groups is None:
-        few_groups = not by
-    if few_groups:
-        rows = _bracketed_quantiles(df, columns, probs, by)
-        if all(v is not None for r in rows for v in r[len(by) :]):
-            kinds = [f"{n} {t}" for n, t in df.select(*by).dtypes] if by else []
-            schema = ", ".join([*kinds, "name string", *[f"p{i} double" for i in range(len(probs))]])
-            return df.sparkSession.createDataFrame(rows, schema)
-    long = melt(df, columns, by).filter(F.col("value").isNotNull())
-    return _quantiles_by_rank(long, ids, probs)
+    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")
+    name = functools.reduce(lambda c, i: c.when(F.col("_c") == i, F.lit(columns[i])), range(len(columns)), F.when(F.lit(False), F.lit("")))
+    return found.groupBy(*by, name.alias("name")).agg(*[F.max(F.when(F.col("_p") == j, at)).alias(f"p{j}") for j in range(len(probs))])
 
 
 def quantile_scalars(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:

@@ -765,6 +765,6 @@ def pair_lines(spark, d):
     ),
 )
 def exact_quantiles(spark, d):
-    q = O.exact_quantiles(B.table(spark, d, "lineitem"), ["l_extendedprice"], [0.01, 0.25, 0.5, 0.99], ["l_returnflag"], few_groups=True)
+    q = O.exact_quantiles(B.table(spark, d, "lineitem"), ["l_extendedprice"], [0.01, 0.25, 0.5, 0.99], ["l_returnflag"])
     return q.select("l_returnflag", F.col("p0").alias("p01"), F.col("p1").alias("p25"), F.col("p2").alias("p50"), F.col("p3").alias("p99"))
 

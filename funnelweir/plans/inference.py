@@ -632,24 +632,6 @@ def projection_order(spark, d):
     return MT.holm(out, "p_value", ["variant", "stage"])
 
 
-# fixed values: each decomposable parent is kept or fully replaced by its parts
-TAXONOMY = {"four": CUES, "three": [c for c in CUES if c != "res_T_con_soc"], "two": ["res_T_con_mkt", "res_T_int_fac"]}
-
-
-@query("E23_taxonomy_sensitivity")
-def taxonomy_sensitivity(spark, d):
-    train, final = halves(spark, d)
-    out = None
-    for name, columns in TAXONOMY.items():
-        heuristic = [c for c in columns if c in HEURISTIC]
-        analytical = [c for c in columns if c in ANALYTICAL]
-        fitted = PJ.fit_projection(train, heuristic, analytical, fill_controls=False)
-        frame, pure = PJ.apply_projection(final, heuristic, fitted)
-        table = E.family(frame, OUTCOMES, [*heuristic, *pure]).withColumn("specification", F.lit(name))
-        out = table if out is None else out.unionByName(table)
-    return E.sign_stability(out, ["stage", "component"])
-
-
 # ---- resampling ------------------------------------------------------------------------------
 
 REPS, PATH_REPS = 200, 500

@@ -16,9 +16,12 @@ from funnelweir.plans import tables as B
 from funnelweir.plans.features import SPLIT_SQL, long_measures_sql, split_funnel
 from funnelweir.plans.inference import THIN, THIN_COLUMNS, support_ctes, thin
 from funnelweir.plans.inference import W as WR
+from funnelweir.plans import master as M
+from funnelweir.plans.flagship import certified_splits
 from funnelweir.plans.master import calibrate
 from funnelweir.plans.registry import query, sql_rounded
 from funnelweir.plans.residuals import ANALYTICAL, HEURISTIC, residuals
+from funnelweir.session import cut
 
 W = B.sql_with
 X = ["x_size", "x_price", "x_gap"]
@@ -170,13 +173,11 @@ def classification_metrics(spark, d):
     return N.classification_metrics(scored_table(spark, d), "y", "p")
 
 
-SMALL_BOOST = {"maxIter": 5, "maxDepth": 3}
-
-
 @query("M3_boosted_learner")
 def boosted_learner(spark, d):
-    out = N.residualize(*parts(spark, d), ["T_a"], X, "treatment", "boosted", SMALL_BOOST)
-    return N.fit_metrics(out, ["T_a"])
+    """All treatments by 250 trees of at most 31 leaves."""
+    out = N.residualize(*parts(spark, d), TREATMENTS, X, "treatment", "boosted")
+    return N.fit_metrics(cut(out), TREATMENTS)
 
 
 @query("M2_logistic_learner")
@@ -251,8 +252,11 @@ def feature_preparation(spark, d):
 
 @query("M16_feature_ablation")
 def feature_ablation(spark, d):
-    sets = {"Base-X": X, "With-treatments": [*X, *TREATMENTS]}
-    return N.feature_ablation(*parts(spark, d), "y_purchase", sets, "boosted", SMALL_BOOST)
+    """Base-X, then with the 6 composite, the 10 component and all 12 treatments, for every stage."""
+    _, train, test = certified_splits(spark, d)
+    treatments = {"Base-X": [], "Aggregate-6": M.COMPOSITE, "Disaggregate-10": M.COMPONENT, "Full-12": M.TREATMENTS}
+    sets = {name: [*M.CONFOUNDERS, *columns] for name, columns in treatments.items()}
+    return N.feature_ablation(train, test, M.OUTCOMES, sets, {"trees": 260})
 
 
 # ---- certification ------------------------------------------------------------------

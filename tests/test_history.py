@@ -85,15 +85,38 @@ def test_rank_keeps_zeros_and_is_a_permutation(spark, paths):
         assert np.allclose(np.sort(part.s), np.arange(1, len(part) + 1) / len(part))
 
 
-def test_quantiles_match_numpy(spark, paths):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"x": np.concatenate([rng.normal(size=700), np.full(350, 0.25)]), "g": rng.integers(0, 3, 1050)})
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.01, 1 / 3, 0.5, 0.99, 1.0]
     assert np.allclose(O.quantile_scalars(df, "x", probs), np.quantile(pdf.x, probs))
-    for many in (True, False):
-        for r in O.exact_quantiles(df, ["x"], probs, ["g"], few_groups=many).collect():
-            assert np.allclose([r[f"p{i}"] for i in range(6)], np.quantile(pdf.x[pdf.g == r["g"]], probs))
+    for r in O.exact_quantiles(df, ["x"], probs, ["g"]).collect():
+        assert np.allclose([r[f"p{i}"] for i in range(6)], np.quantile(pdf.x[pdf.g == r["g"]], probs))
+
+
+def test_quantiles_of_large_and_of_many_groups(spark):
+    """A hot group beyond the bracket's least size, thousands of small ones, a null group, hot values, gaps."""
+    rng = np.random.default_rng(6)
+    n = 90_000
+    group = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 3000, n))
+    x = np.where(rng.random(n) < 1 / 3, 0.0, rng.lognormal(0, 4, n) * rng.choice([-1, 1], n))
+    x[::50] = np.nan
+    pdf = pd.DataFrame({"g": group, "x": x, "y": rng.integers(0, 5, n).astype(float)})
+    df = spark.createDataFrame(pdf).selectExpr("nullif(g, 7) AS g", "nullif(x, double('NaN')) AS x", "y").repartition(7)
+    probs = [0.0, 0.0101, 0.25, 0.5, 0.75, 0.9907, 1.0]
+    out = {(r["g"], r["name"]): [r[f"p{i}"] for i in range(7)] for r in O.exact_quantiles(df, ["x", "y"], probs, ["g"]).collect()}
+    pdf["g"] = pdf.g.where(pdf.g != 7)
+    expected = {(None if pd.isna(g) else int(g), c): np.quantile(part[c].dropna(), probs) for g, part in pdf.groupby("g", dropna=False) for c in ("x", "y") if part[c].notna().any()}
+    assert out.keys() == expected.keys()
+    for k, v in expected.items():
+        assert np.allclose(out[k], v, rtol=1e-12), k
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "g int, x double")
+    assert O.exact_quantiles(df.filter("1 = 0"), ["x"], [0.5]).collect() == []
+    assert [tuple(r) for r in O.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()] == [(2, "x", 3.0)]
 
 
 def test_history_level_rules(spark):
