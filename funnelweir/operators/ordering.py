@@ -93,17 +93,14 @@ def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name="n
 
 
 SKETCH_ACCURACY = 10_000
+#: Rows of limits (a few numbers each) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def _null_safe(left: str, right: str, columns: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
-def _beside(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each row (alias l) with its group's row of ``small`` (alias r); no hint, so sizes decide."""
-    return rows.alias("l").join(small.alias("r"), _null_safe("l", "r", by)) if by else rows.alias("l").crossJoin(F.broadcast(small).alias("r"))
-
-
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles, exact at any size and for any number of groups: by, name, p0, p1, ...
 
@@ -111,40 +108,39 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     at most, so two such steps to each side of a rank bracket it for certain. A second scan
     counts the values below each bracket, a third takes out the values inside, at most
     6 in 10,000 of a group's rows or 20,000. Only these are ordered, per group, column and
-    rank. Nothing but the limits, one row per group, is stored, and nothing is collected.
+    rank. Nothing but limits and counts, one row per group, is stored, and nothing is collected; the limits
+    are broadcast if a count finds them few.
     """
-    clean = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    slack = 2.0 / SKETCH_ACCURACY
+    ids = [*by, "name"]
+    long = melt(df, columns, by).filter(F.col("value").isNotNull())
+    slack, places = 2.0 / SKETCH_ACCURACY, range(len(probs))
     bounds = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    sketch = clean.groupBy(*by).agg(
-        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, bounds, SKETCH_ACCURACY).alias(f"_b{i}") for i, c in enumerate(columns)],
-    )
-    limits = cut(sketch)
-    wide = _beside(clean, limits, by)
+    sketch = long.groupBy(*ids).agg(F.count("*").alias("_n"), F.percentile_approx("value", bounds, SKETCH_ACCURACY).alias("_b"))
     # in a group this small a bracket of slack may be narrower than a rank, so it is the whole group
-    small = lambda i: F.col(f"r._n{i}") < 2 * SKETCH_ACCURACY
-    low = lambda i, j: F.when(small(i), F.lit(float("-inf"))).otherwise(F.col(f"r._b{i}")[2 * j])
-    high = lambda i, j: F.when(small(i), F.lit(float("inf"))).otherwise(F.col(f"r._b{i}")[2 * j + 1])
-    value = lambda i: F.col(f"l.{columns[i]}")
-    keys = [F.col(f"l.{k}").alias(k) for k in by]
-    below = wide.groupBy(*keys).agg(*[F.count_if(value(i) < low(i, j)).alias(f"_c{i}_{j}") for i, j in cells])
-    inside = {(i, j): value(i).between(low(i, j), high(i, j)) for i, j in cells}
-    hits = [F.when(inside[i, j], F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), value(i).alias("value"))) for i, j in cells]
-    touched = functools.reduce(operator.or_, [F.coalesce(c, F.lit(False)) for c in inside.values()])
-    near = wide.filter(touched).select(*keys, F.inline(F.array_compact(F.array(*hits))))
-    groups = [*by, "_c", "_p"]
-    counts = near.groupBy(*groups, "value").agg(F.count("*").alias("_cnt"))
+    side = lambda k, whole: F.when(F.col("_n") < 2 * SKETCH_ACCURACY, F.lit(float(whole))).otherwise(F.col("_b")[k])
+    edges = [e for j in places for e in (side(2 * j, "-inf").alias(f"_l{j}"), side(2 * j + 1, "inf").alias(f"_h{j}"))]
+    limits = cut(sketch.select(*ids, "_n", *edges))
+    few = limits.count() <= BROADCAST_ROWS
+    wide = long.alias("l").join((F.broadcast(limits) if few else limits).alias("r"), _null_safe("l", "r", ids)).select("l.*", *[f"r.{side}{j}" for j in places for side in ("_l", "_h")])
+    value, low, high = F.col("value"), (lambda j: F.col(f"_l{j}")), (lambda j: F.col(f"_h{j}"))
+    # the edges themselves may be hot values, so they are counted, never taken out
+    tests = {"_c": lambda j: value < low(j), "_e": lambda j: value == low(j), "_g": lambda j: (value == high(j)) & (low(j) < high(j))}
+    below = cut(wide.groupBy(*ids).agg(*[F.count_if(test(j)).alias(f"{k}{j}") for j in places for k, test in tests.items()]))
+    inside = [(value > low(j)) & (value < high(j)) for j in places]
+    hits = [F.when(c, F.struct(F.lit(j).alias("_p"), value.alias("value"))) for j, c in enumerate(inside)]
+    near = wide.filter(functools.reduce(operator.or_, inside)).select(*ids, F.inline(F.array_compact(F.array(*hits))))
+    groups = [*ids, "_p"]
+    beside = below.alias("l").join(limits.alias("r"), _null_safe("l", "r", ids))
+    keys = [F.col(f"l.{k}").alias(k) for k in ids]
+    ends = F.array(*[F.struct(F.lit(j).alias("_p"), F.col(f"r.{e}{j}").alias("value"), F.col(f"l.{k}{j}").alias("_cnt")) for j in places for e, k in (("_l", "_e"), ("_h", "_g"))])
+    counts = near.groupBy(*groups, "value").agg(F.count("*").alias("_cnt")).unionByName(beside.select(*keys, F.inline(ends)).filter("_cnt > 0"))
     before = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     # one row per group, column and rank: what lies below, and where the rank is
-    each = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_p"), F.col(f"r._n{i}").alias("_n"), F.col(f"l._c{i}_{j}").alias("_below")) for i, j in cells])
-    offsets = _beside(below, limits, by).select(*keys, F.inline(each))
+    wanted = F.array(*[F.struct(F.lit(j).alias("_p"), F.lit(float(p)).alias("_prob"), F.col("r._n").alias("_n"), F.col(f"l._c{j}").alias("_below")) for j, p in enumerate(probs)])
+    offsets = beside.select(*keys, F.inline(wanted))
     placed = ranked.alias("l").join(offsets.alias("r"), _null_safe("l", "r", groups))
-    share = functools.reduce(lambda c, j: c.when(F.col("l._p") == j, F.lit(float(probs[j]))), range(len(probs)), F.when(F.lit(False), F.lit(0.0)))
-    target = (F.col("r._n") - 1) * share
-    first = F.col("l._before") + F.col("r._below")
+    target, first = (F.col("r._n") - 1) * F.col("r._prob"), F.col("l._before") + F.col("r._below")
     holds = lambda position: (first <= position) & (position < first + F.col("l._cnt"))
     found = placed.groupBy(*[F.col(f"l.{g}").alias(g) for g in groups]).agg(
         F.max(F.when(holds(F.floor(target)), F.col("l.value"))).alias("_lo"),
@@ -152,8 +148,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.max(target - F.floor(target)).alias("_t"),
     )
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")
-    name = functools.reduce(lambda c, i: c.when(F.col("_c") == i, F.lit(columns[i])), range(len(columns)), F.when(F.lit(False), F.lit("")))
-    return found.groupBy(*by, name.alias("name")).agg(*[F.max(F.when(F.col("_p") == j, at)).alias(f"p{j}") for j in range(len(probs))])
+    return found.groupBy(*ids).agg(*[F.max(F.when(F.col("_p") == j, at)).alias(f"p{j}") for j in places])
 
 
 def quantile_scalars(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:

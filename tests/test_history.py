@@ -95,8 +95,10 @@ def test_quantiles_match_numpy(spark):
         assert np.allclose([r[f"p{i}"] for i in range(6)], np.quantile(pdf.x[pdf.g == r["g"]], probs))
 
 
-def test_quantiles_of_large_and_of_many_groups(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_quantiles_of_large_and_of_many_groups(spark, monkeypatch, few):
     """A hot group beyond the bracket's least size, thousands of small ones, a null group, hot values, gaps."""
+    monkeypatch.setattr(O, "BROADCAST_ROWS", few)
     rng = np.random.default_rng(6)
     n = 90_000
     group = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 3000, n))
