@@ -131,10 +131,10 @@ def popularity(edges: DataFrame, items: DataFrame, item: str = "item_id") -> Dat
 
 
 def slot_popularity(events: DataFrame, items: DataFrame, order: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """Laplace-smoothed item share per equal-row time slot, min-max scaled within the slot.
+    """Laplace-smoothed share of every item in every equal-row time slot, min-max scaled within the slot.
 
-    Items without events in a slot share one smoothed value, so only items with
-    events are listed; the rest have scaled value 0 unless every item occurs.
+    Items without events in a slot are listed with zero events, as is every item of a slot
+    that got no rows at all.
     """
     known = items.select("item_id").distinct()
     numbered = global_row_number(events.join(known, "item_id", "left_semi"), order, "_rn")
@@ -142,21 +142,19 @@ def slot_popularity(events: DataFrame, items: DataFrame, order: Sequence[str], s
     slot = F.least(F.lit(slots - 1), F.floor((F.col("_rn") - 1) * slots / F.col("_total")))
     slotted = numbered.crossJoin(F.broadcast(total)).withColumn("slot", slot.cast("int"))
     counts = slotted.groupBy("slot", "item_id").agg(F.count("*").alias("events"))
-    sizes = counts.groupBy("slot").agg(
-        F.sum("events").alias("_n"), F.count("*").alias("_seen"), F.max("events").alias("_hi"), F.min("events").alias("_lo")
-    )
-    universe = known.agg(F.count("*").alias("_items"))
+    every = known.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    filled = every.join(counts, ["slot", "item_id"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
     # one row per slot
-    wide = counts.join(F.broadcast(sizes.crossJoin(F.broadcast(universe))), "slot")
-    share = lambda c: (c + 1.0) / (F.col("_n") + F.col("_items"))
-    lowest = F.when(F.col("_seen") < F.col("_items"), F.lit(0)).otherwise(F.col("_lo"))
-    low, high = share(lowest), share(F.col("_hi"))
-    return wide.select(
+    sizes = filled.groupBy("slot").agg(
+        F.sum("events").alias("_n"), F.count("*").alias("_items"), F.max("events").alias("_hi"), F.min("events").alias("_lo")
+    )
+    share = lambda c: (F.col(c) + 1.0) / (F.col("_n") + F.col("_items"))
+    return filled.join(F.broadcast(sizes), "slot").select(
         "slot",
         "item_id",
         "events",
-        share(F.col("events")).alias("smoothed_share"),
-        ((share(F.col("events")) - low) / (high - low + 1e-10)).alias("scaled_popularity"),
+        share("events").alias("smoothed_share"),
+        ((share("events") - share("_lo")) / (share("_hi") - share("_lo") + 1e-10)).alias("scaled_popularity"),
     )
 
 

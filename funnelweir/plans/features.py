@@ -152,15 +152,25 @@ def occurrence_join(spark, d):
 @query(
     "J8_channel_join",
     W(
-        ["funnel", "ratings"],
-        f"""WITH {ASOF_SQL}, r AS (SELECT user_id, item_id, "timestamp", item_review_count_pre AS m, y_purchase FROM rated)
-        SELECT a.user_id, a.item_id, a."timestamp", a.y_purchase, CAST(b.m AS BIGINT) AS m FROM r a JOIN r b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a."timestamp" = b."timestamp" AND a.m = b.m""",
+        ["funnel", "ratings", "users"],
+        f"""WITH {ASOF_SQL}, r AS MATERIALIZED (SELECT user_id, item_id, "timestamp", COALESCE(item_review_count_pre, 0)::BIGINT AS m, y_purchase - 0.33 AS res FROM rated WHERE "timestamp" >= 19950101),
+        c AS MATERIALIZED (SELECT item_id, "timestamp" AS at, SUM(COUNT(*)) OVER (PARTITION BY item_id ORDER BY "timestamp") AS n FROM ratings GROUP BY item_id, "timestamp"),
+        k AS MATERIALIZED (SELECT DISTINCT f.user_id, item_id, "timestamp", reg_year FROM funnel_raw f JOIN users u ON f.user_id = u.user_id WHERE reg_year IS NOT NULL),
+        x AS MATERIALIZED (SELECT k.*, COALESCE(c.n, 0)::BIGINT AS m FROM k ASOF LEFT JOIN c ON k.item_id = c.item_id AND k."timestamp" > c.at)
+        SELECT r.user_id, r.item_id, r."timestamp", r.m, ROUND(CAST(res AS DOUBLE), 6) AS res, x.reg_year FROM r JOIN x ON r.user_id = x.user_id AND r.item_id = x.item_id AND r."timestamp" = x."timestamp" AND r.m = x.m""",
     ),
 )
 def channel_join(spark, d):
-    rated = H.rating_history(B.funnel(spark, d), B.ratings(spark, d)).withColumn("m", F.coalesce("item_review_count_pre", F.lit(0)))
+    """Residual rows with the X table's columns on (user, item, time, M); users without an X row go.
+
+    Each side counts M, the item's earlier ratings, on rows of its own.
+    """
     keys = ["user_id", "item_id", "timestamp", "m"]
-    return rated.select(*keys, "y_purchase").join(rated.select(*keys), keys).withColumn("m", F.col("m").cast("bigint"))
+    counted = lambda df: H.rating_history(df, B.ratings(spark, d)).withColumn("m", F.coalesce("item_review_count_pre", F.lit(0)).cast("bigint"))
+    residual = counted(B.funnel(spark, d)).filter(F.col("timestamp") >= 19950101).select(*keys, (F.col("y_purchase") - 0.33).cast("double").alias("res"))
+    raw = B.funnel_raw(spark, d).select("user_id", "item_id", "timestamp").distinct()
+    x = counted(raw.join(B.users(spark, d).filter("reg_year IS NOT NULL").select("user_id", "reg_year"), "user_id"))
+    return residual.join(x.select(*keys, "reg_year"), keys)
 
 
 @query(
@@ -701,10 +711,11 @@ def popularity(spark, d):
         sql_rounded(
             """WITH e AS (SELECT item_id, ROW_NUMBER() OVER (ORDER BY "timestamp", user_id, item_id) AS r, COUNT(*) OVER () AS n FROM funnel WHERE y_purchase = 1),
             c AS (SELECT LEAST(4, (r - 1) * 5 // n) AS slot, item_id, COUNT(*) AS events FROM e GROUP BY ALL),
-            u AS (SELECT COUNT(*) AS items FROM part), s AS (SELECT slot, SUM(events) AS n, COUNT(*) AS seen, MIN(events) AS lo, MAX(events) AS hi FROM c GROUP BY slot)
-            SELECT c.slot, item_id, events, (events + 1) / (n + items) AS smoothed_share,
-              (events - CASE WHEN seen < items THEN 0 ELSE lo END) / (n + items) / ((hi - CASE WHEN seen < items THEN 0 ELSE lo END) / (n + items) + 1e-10) AS scaled_popularity
-            FROM c JOIN s USING (slot), u""",
+            f AS (SELECT t.slot::INT AS slot, CAST(p_partkey AS VARCHAR) AS item_id, COALESCE(events, 0) AS events FROM part CROSS JOIN range(5) t(slot)
+              LEFT JOIN c ON c.slot = t.slot AND c.item_id = CAST(p_partkey AS VARCHAR)),
+            s AS (SELECT slot, SUM(events) AS n, COUNT(*) AS items, MIN(events) AS lo, MAX(events) AS hi FROM f GROUP BY slot)
+            SELECT f.slot, item_id, events, (events + 1) / (n + items) AS smoothed_share, (events - lo) / (n + items) / ((hi - lo) / (n + items) + 1e-10) AS scaled_popularity
+            FROM f JOIN s USING (slot)""",
             ["slot", "item_id", "events"],
             ["smoothed_share", "scaled_popularity"],
         ),
