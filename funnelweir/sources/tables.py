@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,42 @@ def _twin(path: str) -> list[str]:
     return [f"{path}.parquet", f"{path}.csv"]
 
 
-def _decodable(spark: SparkSession, path: str, encoding: str) -> bool:
-    """True if no line holds a replacement character after decoding; scans in parallel."""
-    if not encoding.startswith("utf-8"):
-        # Spark accepts other Java charsets only with this switch
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    lines = spark.read.option("encoding", encoding).option("header", "false").option("sep", "\x01").csv(path)
-    return lines.filter(F.col("_c0").contains("�")).isEmpty()
+def decoded_lines(lines: DataFrame, encoding: str) -> DataFrame:
+    """Lines (value) whose bytes are in ``encoding``, as text; raises if a line is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a line feed is no part of a longer character, so a batch is decoded at once
+            raw = b"\n".join(batch.column(0).to_pylist())
+            texts = raw.decode(encoding).split("\n") if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "value string")
+
+
+def read_delimited(spark: SparkSession, path: str, schema=None, sep: str = ",") -> DataFrame:
+    """Delimited files in UTF-8, with or without a byte order mark, or GB18030; strings unless a schema is given.
+
+    Files are split by byte ranges: both encodings keep the line feed to itself, so a line
+    start is safe wherever a range begins. One count of the lines that are no valid UTF-8
+    decides for the whole table. The first line names the columns; lines equal to it (one per
+    file) and empty lines are passed over. No session setting is touched.
+    """
+    lines = spark.read.text(path)
+    row = lines.agg(F.count("*").alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
+    if not row["n"]:
+        if schema is None:
+            raise ValueError(f"{path} has no header")
+        return spark.createDataFrame([], schema)
+    if row["bad"]:
+        lines = decoded_lines(lines, ENCODINGS[-1])
+    lines = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter(F.length("value") > 0)
+    header = lines.first()["value"]
+    names = next(csv.reader([header], delimiter=sep))
+    given = (schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")) if schema is not None else ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    # as in Spark's own reader a line with too few fields ends in nulls
+    parsed = F.from_csv("value", given, {"sep": sep, "mode": "PERMISSIVE"}).alias("r")
+    return lines.filter(F.col("value") != header).select(parsed).select("r.*")
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema=None) -> DataFrame:
@@ -44,11 +75,7 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
         if candidate.endswith(".parquet"):
             df = spark.read.parquet(candidate)
         else:
-            names = [e for e in ENCODINGS if e != "utf-8-sig"]
-            encoding = next((e for e in names if _decodable(spark, candidate, e)), names[0])
-            reader = spark.read.option("header", "true").option("encoding", encoding)
-            df = (reader.schema(schema) if schema else reader).csv(candidate)
-            df = df.toDF(*[c.replace("﻿", "") for c in df.columns])
+            df = read_delimited(spark, candidate, schema)
         return df.select(*columns) if columns else df
     raise FileNotFoundError(f"no table at {path}")
 
