@@ -280,20 +280,21 @@ def marked_sets(docs: DataFrame, words: int, similarity: float, size: int, reach
 
 
 def prefix_rows(classes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
-    """(class_id, value): a row for each hash of a prefix that the filter ``among`` lets through."""
+    """(class_id, n, weight, value): a row for each hash of a prefix that the filter ``among`` lets through."""
     held = None if among is None else classes.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
+            parts = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(3)]
             values = np.concatenate([np.empty(0, "<i8"), *parts])
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.array([len(x) for x in parts], np.int64))
+            row = np.repeat(np.arange(batch.num_rows), np.array([len(x) for x in parts], np.int64))
             if held is not None:
                 stay = passed(values, held.value)
-                values, nodes = values[stay], nodes[stay]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.int64())], names=["class_id", "value"])
+                values, row = values[stay], row[stay]
+            own = [batch.column(k).take(pa.array(row)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values, pa.int64())], names=["class_id", "n", "weight", "value"])
 
-    return classes.select("class_id", "prefix").mapInArrow(run, "class_id long, value long")
+    return classes.select("class_id", "n", "weight", "prefix").mapInArrow(run, "class_id long, n int, weight long, value long")
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int, text_column: str) -> DataFrame:
@@ -358,20 +359,27 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: f
     def side(prefix: str, *more: str) -> list[Column]:
         return [F.col(c).alias(prefix + c) for c in ("n", "bits", "fp", *more)]
 
+    marks = classes.select("class_id", "n", "bits", "fp")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are near by their marks, which are joined to pairs only once."""
+        left, right = (marks.select(F.col("class_id").alias(c), *[F.col(m).alias(f"{c}_{m}") for m in ("n", "bits", "fp")]) for c in ("u", "v"))
+        return pairs.join(left, "u").join(right, "v").filter(near("u_", "v_")).select("u", "v")
+
+    # a row per class and shingle stays narrow: it is the largest table here
     several = cut(prefix_rows(classes).groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").select("value"))
-    shared = prefix_rows(classes, presence(several)).join(several, "value")
-    shared = cut(shared.join(classes.select("class_id", "n", "weight", "bits", "fp"), "class_id"))
-    leads = shared.groupBy("value").agg(F.min(F.struct(-F.col("weight"), "class_id")).alias("lead")).select("value", F.col("lead.class_id").alias("v"))
-    stars = shared.join(leads, "value").filter("class_id <> v").select(F.col("class_id").alias("u"), "v", *side("u_")).dropDuplicates(["u", "v"])
-    others = classes.select(F.col("class_id").alias("v"), *side("v_"))
-    stars = cut(stars.join(others, "v").filter(near("u_", "v_")).select("u", "v"))
-    edges = cut(verified(stars, docs, classes, words, similarity, text_column))
-    grouped = shared.join(components(edges).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("group", F.coalesce("component", "class_id"))
-    grouped = cut(grouped.select("value", "class_id", "group", "n", "bits", "fp"))
+    shared = cut(prefix_rows(classes, presence(several)).join(several, "value").select("value", "class_id", "n", "weight"))
+    leads = shared.groupBy("value").agg(F.min(F.struct(-F.col("weight"), "class_id", "n")).alias("lead")).select("value", F.col("lead.class_id").alias("v"), F.col("lead.n").alias("v_n"))
+    lengths = F.least("n", "v_n") >= F.greatest("n", "v_n") * similarity - 1e-9
+    stars = shared.join(leads, "value").filter((F.col("class_id") != F.col("v")) & lengths).select(F.col("class_id").alias("u"), "v").distinct()
+    edges = cut(verified(cut(alike(stars)), docs, classes, words, similarity, text_column))
+    labels = cut(components(edges).withColumnRenamed("node", "class_id"))
+    grouped = shared.join(labels, "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("group"), "weight")
     # shingles whose classes are connected already are done
-    spread = grouped.groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("value")
-    of_lead = leads.join(grouped.select("value", F.col("class_id").alias("v"), F.col("group").alias("lead")), ["value", "v"]).select("value", "lead")
-    members = cut(grouped.join(spread.join(of_lead, "value"), "value"))
+    lead = F.min(F.struct(-F.col("weight"), "class_id", "group")).alias("lead")
+    spread = grouped.groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high"), lead).filter("low <> high")
+    spread = spread.select("value", F.col("lead.group").alias("lead"))
+    members = cut(grouped.drop("weight").join(spread, "value").join(marks, "class_id"))
     rest = members.filter("group <> lead").select("value", F.col("class_id").alias("u"), F.col("group").alias("u_group"), *side("u_"))
     open_pair = (F.col("group") != F.col("u_group")) & ((F.col("group") == F.col("lead")) | (F.col("u") < F.col("class_id")))
     pairs = members.select("value", "class_id", "group", "lead", *side("v_")).join(rest, "value").filter(open_pair & near("u_", "v_"))
