@@ -44,6 +44,40 @@ def read_table(spark, d):
     return part.groupBy("p_type").agg(F.count("*").alias("parts"), F.sum("p_size").alias("sizes"))
 
 
+def exported_lines(df, folder: str, encoding: str) -> None:
+    """One delimited file per partition of ``df``, in an encoding that Spark's writer does not offer."""
+    names = df.columns
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        content = "\n".join([",".join(names), *(",".join("" if v is None else str(v) for v in r) for r in rows), ""])
+        system, path = pafs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{uuid.uuid4().hex}.csv") as out:
+            out.write(content.encode(encoding))
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    df.mapInArrow(run, "n long").collect()
+
+
+@query(
+    "S1_delimited_encodings",
+    "SELECT e.encoding, '名称 ' || p_type AS name, COUNT(*) AS parts, CAST(SUM(p_size) AS BIGINT) AS sizes FROM part, (VALUES ('utf-8'), ('utf-8-sig'), ('gb18030')) e(encoding) GROUP BY ALL",
+)
+def delimited_encodings(spark, d):
+    """The parts written as delimited files in each encoding and read back by the count of invalid sequences."""
+    part = B.table(spark, d, "part").select("p_partkey", F.concat(F.lit("名称 "), "p_type").alias("name"), "p_size")
+    out = None
+    for encoding in IO.ENCODINGS:
+        folder = scratch(spark, "delimited")
+        folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        exported_lines(part.repartition(4, "p_partkey"), folder, encoding)
+        back = IO.read_delimited(spark, folder, "p_partkey bigint, name string, p_size bigint")
+        one = back.groupBy("name").agg(F.count("*").alias("parts"), F.sum("p_size").alias("sizes")).withColumn("encoding", F.lit(encoding))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "S2_write_table",
     "SELECT o_orderpriority, COUNT(*) AS orders, MIN(o_orderkey) AS first_key FROM orders GROUP BY ALL",
