@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from funnelweir.operators.projection import apply_projection, fit_projection
 from funnelweir.operators.ranking import expected_metrics
 from funnelweir.operators.ranks import history_level
 from funnelweir.operators.splits import two_way_boundary
+from funnelweir.session import cut
 
 # fixed values: weight of each stage in the dynamic policy score
 STAGE_WEIGHTS = {"click": 0.1, "cart": 0.2, "purchase": 0.7}
@@ -366,3 +370,89 @@ def policy_table(
         table = table.crossJoin(F.broadcast(base)).withColumn("purchase_delta", F.col("purchase_rate") - F.col("_b"))
         table = table.drop("_b")
     return table
+
+
+def policy_choices(df: DataFrame, parameters: DataFrame, treatments: Sequence[str], tiebreak: Sequence[str] = ("item_id", "timestamp"), user: str = "user_id") -> DataFrame:
+    """Each user's best row under each policy: policy, user, the other columns.
+
+    ``parameters`` (policy, treatment, coefficient) stays a table: one row holds all policies, so
+    rows are scored and every policy's best row kept in the same pass, combined before the
+    shuffle. Equal scores go to the smallest ``tiebreak``.
+    """
+    entries = F.map_from_entries(F.collect_list(F.struct("treatment", "coefficient")))
+    each = parameters.filter(F.col("coefficient").isNotNull()).groupBy("policy").agg(entries.alias("weights"))
+    all_of = each.agg(F.collect_list(F.struct("policy", "weights")).alias("_policies"))
+    others = [c for c in df.columns if c != user]
+    weight = lambda p, t: F.coalesce(F.try_element_at(p["weights"], F.lit(t)), F.lit(0.0))
+    score = lambda p: functools.reduce(operator.add, [weight(p, t) * F.coalesce(safe_double(t), F.lit(0.0)) for t in treatments], F.lit(0.0))
+    scored = F.transform("_policies", lambda p: F.struct(p["policy"].alias("policy"), score(p).alias("_score")))
+    wide = df.crossJoin(F.broadcast(all_of)).select(user, *others, F.inline(scored))
+    key = F.struct(-F.col("_score"), *[F.col(c) for c in tiebreak])
+    return wide.groupBy("policy", user).agg(F.min_by(F.struct(*others), key).alias("_r")).select("policy", user, "_r.*")
+
+
+def estimated_policies(df: DataFrame, parameters: DataFrame, theta: DataFrame, treatments: Sequence[str], min_rows: int = 3, reps: int = 1000, seed: int = 20260713) -> DataFrame:
+    """Observed rates and mean lift, with its interval, of every policy's choices, in one pass over the rows.
+
+    ``theta`` (treatment, coefficient, std_error) values the choices; its errors give the
+    interval by normal draws on one mean per policy and treatment.
+    """
+    sizes = df.groupBy("user_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
+    eligible = df.join(sizes.select("user_id"), "user_id", "left_semi")
+    chosen = policy_choices(eligible, parameters, treatments)
+    rates = [(F.avg(f"y_{s}") * 100).alias(f"{s}_rate") for s in STAGE_WEIGHTS]
+    means = F.array(*[F.avg(safe_double(t, 0.0)) for t in treatments]).alias("_means")
+    table = chosen.groupBy("policy").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("item_id").alias("items"), *rates, means)
+    order = {t: i for i, t in enumerate(treatments)}
+    values = theta.filter(F.col("treatment").isin(list(treatments))).agg(F.collect_list(F.struct("treatment", "coefficient", "std_error")).alias("_theta"))
+    total = eligible.agg(F.count("*").alias("candidate_rows"))
+    wide = table.crossJoin(F.broadcast(values)).crossJoin(F.broadcast(total))
+    shown = ["policy", "users", "items", *[f"{s}_rate" for s in STAGE_WEIGHTS]]
+
+    def intervals(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                record = row._asdict() if "_means" in row._fields else dict(zip(pdf.columns, row, strict=True))
+                center, spread = np.zeros(len(order)), np.zeros(len(order))
+                for t in record["_theta"]:
+                    center[order[t["treatment"]]] = t["coefficient"] or 0.0
+                    spread[order[t["treatment"]]] = max(0.0, t["std_error"] or 0.0)
+                at = np.array(record["_means"], float)
+                draws = np.random.default_rng(seed).normal(center, spread, size=(reps, len(order))) @ at
+                out.append((*[record[c] for c in shown], float(at @ center), *map(float, np.percentile(draws, [2.5, 97.5])), record["candidate_rows"]))
+            yield pd.DataFrame(out, columns=[*shown, "mean_lift", "lift_lower", "lift_upper", "candidate_rows"])
+
+    kinds = ", ".join(f"{s}_rate double" for s in STAGE_WEIGHTS)
+    return wide.mapInPandas(intervals, f"policy string, users long, items long, {kinds}, mean_lift double, lift_lower double, lift_upper double, candidate_rows long")
+
+
+def estimated_reranking(
+    candidates: DataFrame,
+    profiles: DataFrame,
+    levels: DataFrame,
+    residuals: DataFrame,
+    outcomes: Sequence[str],
+    heuristic: Sequence[str],
+    analytical: Sequence[str],
+    ts: str,
+    weights: Sequence[float],
+    retention: float,
+    min_sign_agreement: float,
+    min_correlation: float,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The chain from residuals to re-ranked candidates: (scores, prior, gates, weight table).
+
+    ``candidates``: stage, user_id, item_id, is_target, relevance; ``profiles``: item_id and a
+    column per cue name. Prior, gates and weights stay tables of a few rows; the score of a
+    candidate uses the weight that its stage's table selects, 0 where none is eligible.
+    """
+    prior = cut(causal_prior(residuals, outcomes, heuristic, analytical))
+    gates = cut(prior_stability(residuals, ts, outcomes, heuristic, analytical, min_sign_agreement, min_correlation))
+    cues = [E.component(c) for c in [*heuristic, *analytical]]
+    scored = cut(candidate_scores(candidates, profiles, levels, prior, cues).select("stage", "user_id", "item_id", "is_target", "relevance", "causal"))
+    calibrations = calibration(scored)
+    table = cut(select_weight(scored, calibrations, weights, gates, retention))
+    chosen = table.filter("selected").select("stage", "weight")
+    weighted = scored.join(F.broadcast(chosen), "stage", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return blend(weighted, calibrations, F.col("weight")), prior, gates, table

@@ -645,6 +645,43 @@ def policy_table(spark, d):
     return table.select("policy", "users", "items", "candidate_rows", *[F.round(c, 5).alias(c) for c in ("click_rate", "cart_rate", "purchase_rate", "mean_lift")])
 
 
+# ---- the same steps on the estimated prior ----------------------------------------------------
+
+
+def reranked(spark, d):
+    """Prior, gate and weight from the residuals; users' levels and items' treatments from the tables."""
+    r = residuals(spark, d)
+    means = [F.avg(c).alias(E.component(c)) for c in [*HEURISTIC, *ANALYTICAL]]
+    profiles = r.groupBy("item_id").agg(*means)
+    levels = r.groupBy("user_id").agg(F.max("H_level").alias("level"))
+    rel = (hash_int(4, "user_id", "item_id") % 1000) / 1000.0 + F.when(F.col("is_target"), 0.4).otherwise(0.0)
+    given = candidates(spark, d).select("stage", "user_id", "item_id", "is_target", rel.alias("relevance"))
+    return RC.estimated_reranking(given, profiles, levels, r, OUTCOMES, HEURISTIC, ANALYTICAL, "timestamp", [0.0, 0.25, 0.5, 1.0], 0.95, 0.5, 0.0)
+
+
+@query("REC9_estimated_reranking")
+def estimated_reranking(spark, d):
+    return reranked(spark, d)[0]
+
+
+@query("REC11_estimated_weights")
+def estimated_weights(spark, d):
+    return reranked(spark, d)[3]
+
+
+@query("REC12_estimated_policies")
+def estimated_policies(spark, d):
+    """Policies by the estimated coefficients of each stage, valued by those of the purchase stage."""
+    r = residuals(spark, d)
+    cues = [*HEURISTIC, *ANALYTICAL]
+    effects = cut(E.family(r, OUTCOMES, cues).filter("estimable AND coefficient IS NOT NULL"))
+    parameters = effects.select(F.concat(F.lit("by_"), "stage").alias("policy"), "treatment", "coefficient")
+    theta = effects.filter("stage = 'purchase'").select("treatment", "coefficient", "std_error")
+    flags = [F.col(f"res_y_{s}").alias(f"y_{s}") for s in ("click", "cart", "purchase")]
+    rows = r.select("user_id", "item_id", "timestamp", *flags, *cues)
+    return RC.estimated_policies(rows, parameters, theta, cues)
+
+
 @query("R14_lift_interval")
 def lift_interval(spark, d):
     events = B.measures(spark, d)
