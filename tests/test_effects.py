@@ -193,7 +193,7 @@ def test_learners_beat_the_mean_and_constants_pass_through(spark):
     pdf["y"] = (rng.random(800) < pdf.x).astype(int)
     train, test = spark.createDataFrame(pdf[:400]), spark.createDataFrame(pdf[400:])
     for learner in ("ridge", "boosted"):
-        out = N.residualize(train, test, ["t", "one"], ["x"], "treatment", learner, {"trees": 5, "depth": 3} if learner == "boosted" else None)
+        out = N.residualize(train, test, ["t", "one"], ["x"], "treatment", learner, {"trees": 40, "depth": 3, "rate": 0.1} if learner == "boosted" else None)
         metrics = {r.target: r for r in N.fit_metrics(out, ["t", "one"]).collect()}
         assert metrics["t"].r2 > 0.8 and metrics["one"].rmse == pytest.approx(0, abs=1e-6)
         assert out.filter("t IS NULL AND mhat_t IS NOT NULL").count() == 0
