@@ -677,8 +677,9 @@ def estimated_policies(spark, d):
     effects = cut(E.family(r, OUTCOMES, cues).filter("estimable AND coefficient IS NOT NULL"))
     parameters = effects.select(F.concat(F.lit("by_"), "stage").alias("policy"), "treatment", "coefficient")
     theta = effects.filter("stage = 'purchase'").select("treatment", "coefficient", "std_error")
-    flags = [F.col(f"res_y_{s}").alias(f"y_{s}") for s in ("click", "cart", "purchase")]
-    rows = r.select("user_id", "item_id", "timestamp", *flags, *cues)
+    keys = ["user_id", "item_id", "timestamp"]
+    flags = B.funnel(spark, d).select(*keys, "y_click", "y_cart", "y_purchase")
+    rows = r.select(*keys, *cues).join(flags, keys)
     return RC.estimated_policies(rows, parameters, theta, cues)
 
 
