@@ -127,3 +127,29 @@ def test_history_level_rules(spark):
     assert level([2.0, 3.0]) == [0, 1, 2, 3, 3]
     assert level([2.0]) == [0, 1, 1, 2, 2]
     assert level([]) == [0, 1, 1, 1, 1]
+
+
+def test_stored_rows_are_compressed_columns_in_the_shared_folder(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from funnelweir.session import stored
+
+    df = spark.range(20_000).selectExpr("id", "id % 7 AS k", "IF(id % 3 = 0, NULL, 0.5D) AS v", "CAST(id % 5 AS STRING) AS s")
+    kept = stored(df)
+    assert kept.dtypes == df.dtypes and kept.exceptAll(df).isEmpty() and kept.count() == 20_000
+    files = {Path(urlparse(f).path).parent for f in kept.inputFiles()}
+    assert {f.parent for f in files} == {Path(urlparse(spark.sparkContext.getCheckpointDir()).path)}
+    assert sum(p.stat().st_size for f in files for p in f.glob("*.parquet")) < 20_000 * 16
+
+
+def test_rank_stores_neither_hash_nor_order_columns(spark, monkeypatch):
+    from funnelweir.operators import ordering
+
+    seen = []
+    real = ordering.stored
+    monkeypatch.setattr(ordering, "stored", lambda df: seen.append(df.columns) or real(df))
+    df = spark.createDataFrame([(str(i), float(i % 4)) for i in range(50)], "id string, v double")
+    scores = sorted(r["s"] for r in R.zero_preserving_rank(df, "v", ["id"], "s").collect() if r["s"] > 0)
+    assert seen == [["id", "v", "_pos1", "__pid", "__pos"]]
+    assert scores == [k / 37 for k in range(1, 38)]
