@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays: five words, similarity 0.8."""
+    """One document of each group of copies and near copies stays: SimHash, five words, similarity 0.8."""
     return simhash.without_near_copies(docs)
 
 
@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the packed ids of each document that is left."""
-    return bpe_codec.encode(docs)
+    return bpe_codec.encode(docs, keep=False)
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("surrogates", surrogates), ("mixture", mixture), ("token_ids", token_ids)]

@@ -12,6 +12,7 @@ The vocabulary must give each token by one merge, which :class:`Vocabulary` chec
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -282,6 +283,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker."""
+    _ENCODERS.clear()
+    gc.collect()  # encoders hold functions that refer to them
+
+
 def vocabulary_path(path: str) -> str:
     """``path`` itself, or the place of a file of the installed public vocabularies."""
     if "/" in path:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelweir.llm.bpe import encoder, vocabulary_path
+from funnelweir.llm.bpe import encoder, forget, vocabulary_path
 from funnelweir.llm.common import slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,8 +28,8 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_tokens, ids."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text", keep: bool = True) -> DataFrame:
+    """id, n_tokens, ids. Without ``keep`` a worker gives its encoder's memory back after each task, for other operators to use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(vocabulary))
@@ -40,6 +40,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_
             ids = [own.encode(texts[i].as_py()) for i in range(len(texts))]
             out = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids"])
+        if not keep:
+            forget()
 
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return texts.mapInArrow(run, f"id {_kind(docs, id_column)}, n_tokens long, ids binary").withColumnRenamed("id", id_column)

@@ -175,7 +175,7 @@ def spare_room(classes: DataFrame, similarity: float, size: int) -> DataFrame:
     return classes.join(own, "class_id", "left").select("class_id", "fp", spare).filter(F.col("spare") + size * share >= 0)
 
 
-# ---- similar texts: candidates by a complete prefix filter, verified on the whole shingle sets
+# ---- similar texts: pairs by fingerprints and by a complete prefix filter, verified on the whole shingle sets
 
 #: Counters of shingles by the upper bits of their hashes: they only decide an order.
 COUNTERS = 1 << 20
@@ -188,6 +188,16 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, words)]))
 
 
+def set_and_fingerprint(text: str, words: int) -> tuple[np.ndarray, int]:
+    """As :func:`shingle_set` and :func:`text_marks` give them, from one pass over the shingles."""
+    n, ones, parts = 0, np.zeros(64, np.int64), [np.empty(0, "<u8")]
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        parts.append(hashes)
+    return np.unique(np.concatenate(parts)), int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def places(values: np.ndarray, size: int) -> np.ndarray:
     """Which of ``size`` (a power of 2) slots each hash belongs to."""
     return (values.astype("<u8", copy=False) >> np.uint64(65 - size.bit_length())).astype(np.int64)
@@ -247,8 +257,8 @@ def parity(values: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def marked_sets(docs: DataFrame, words: int, similarity: float, size: int, reach: int | None, id_column: str, text_column: str) -> DataFrame:
-    """(id, h, class_id, fp, n, weight, bits, prefix); h: hash of the whole text, class_id: of its set of n shingles.
+def marked_sets(docs: DataFrame, words: int, similarity: float, size: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, h, class_id, fp, n, weight, bits, prefix); h: hash of the whole text, class_id: of its set of n shingles, fp: its fingerprint.
 
     prefix: the rarest n - ceil(similarity * n) + 1 shingles by the counters, ties by hash.
     Sets that are similar enough share one of them in any order that holds for all sets.
@@ -259,11 +269,10 @@ def marked_sets(docs: DataFrame, words: int, similarity: float, size: int, reach
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def one(text: str) -> tuple:
-        own = shingle_set(text, words)
+        own, fp = set_and_fingerprint(text, words)
         much = counts.value[places(own, COUNTERS)]
         keep = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
         first = np.lexsort((own, much))[:keep]
-        fp = text_marks(text, words)[0] if reach is not None else 0
         weight = int(much[first].mean()) if keep else 0
         return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), signed(fp), len(own), weight, parity(own, size).tolist(), own[first].tobytes()
 
@@ -298,8 +307,8 @@ def prefix_rows(classes: DataFrame, among: np.ndarray | None = None) -> DataFram
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int, text_column: str) -> DataFrame:
-    """(class_id, shingles): all hashes of the classes (class_id, h) in ``needed``, made anew from one of their texts."""
-    held = docs.sparkSession.sparkContext.broadcast(presence(needed.select("h")))
+    """(h, shingles): all hashes of the texts whose ``h`` is in ``needed``, made anew, and of a few others that the filter lets through."""
+    held = docs.sparkSession.sparkContext.broadcast(presence(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
@@ -309,7 +318,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int, text_column: str)
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "h long, shingles binary")
-    return rows.groupBy("h").agg(F.first("shingles").alias("shingles")).join(needed, "h").select("class_id", "shingles")
+    return rows.groupBy("h").agg(F.first("shingles").alias("shingles"))
 
 
 def similar_sets(a: bytes, b: bytes, similarity: float) -> bool:
@@ -320,7 +329,11 @@ def similar_sets(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: float, text_column: str) -> DataFrame:
-    """The pairs (u, v) of classes whose whole shingle sets are similar enough."""
+    """The pairs (u, v) of classes whose whole shingle sets are similar enough.
+
+    Sets are the widest rows here. They are keyed by their texts' hashes, as they come from
+    the grouping, so both joins read that one shuffle; only pairs travel again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -328,19 +341,35 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             good = [similar_sets(x[i].as_py(), y[i].as_py(), similarity) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).distinct()
-    sets = cut(whole_sets(docs, cut(classes.select("class_id", "h").join(nodes, "class_id")), words, text_column))
-    left = sets.select(F.col("class_id").alias("u"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class_id").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    texts = lambda c: classes.select(F.col("class_id").alias(c), F.col("h").alias(f"{c}_h"))
+    named = cut(pairs.join(texts("u"), "u").join(texts("v"), "v").select("u", "v", "u_h", "v_h"))
+    sets = whole_sets(docs, cut(named.select(F.explode(F.array("u_h", "v_h")).alias("h")).distinct()), words, text_column)
+    left = sets.select(F.col("h").alias("u_h"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("h").alias("v_h"), F.col("shingles").alias("y"))
+    return named.join(left, "u_h").join(right, "v_h").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) that connect all classes (class_id, fp, weight) whose fingerprints differ in at most 2 bits.
+
+    Classes of one fingerprint meet its head, the class with most ``weight``; heads meet by
+    pigeonhole blocks and their Hamming distance.
+    """
+    heads = cut(classes.groupBy("fp").agg(F.min(F.struct(-F.col("weight"), "class_id")).alias("head")).select("fp", F.col("head.class_id").alias("head")))
+    equal = classes.select("fp", "class_id").join(heads, "fp").filter("class_id <> head").select(F.col("class_id").alias("u"), F.col("head").alias("v"))
+    links = fingerprint_links(heads.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    first, second = (heads.select(F.col("fp").alias(c), F.col("head").alias(n)) for c, n in (("a", "u"), ("b", "v")))
+    return equal.union(links.join(first, "a").join(second, "b").select("u", "v"))
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, size: int, reach: int | None, text_column: str) -> DataFrame:
     """(node, component) of the classes that similar candidates connect.
 
-    Candidates share a shingle of their prefixes, and neither their lengths nor their parity
-    bits rule the similarity out: no similar pair is lost. First every class is compared with
-    the leader of each of its shingles, the class with most ``weight``: of copies the one that was changed
+    SimHash proposes the pairs whose fingerprints differ in at most 2 bits, by pigeonhole
+    blocks. Similar texts may differ in more bits, so others come beside them: they share a
+    shingle of their prefixes, and neither their lengths nor their parity bits rule the
+    similarity out, so no similar pair is lost. All are verified on the whole sets. At first
+    every class is compared with the leader of each of its shingles, the class with most ``weight``: of copies the one that was changed
     least. That connects large groups of near copies at the cost of a row per member. Then
     only classes that are not yet connected with a leader are compared with the others that
     have the shingle. What the second step leaves out is connected already, so no connection
@@ -371,8 +400,10 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: f
     shared = cut(prefix_rows(classes, presence(several)).join(several, "value").select("value", "class_id", "n", "weight"))
     leads = shared.groupBy("value").agg(F.min(F.struct(-F.col("weight"), "class_id", "n")).alias("lead")).select("value", F.col("lead.class_id").alias("v"), F.col("lead.n").alias("v_n"))
     lengths = F.least("n", "v_n") >= F.greatest("n", "v_n") * similarity - 1e-9
-    stars = shared.join(leads, "value").filter((F.col("class_id") != F.col("v")) & lengths).select(F.col("class_id").alias("u"), "v").distinct()
-    edges = cut(verified(cut(alike(stars)), docs, classes, words, similarity, text_column))
+    stars = shared.join(leads, "value").filter((F.col("class_id") != F.col("v")) & lengths).select(F.col("class_id").alias("u"), "v")
+    # what fingerprints and leaders propose is verified together, so sets travel once for both
+    proposed = cut(alike(fingerprint_pairs(classes).union(stars).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
+    edges = cut(verified(proposed, docs, classes, words, similarity, text_column))
     labels = cut(components(edges).withColumnRenamed("node", "class_id"))
     grouped = shared.join(labels, "class_id", "left").select("value", "class_id", F.coalesce("component", "class_id").alias("group"), "weight")
     # shingles whose classes are connected already are done
@@ -392,14 +423,14 @@ def without_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` of which one of each group of similar texts stays: the one with the smallest id.
 
-    Texts link if the sets of their ``words``-word shingles have a Jaccard similarity of
+    SimHash fingerprints and a prefix filter propose pairs, whole sets decide (see :func:`similar_links`). Texts link if the sets of their ``words``-word shingles have a Jaccard similarity of
     ``similarity`` or more, counted on the whole sets. All such pairs are found (shingles
     stand for their 64-bit hashes). ``size``: parity bits, a multiple of 64 and a power of 2,
     by which pairs that are surely apart are skipped; it does not change the result.
     ``reach``, if given, leaves out pairs whose fingerprints differ in more bits, similar ones too.
     Of repeated rows one stays. A row with a null id stays only if no row of its group has an id.
     """
-    marked = cut(marked_sets(docs, words, similarity, size, reach, id_column, text_column))
+    marked = cut(marked_sets(docs, words, similarity, size, id_column, text_column))
     named = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"))
     first = [F.first(c).alias(c) for c in ("fp", "n", "weight", "bits", "prefix")]
     classes = cut(marked.groupBy("class_id").agg(F.min(named).alias("least"), F.min("h").alias("h"), *first))
@@ -408,8 +439,10 @@ def without_near_copies(
     stay = groups.groupBy(F.coalesce("component", "class_id").alias("g")).agg(F.min("least").alias("least"))
     stay = cut(stay.select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h")))
     columns = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    # keys without nulls, the same for the join and for repeated rows: texts are shuffled once
+    named = lambda c: {"__none": F.col(c).isNull(), "__name": F.coalesce(F.col(c).cast("string"), F.lit(""))}
     rows = docs.select(*[F.col(c).alias(n) for c, n in columns.items()])
-    rows = rows.withColumn("__row", F.xxhash64(F.coalesce(F.col(columns[text_column]), F.lit(""))))
-    kept = rows.join(stay, F.col("__id").eqNullSafe(F.col(columns[id_column])) & (F.col("__h") == F.col("__row")))
-    kept = kept.dropDuplicates(["__id", "__h"])
+    rows = rows.withColumns({**named(columns[id_column]), "__h": F.xxhash64(F.coalesce(F.col(columns[text_column]), F.lit("")))})
+    keys = ["__none", "__name", "__h"]
+    kept = rows.join(stay.withColumns(named("__id")).drop("__id"), keys).dropDuplicates(keys)
     return kept.select(*[F.col(n).alias(c) for c, n in columns.items()])

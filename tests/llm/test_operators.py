@@ -217,6 +217,34 @@ def test_near_copies_at_the_registered_settings_equal_exact_components(spark):
     assert {r["doc_id"] for r in simhash.without_near_copies(docs).select("doc_id").collect()} == want
 
 
+def test_near_copies_are_proposed_by_fingerprints(spark):
+    """Every class has its SimHash fingerprint, and all classes within 2 bits are connected by the pairs that come of it."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    rows = [(None, None), (-1, ""), (-2, "one two")]
+    for g in range(12):
+        text = [rng.choice(words) for _ in range(400)]
+        for _ in range(1 + g % 4):
+            changed = list(text)
+            changed[rng.randrange(400)] = rng.choice(words)
+            rows.append((len(rows), " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = simhash.marked_sets(docs, 5, 0.8, 512, "doc_id", "text").collect()
+    assert Counter((r["id"], r["fp"]) for r in marked) == Counter(tuple(r) for r in simhash.fingerprints(docs, 5).collect())
+    classes = {r["class_id"]: (r["class_id"], r["fp"], r["weight"]) for r in marked}
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame(list(classes.values()), "class_id long, fp long, weight long")).collect()
+    near = [(a[0], b[0]) for a in classes.values() for b in classes.values() if a[0] < b[0] and bin((a[1] ^ b[1]) & (1 << 64) - 1).count("1") <= 2]
+    assert near and brute_components(classes, [tuple(p) for p in pairs]) == brute_components(classes, near)
+
+
+def test_encoders_leave_the_worker_when_told_to(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    assert bpe_codec.encode(docs, keep=False).collect() == bpe_codec.encode(docs).collect()
+    bpe.encoder(bpe.vocabulary_path(bpe_codec.VOCABULARY))
+    bpe.forget()
+    assert not bpe._ENCODERS
+
+
 def test_own_hashes_rule_out_no_similar_pair(spark):
     rng, size = random.Random(2), 24
     sketches = [b""]
