@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from funnelweir.functions.clusters import Influence, outer_sums, sorted_cluster_sums
 from funnelweir.operators import moments as MO
@@ -74,3 +75,26 @@ def test_shuffled_rows_hold_the_regressions_columns_only(spark, monkeypatch):
     MO.cluster_errors(df, fits, "u", "i")
     assert widths == [6, 5]  # (user, item) and item, each with two regressors and two outcomes
     assert all(f.kind == "two_way_cluster_user_item" and np.isfinite(f.covariance).all() for f in fits)
+
+
+def test_columns_that_follow_from_others_are_not_shuffled(spark, monkeypatch):
+    """Derived regressors exist on the sorted rows only; errors are those of the wide frame."""
+    rng = np.random.default_rng(3)
+    data = [(str(a), str(b), int(a % 4), *map(float, v)) for a, b, v in zip(rng.integers(0, 30, 400), rng.integers(0, 20, 400), rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(data, "u string, i string, h int, x double, y double")
+    derive = lambda rows: rows.withColumns({f"x_at{k}": F.col("x") * (F.col("h") == k).cast("double") for k in range(4)})
+    problem = MO.Problem("y", tuple(f"x_at{k}" for k in range(4)), ("y",))
+    cross = MO.moments(derive(df), [problem])[(MO.ALL, "y")]
+    fit = lambda: MO.solve(cross, problem.design, "y", name="y", level=MO.ALL)
+    (wide,) = MO.cluster_errors(derive(df), [fit()], "u", "i")
+    sent = []
+    real = type(df).repartitionByRange
+
+    def watched(frame, *args, **kwargs):
+        sent.append(set(frame.columns))
+        return real(frame, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "repartitionByRange", watched)
+    (narrow,) = MO.cluster_errors(df, [fit()], "u", "i", derive)
+    assert sent == [{"u", "i", "h", "x", "y"}, {"i", "h", "x", "y"}]
+    assert np.allclose(narrow.covariance, wide.covariance) and narrow.clusters == wide.clusters
