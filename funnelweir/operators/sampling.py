@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from funnelweir.functions.hashing import hash_index, hash_key
 from funnelweir.operators.ordering import global_row_number, prefix_sums, quantile_edges, right_closed_bin
-from funnelweir.session import cut
+from funnelweir.session import cut, stored
 
 # draws of one user are generated in blocks of this many, so a long walk is shared by several tasks
 WALK_BLOCK = 1024
@@ -79,31 +79,38 @@ def rejection_draws(
     first: int,
     limit: int,
     out: str = "sampled_item",
+    unique: bool = False,
 ) -> DataFrame:
     """``k`` unseen items per row, drawn with replacement in at most ``limit`` attempts.
 
-    A first round of ``first`` attempts serves almost every row; only rows left
-    short draw the remaining attempts. Returns keys, out, ``attempt``.
+    A round of ``k`` attempts serves almost every row; only rows left short go on to ``first``
+    attempts, and what is still short to ``limit``. Draws stay pool numbers with a mark of what
+    the user has seen, stored once a round; items get their names at the end. ``unique`` says
+    that ``keys`` name a row, so single draws need no count. Returns keys, out, ``attempt``.
     """
     indexed, size = item_index(pool, item)
-    named = indexed.withColumnRenamed(item, out)
-    blocked = seen.select(F.col(user), F.col(item).alias(out)).distinct()
-    base = rows.select(*dict.fromkeys([*keys, user]))
-
-    def draw(part: DataFrame, low: int, high: int) -> DataFrame:
+    blocked = seen.select(user, item).distinct().join(indexed, item).select(user, "_idx", F.lit(True).alias("_seen"))
+    ids = list(dict.fromkeys([*keys, user]))
+    part, kept = rows.select(*ids, F.lit(0).alias("_have")), None
+    inside = Window.partitionBy(*keys)
+    upto = inside.orderBy("attempt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for low, high in ((1, min(k, first)), (min(k, first) + 1, first), (first + 1, limit)):
+        if low > high:
+            continue
         attempts = part.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high))))
-        indexed_draws = attempts.withColumn("_idx", hash_index(size, seed, *keys, "attempt"))
-        return indexed_draws.join(named, "_idx").drop("_idx").join(blocked, [user, out], "left_anti")
-
-    early = draw(base, 1, first)
-    accepted = early
-    if first < limit:
-        served = early.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
-        short = base.join(served, list(keys), "left_anti")
-        accepted = early.unionByName(draw(short, first + 1, limit))
-    order = Window.partitionBy(*keys).orderBy("attempt")
-    kept = accepted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    return kept.select(*dict.fromkeys([*keys, user]), out, "attempt")
+        marked = attempts.withColumn("_idx", hash_index(size, seed, *keys, "attempt")).join(blocked, [user, "_idx"], "left")
+        fresh = F.col("_seen").isNull() & F.col("_idx").isNotNull()
+        one = fresh.cast("int")
+        alone = unique and low == high
+        number, total = (one, one) if alone else (F.sum(one).over(upto), F.sum(one).over(inside))
+        counts = {"_number": F.col("_have") + number, "_total": F.col("_have") + total}
+        round_ = stored(marked.withColumns({"_fresh": fresh, **counts}).drop("_have", "_seen"))
+        taken = round_.filter(F.col("_fresh") & (F.col("_number") <= k)).select(*ids, "_idx", "attempt")
+        kept = taken if kept is None else kept.unionByName(taken)
+        part = round_.filter((F.col("attempt") == low) & (F.col("_total") < k)).select(*ids, F.col("_total").alias("_have"))
+        if part.isEmpty():
+            break
+    return kept.join(indexed.withColumnRenamed(item, out), "_idx").select(*ids, out, "attempt")
 
 
 def training_triples(edges: DataFrame, user: str, item: str, pool: DataFrame, samples: int, seed, attempts: int = 100) -> DataFrame:
@@ -112,14 +119,17 @@ def training_triples(edges: DataFrame, user: str, item: str, pool: DataFrame, sa
     Edges whose ``attempts`` draws all hit seen items walk the pool instead, which finds an
     unseen item wherever the user has one; users who have seen every item give no rows.
     """
-    rows = edges.select(user, item).distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    drawn = rejection_draws(rows, ["sample", user, item], user, pool, item, edges, 1, seed, min(4, attempts), attempts, "negative")
-    drawn = cut(drawn.select("sample", user, item, "negative"))
+    pairs = stored(edges.select(user, item).distinct())
+    rows = pairs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = rejection_draws(rows, ["sample", user, item], user, pool, item, pairs, 1, seed, min(4, attempts), attempts, "negative", True)
+    drawn = stored(drawn.select("sample", user, item, "negative"))
+    if drawn.count() == pairs.count() * samples:
+        return drawn
     left = rows.join(drawn, ["sample", user, item], "left_anti")
     left = cut(left.withColumn("_edge", F.to_json(F.struct("sample", user, item))))
     if left.isEmpty():
         return drawn
-    seen = left.select("_edge", user).join(edges.select(user, item).distinct(), user).select("_edge", item)
+    seen = left.select("_edge", user).join(pairs, user).select("_edge", item)
     walked = uniform_unseen(left, "_edge", pool, item, seen, 1, seed).select("_edge", F.col(item).alias("negative"))
     return drawn.unionByName(left.join(walked, "_edge").select("sample", user, item, "negative"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -165,3 +166,20 @@ def test_rater_files_are_checked(spark):
     for bad in ([frame("A", 1.0)], [frame("A", 1.0), frame("A", 1.0)], [frame("A", 1.0), frame("B", None)]):
         with pytest.raises(ValueError):
             AG.combine_raters(bad, ["A", "B"])
+
+
+def test_only_rows_left_short_draw_again(spark, monkeypatch):
+    """The first round stores one draw per row and later ones only what is short; draws are those of all attempts at once."""
+    sizes, kept = [], SA.stored
+    monkeypatch.setattr(SA, "stored", lambda df: (sizes.append(df.count()), kept(df))[1])
+    pool = spark.createDataFrame([(f"{i:02}",) for i in range(20)], "item string")
+    pairs = [(f"u{u}", f"{i:02}") for u in range(40) for i in range(u % 4, 20, 4)]
+    rows = spark.createDataFrame(pairs, "user string, item string").repartition(3)
+    got = {(r.user, r.item): (r.negative, r.attempt) for r in SA.rejection_draws(rows, ["user", "item"], "user", pool, "item", rows, 1, 5, 4, 60, "negative", True).collect()}
+    draw = lambda u, i, a: f"{int(hashlib.md5(f'5|{u}|{i}|{a}'.encode()).hexdigest()[:12], 16) % 20:02}"
+    expected = {}
+    for u, i in pairs:
+        expected[u, i] = next((draw(u, i, a), a) for a in range(1, 61) if (u, draw(u, i, a)) not in set(pairs))
+    assert got == expected
+    short = sum(a > 1 for _, a in expected.values())
+    assert sizes[:2] == [len(pairs), 3 * short]
