@@ -183,3 +183,53 @@ def test_only_rows_left_short_draw_again(spark, monkeypatch):
     assert got == expected
     short = sum(a > 1 for _, a in expected.values())
     assert sizes[:2] == [len(pairs), 3 * short]
+
+
+def test_walks_are_replayed_and_only_met_steps_are_rows(spark, monkeypatch):
+    """Same draws as a step-by-step walk, users of one and of several blocks; what is stored is a row per block."""
+    monkeypatch.setattr(SA, "WALK_BLOCK", 8)
+    names = [f"i{k:02}" for k in range(50)]  # 53 is the next prime
+    seen = {f"u{u}": set(names[u : u + 4 * u]) for u in range(10)} | {"full": set(names[:46])}
+    frame = spark.createDataFrame([(u, i) for u, own in seen.items() for i in [*own, "other"]], "user string, item string").repartition(3)
+    pool = spark.createDataFrame([(n,) for n in names], "item string")
+    places, indexed = SA.unseen_places(frame, "user", pool, "item", frame, 6, 3)
+    got = {}
+    for r in SA.named_places(places, "user", indexed, "item").collect():
+        got.setdefault(r.user, {})[r.draw] = r.item
+    number = lambda what, u, n: int(hashlib.md5(f"3|{what}|{u}".encode()).hexdigest()[:12], 16) % n
+    expected = {}
+    for u, own in seen.items():
+        walk = [(number("stride", u, 52) + 1) * j + number("start", u, 53) for j in range(53)]
+        fresh = [names[p % 53] for p in walk if p % 53 < 50 and names[p % 53] not in own]
+        if len(fresh) >= 6:
+            expected[u] = dict(enumerate(fresh[:6], 1))
+    assert got == expected and "full" not in got
+    assert places.count() < 3 * len(expected)
+
+
+def test_weights_are_measured_without_shuffling_their_product(spark):
+    """Ties, a missing causal score and a list shorter than ten, against NumPy; no exchange by weight."""
+    rng = np.random.default_rng(2)
+    rows = [("s", f"u{u}", f"{i:02}", i == u % 7, float(rng.integers(0, 4)), None if i == 3 and u % 7 != 3 else float(rng.integers(0, 3))) for u in range(12) for i in range(7 + u)]
+    df = spark.createDataFrame(rows, "stage string, user_id string, item_id string, is_target boolean, relevance double, causal double")
+    calibrations = spark.createDataFrame([("s", 1.5, 1.1, 1.0, 0.8)], "stage string, relevance_mean double, relevance_sd double, causal_mean double, causal_sd double")
+    gates = spark.createDataFrame([("s", True)], "stage string, gate_passed boolean")
+    table = RC.select_weight(df, calibrations, [0.0, 0.5, 2.0], gates, 0.9)
+    assert "hashpartitioning(weight" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {r.weight: r for r in table.collect()}
+    for w in (0.0, 0.5, 2.0):
+        ndcg, use = [], []
+        for u in range(12):
+            own = [(i, t, None if c is None else (r - 1.5) / 1.1 + w * (c - 1.0) / 0.8, c) for _, v, i, t, r, c in rows if v == f"u{u}"]
+            known = [x for x in own if x[2] is not None]
+            score = next((x[2] for x in own if x[1]), None)
+            tie = [abs(x[2] - score) <= 1e-12 + 1e-12 * abs(score) for x in known] if score is not None else []
+            if sum(tie) == 0:
+                continue
+            first = sum(x[2] > score and not t for x, t in zip(known, tie, strict=True))
+            ndcg.append(sum(1 / math.log2(p + 1) for p in range(first + 1, min(10, first + sum(tie)) + 1)) / sum(tie))
+            top = sorted(own, key=lambda x: (x[2] is None, -(x[2] or 0.0), x[1], x[0]))[:10]
+            gain = [1 / math.log2(k + 2) for k in range(len(top))]
+            use.append(sum(g * x[3] for g, x in zip(gain, top, strict=True) if x[3] is not None) / sum(gain))
+        assert abs(got[w].ndcg_10 - np.mean(ndcg)) < 1e-9 and got[w].validation_users == len(ndcg), w
+        assert abs(got[w].mean_causal_score - np.mean(use)) < 1e-9, w
