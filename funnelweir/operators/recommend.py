@@ -136,8 +136,14 @@ def causal_prior(
     """Coefficients on the original treatments per (stage, level); levels without full support use the total.
 
     Analytical treatments are purified by the heuristic ones on the same rows,
-    the joint fit runs on that basis, and coefficients are mapped back.
+    the joint fit runs on that basis, and coefficients are mapped back. The columns
+    are stored first, as several passes read them.
     """
+    columns = dict.fromkeys([*([by] if by else []), *outcomes, *heuristic, *analytical])
+    return _stored_prior(stored(residuals.select(*columns)), outcomes, heuristic, analytical, by, limits)
+
+
+def _stored_prior(residuals: DataFrame, outcomes: Sequence[str], heuristic: Sequence[str], analytical: Sequence[str], by: str | None, limits: Mapping | None) -> DataFrame:
     filled = residuals.withColumns({c: safe_double(c, 0.0) for c in [*heuristic, *analytical, *outcomes]})
     fitted = fit_projection(filled, heuristic, analytical)
     pure_frame, pure = apply_projection(filled, heuristic, fitted)
@@ -183,10 +189,11 @@ def prior_stability(
     limits: Mapping | None = None,
 ) -> DataFrame:
     """Agreement of the total coefficients between the earlier and the later half, per stage."""
+    residuals = stored(residuals.select(*dict.fromkeys([ts, *outcomes, *heuristic, *analytical])))
     boundary = F.lit(two_way_boundary(residuals, ts, 0.5))
     halves = [residuals.filter(F.col(ts) <= boundary), residuals.filter(F.col(ts) > boundary)]
     early, late = (
-        causal_prior(h, outcomes, heuristic, analytical, None, limits).select(
+        _stored_prior(h, outcomes, heuristic, analytical, None, limits).select(
             "stage", "component", F.col("coefficient").alias(name), F.col("estimable").alias(f"{name}_ok")
         )
         for h, name in zip(halves, ("early", "late"))

@@ -69,3 +69,25 @@ def test_chain_uses_the_estimated_prior_and_the_selected_weight(spark):
     assert np.allclose(out.causal, causal)
     z = lambda c: (c - c.mean()) / c.std(ddof=0)
     assert np.allclose(out.score, z(out.relevance) + chosen.weight * z(out.causal))
+
+
+def test_prior_and_stability_read_their_rows_once(spark):
+    """Several passes follow, but the residuals' own plan runs once for each."""
+    rng = np.random.default_rng(6)
+    n = 2400
+    pdf = pd.DataFrame({"timestamp": np.arange(n), "H_level": np.arange(n) % 2, "res_T_con_mkt": rng.normal(size=n), "res_T_int_fac": rng.normal(size=n)})
+    pdf["res_y_purchase"] = 0.4 * pdf.res_T_con_mkt + rng.normal(size=n)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(pdf)
+    counted = frame.mapInArrow(count, frame.schema)
+    names = (["res_y_purchase"], ["res_T_con_mkt"], ["res_T_int_fac"])
+    RC.causal_prior(counted, *names).collect()
+    assert read.value == n
+    RC.prior_stability(counted, "timestamp", *names, 0.5, -1.0).collect()
+    assert read.value == 2 * n
