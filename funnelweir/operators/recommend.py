@@ -370,6 +370,8 @@ def policy_table(
     reference: str | None = None,
 ) -> DataFrame:
     """Observed rates and mean lift of each policy's top choice per user."""
+    # one row per user and one pass per policy follow
+    df = stored(df)
     sizes = df.groupBy("user_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
     eligible = df.join(sizes.select("user_id"), "user_id", "left_semi")
     total = eligible.count()

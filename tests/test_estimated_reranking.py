@@ -91,3 +91,16 @@ def test_prior_and_stability_read_their_rows_once(spark):
     assert read.value == n
     RC.prior_stability(counted, "timestamp", *names, 0.5, -1.0).collect()
     assert read.value == 2 * n
+
+
+def test_policy_table_reads_its_rows_once(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows)
+    table = RC.policy_table(frame.mapInArrow(count, frame.schema), {"a": RC.lift({"T_con_mkt": 0.3}), "b": RC.lift({"T_int_fac": 0.4})}, {"T_con_mkt": (0.3, 0.05)})
+    assert table.count() == 2 and read.value == len(rows)
