@@ -153,3 +153,30 @@ def test_rank_stores_neither_hash_nor_order_columns(spark, monkeypatch):
     scores = sorted(r["s"] for r in R.zero_preserving_rank(df, "v", ["id"], "s").collect() if r["s"] > 0)
     assert seen == [["id", "v", "_pos1", "__pid", "__pos"]]
     assert scores == [k / 37 for k in range(1, 38)]
+
+
+def test_user_days_hold_both_histories_after_one_shuffle_by_user(spark):
+    rows = [(u, c, t, int((u + t + k) % 3 == 0)) for u in range(4) for t in (1, 2, 2, 5, 9) for k, c in enumerate("ab") if (u + t) % 4]
+    df = spark.createDataFrame([(str(u), c, t, y) for u, c, t, y in [*rows, (1, "a", None, 1)]], "user_id string, category string, timestamp long, y_click int")
+    days = H.user_days(df, "user_id", "category", "timestamp", {"clicks": "y_click"}, "clicks")
+    assert days._jdf.queryExecution().sparkPlan().toString().count("Window [") == 2
+    assert days._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.user_id, r.category, r.timestamp): r for r in days.collect()}
+    assert sum(r["_rows"] for r in got.values()) == len(rows) + 1
+    for (u, c, t), r in got.items():
+        if t is None:
+            assert r.events_pre is r.clicks_pre is r.T_int_sem is None
+            continue
+        before = [x for x in rows if str(x[0]) == u and x[2] < t]
+        clicks, own = sum(x[3] for x in before), sum(x[3] for x in before if x[1] == c)
+        assert (r.events_pre, r.clicks_pre, r.history_max_ts) == (len(before), clicks, max((x[2] for x in before), default=None))
+        assert abs(r.T_int_sem - (own / clicks if clicks else 0.01)) < 1e-12
+
+
+def test_asof_points_meet_before_they_shrink(spark):
+    events = spark.createDataFrame([("a", 3), ("a", 3), ("a", 7), ("b", 1)], "item_id string, timestamp long")
+    ratings = spark.createDataFrame([("a", 1, 2.0), ("a", 3, 5.0), ("a", 3, None), ("c", 1, 4.0)], "item_id string, timestamp long, rating double")
+    points = H.rating_points(events, ratings)
+    assert points._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.item_id, r.timestamp): (r.item_review_count_pre, r.item_rating_mean_pre) for r in points.collect()}
+    assert got == {("a", 3): (1, 2.0), ("a", 7): (3, 7.0 / 3), ("b", 1): (0, None)}
