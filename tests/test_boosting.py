@@ -138,3 +138,21 @@ def test_cross_fit_shares_passes(spark, data):
     out = N.boosted_residuals(N.cleaned(b, ["y"], "treatment"), ["y"], "treatment", {"y": models["a", "y"]}, clip=False).toPandas()
     assert set(models) == {("a", "y"), ("b", "y"), ("b", "z")}
     assert out.res_y.var() < 0.6 * out.raw_y.var() and np.allclose(out.raw_y - out.mhat_y, out.res_y)
+
+
+def test_blocks_hold_shared_arrays_once_and_walk_by_lines():
+    rng = np.random.default_rng(4)
+    n, features = 500, ["a", "b", "c"]
+    tasks = [BO.Task("y", ("a", "b")), BO.Task("y", ("c",)), BO.Task("y", ("a",), True, "g"), BO.Task("z", ("b",))]
+    bins, y, member = rng.integers(0, 9, (n, 3)).astype(np.uint8), rng.integers(0, 2, (n, 2)).astype(float), rng.random((n, 1)) < 0.5
+    y[:, 1] += 0.25
+    y[:9, 0] = np.nan
+    row = {"rows": n, "seed": 1, "bins": bins.tobytes(), "y": y.tobytes(), "member": member.tobytes()}
+    block = BO.opened(row, tasks, features, ["y", "z"], ["g"], [0.0] * 4)
+    assert block.of == [(0, 0), (0, 0), (0, 1), (1, 2)] and len(block.used) == 3
+    assert block.y[0].dtype == np.uint8 and block.y[1].dtype == float and np.array_equal(block.y[1], y[:, 1])
+    assert np.array_equal(block.used[1], ~np.isnan(y[:, 0]) & member[:, 0])
+    tree = BO.Tree([0, -1, 2, -1, -1], [3, 0, 5, 0, 0], [1, 0, 3, 0, 0], [0.0] * 5)
+    for levels in (0, 1, 2, 5):
+        node = np.where(bins[:, 0] > 3, np.where((levels > 1), 3 + (bins[:, 2] > 5), 2), 1) if levels else np.zeros(n)
+        assert np.array_equal(tree.walk(block.bins, levels), node)
