@@ -605,7 +605,7 @@ def prompt_input(spark, d):
 
 def weighted_replies(spark, d):
     """Two replies per item with score/weight pairs; some broken, some with numbers inside text."""
-    m = B.measures(spark, d).withColumn("k", F.col("item_id").cast("bigint"))
+    m = IO.spread(B.measures(spark, d).withColumn("k", F.col("item_id").cast("bigint")), "item_id")
     pair = lambda c, w: F.struct(
         F.concat(F.lit("about "), F.round(F.col(c) * 10, 1).cast("string")).alias("score"), F.lit(w).alias("weight")
     )

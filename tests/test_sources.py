@@ -67,3 +67,11 @@ def test_replies_with_nested_and_broken_json(spark):
     assert got["a"].schema_valid and got["a"].T_con_mkt_0_10 == 10.0 and got["a"].notes == "clipped_T_con_mkt"
     assert not got["b"].schema_valid and got["b"].notes == "json_parse_error"
     assert not got["c"].schema_valid and got["c"].T_int_vis_0_10 == 2.0
+
+
+def test_spread_deals_the_rows_of_one_scan_task(spark):
+    from funnelweir.sources.tables import spread
+
+    out = spread(spark.range(0, 1000, 1, 1), "id")
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.count() == 1000 and len(sizes) > 1 and max(r["count"] for r in sizes) < 1000
