@@ -212,3 +212,16 @@ def test_moderation_finds_a_slope_difference(spark):
     # the other cues share part of the shifted one, so they move too, but far less
     assert got[(CUES[2], "omnibus")].p_value < 1e-10
     assert got[(CUES[2], "omnibus")].statistic > 5 * got[(CUES[1], "omnibus")].statistic
+
+
+def test_families_of_several_sets_equal_one_family_each(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    pdf = pd.DataFrame({"user_id": rng.integers(0, 40, n).astype(str), "item_id": rng.integers(0, 30, n).astype(str), **{c: rng.normal(size=n) for c in "abc"}})
+    pdf["res_y_purchase"] = 0.5 * pdf.a - 0.2 * pdf.c + rng.normal(size=n)
+    pdf = pdf.rename(columns={"a": "res_T_con_mkt", "b": "res_T_con_soc", "c": "res_T_int_fac"})
+    df, sets = spark.createDataFrame(pdf), {"all": ["res_T_con_mkt", "res_T_con_soc", "res_T_int_fac"], "few": ["res_T_con_mkt", "res_T_con_soc"]}
+    together = E.families(df, ["res_y_purchase"], sets)
+    for name, treatments in sets.items():
+        one = E.family(df, ["res_y_purchase"], treatments).toPandas()
+        pd.testing.assert_frame_equal(together[name].toPandas(), one, rtol=1e-9)
