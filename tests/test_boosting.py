@@ -156,3 +156,28 @@ def test_blocks_hold_shared_arrays_once_and_walk_by_lines():
     for levels in (0, 1, 2, 5):
         node = np.where(bins[:, 0] > 3, np.where((levels > 1), 3 + (bins[:, 2] > 5), 2), 1) if levels else np.zeros(n)
         assert np.array_equal(tree.walk(block.bins, levels), node)
+
+
+def test_small_blocks_join_and_hold_nothing_for_models_without_rows():
+    """Arrow's batches become one block; its sums and draws are those of the batches apart."""
+    rng = np.random.default_rng(5)
+    tasks = [BO.Task("y", ("a", "b"), False, "g"), BO.Task("y", ("a", "b"), True, "h")]
+
+    def opened(seed, n, member):
+        bins, y = rng.integers(0, 7, (n, 2)).astype(np.uint8), rng.integers(0, 2, (n, 1)).astype(float)
+        groups = np.tile(np.array([member == "g", member == "h"]), (n, 1))
+        return BO.opened({"rows": n, "seed": seed, "bins": bins.tobytes(), "y": y.tobytes(), "member": groups.tobytes()}, tasks, ["a", "b"], ["y"], ["g", "h"], [0.25, 0.5])
+
+    small = [opened(1, 300, "g"), opened(1 << 40, 41, "g"), opened(7, 90, "h"), opened(8, 100, "h"), opened(9, 500, "h")]
+    whole = list(BO.joined(iter(small), 341))
+    assert [[rows for _, rows in b.seeds] for b in whole] == [[300, 41], [90, 100], [500]]
+    assert [[v is None for v in b.scores] for b in whole] == [[False, True], [True, False], [True, False]]
+    tree = BO.Tree([0, -1, -1], [3, 0, 0], [1, 0, 0], [0.0, 0.1, 0.2])
+    asked = {j: (tree, np.array([0, 1]), np.array([1, 2])) for j in range(2)}
+    sums = []
+    for blocks in (small, whole):
+        sums.append({})
+        for b in blocks:
+            BO.counts(BO.redrawn(BO.advanced(b, {0: tree, 1: tree}, 2), 3, 0.5, 11), asked, [False, True], np.array([7, 7]), 1, sums[-1])
+    assert sums[0][0].shape == (2, 2, 14) and sums[0][1].shape == (3, 2, 14)
+    assert all(np.allclose(sums[0][j], sums[1][j]) and 0 < sums[0][j][1].sum() for j in range(2))
