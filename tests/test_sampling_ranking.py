@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from funnelweir.functions.tails import normal_two_sided
 from funnelweir.operators import agreement as AG
 from funnelweir.operators import candidates as CA
+from funnelweir.operators import describe as D
 from funnelweir.operators import ranking as RK
 from funnelweir.operators import recommend as RC
 from funnelweir.operators import sampling as SA
@@ -233,3 +234,27 @@ def test_weights_are_measured_without_shuffling_their_product(spark):
             use.append(sum(g * x[3] for g, x in zip(gain, top, strict=True) if x[3] is not None) / sum(gain))
         assert abs(got[w].ndcg_10 - np.mean(ndcg)) < 1e-9 and got[w].validation_users == len(ndcg), w
         assert abs(got[w].mean_causal_score - np.mean(use)) < 1e-9, w
+
+
+def test_walks_state_their_tasks(spark):
+    """Small tables of walkers are not merged into one task that makes all steps, and the steps made are not shuffled."""
+    users = spark.range(40).select(F.col("id").cast("string").alias("u"))
+    pool = spark.range(60).select(F.col("id").cast("string").alias("i"))
+    seen = spark.createDataFrame([(str(u), str((u * 7 + j) % 60)) for u in range(40) for j in range(u)], "u string, i string")
+    places, _ = SA.unseen_places(users, "u", pool, "i", seen, 30, "s")
+    files = len(set(places.inputFiles()))
+    assert files > 1 and places.agg(F.sum(F.size("_places"))).first()[0] == 30 * places.count() == 30 * 31
+
+
+def test_shares_of_few_values_do_not_shuffle_the_rows(spark):
+    rows = spark.createDataFrame([(p, t) for p, t in zip("aabbbc", (1, 1, 1, 0, 1, 0), strict=True)] + [(None, 1)], "p string, t int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = D.train_frequency(rows, "p", F.col("t") == 1, "share")
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # a missing value counts in the whole, but meets no share
+    found = {(r["p"], round(r["share"], 6)) for r in out.collect()}
+    assert found == {("a", 0.4), ("b", 0.4), ("c", 0.0), (None, 0.0)}
